@@ -11,6 +11,7 @@ from tallyforge.functions.text import clean_ansi, error_lines, strip
 
 TEST_RESULT = ("struct<num_tests:int,num_passed:int,test_results:array<struct<name:string,passed:boolean,"
                "assertions:array<struct<kind:string,expect:string,actual:string>>>>>")
+TEST_TOTALS = "struct<num_tests:int,num_passed:int>"
 
 # Indicators, keywords, patterns, categories and messages the results depend on.
 SYNTAX_INDICATORS = ("parsing failed", "error during parsing", "tokenizing", "compilererror")
@@ -49,19 +50,27 @@ def compile_ready(code: Column) -> Column:
     return first.rlike("|".join(keywords))
 
 
+def lowered_output(stdout: Column, stderr: Column) -> Column:
+    """Both streams as one lower-case text, for the predicates below."""
+    return F.lower(F.concat_ws("\n", stdout, stderr))
+
+
+def names_syntax_error(lowered: Column) -> Column:
+    return reduce(lambda a, b: a | b, [lowered.contains(i) for i in SYNTAX_INDICATORS])
+
+
 def syntax_valid(stdout: Column, stderr: Column) -> Column:
-    pattern = "|".join(SYNTAX_INDICATORS)
-    return ~(F.lower(stdout).rlike(pattern) | F.lower(stderr).rlike(pattern))
+    return ~names_syntax_error(lowered_output(stdout, stderr))
 
 
 def semantic_valid(stdout: Column, stderr: Column, returncode: Column) -> Column:
-    mentions = F.lower(stdout).contains("error") | F.lower(stderr).contains("error")
-    return syntax_valid(stdout, stderr) & (returncode != 1) & ~mentions
+    lowered = lowered_output(stdout, stderr)
+    return ~names_syntax_error(lowered) & (returncode != 1) & ~lowered.contains("error")
 
 
-def test_result(stdout: Column) -> Column:
+def test_result(stdout: Column, schema: str = TEST_RESULT) -> Column:
     """Outermost ``{...}`` of the cleaned output as a struct, null when it is no JSON."""
-    return F.from_json(F.nullif(F.regexp_extract(clean_ansi(stdout), r"(?s)\{.*\}", 0), F.lit("")), TEST_RESULT)
+    return F.from_json(F.nullif(F.regexp_extract(clean_ansi(stdout), r"(?s)\{.*\}", 0), F.lit("")), schema)
 
 
 def all_tests_passed(result: Column) -> Column:

@@ -111,3 +111,10 @@ def id_bucket(column: Column | str, bits: int = 20) -> Column:
     """Bucket of at most ``2**bits`` distinct ids, in id order."""
     col = F.col(column) if isinstance(column, str) else column
     return F.shiftright(col.cast("long"), bits)
+
+
+def text_bucket(column: Column | str) -> Column:
+    """Bucket by the first two characters, in text order."""
+    col = F.col(column) if isinstance(column, str) else column
+    second = F.ascii(F.substr(col, F.lit(2)))
+    return F.coalesce(F.ascii(col).cast("long") * 2097152 + second, F.lit(-1).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
-from tallyforge.operators.ordering import row_numbers
+from tallyforge.operators.ordering import row_numbers, text_bucket
 
 # Label prefix removed for display, and the text for a name without documentation.
 LABEL_PREFIX = "root.std."
@@ -107,8 +107,7 @@ def label_matrix(pairs: DataFrame, labels: Sequence[str], task: str = "task_id")
 def label_matrix_entries(pairs: DataFrame, task: str = "task_id") -> DataFrame:
     """The ones of the indicator matrix as (task, column) for label sets of any size."""
     names = pairs.select("label").distinct()
-    first_two = F.ascii("label") * 2097152 + F.ascii(F.substr(F.col("label"), F.lit(2)))
-    numbered = row_numbers(names, [], ["label"], first_two.cast("long"), "column")
+    numbered = row_numbers(names, [], ["label"], text_bucket("label"), "column")
     return pairs.distinct().join(numbered, "label").select(task, (F.col("column") - 1).alias("column"), "label")
 
 

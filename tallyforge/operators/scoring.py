@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import errors as E
@@ -26,11 +26,13 @@ def with_error_type(outputs: DataFrame) -> DataFrame:
 
     Needs ``stdout, stderr, returncode`` of the build and ``tests_stdout`` of the tests.
     """
-    out, err = F.col("stdout"), F.col("stderr")
-    kind = (F.when(~E.syntax_valid(out, err), "syntax")
-            .when(~E.semantic_valid(out, err, F.col("returncode")), "semantic")
-            .when(~E.all_tests_passed(E.test_result(F.col("tests_stdout"))), "tests"))
-    return outputs.withColumn("error_type", kind)
+    lowered = F.col("__lowered")
+    kind = (F.when(E.names_syntax_error(lowered), "syntax")
+            .when((F.col("returncode") == 1) | lowered.contains("error"), "semantic")
+            .when(~E.all_tests_passed(E.test_result(F.col("tests_stdout"), E.TEST_TOTALS)), "tests"))
+    # A column of its own, so that both streams are lowered once per row.
+    staged = outputs.withColumn("__lowered", E.lowered_output(F.col("stdout"), F.col("stderr")))
+    return staged.withColumn("error_type", kind).drop("__lowered")
 
 
 def passed(metric: str, error_type: str = "error_type") -> Column:
@@ -118,11 +120,11 @@ def mean_std_folds(fold_means: DataFrame, keys: Sequence[str], folds: int = 3, f
     (default: the keys without metric and k).
     """
     model_keys = list(model_keys or [k for k in keys if k not in ("metric", "k")])
-    complete = (fold_means.groupBy(*model_keys).agg(F.countDistinct(fold).alias("__folds"))
-                .filter(F.col("__folds") == folds).drop("__folds"))
-    rolled = fold_means.groupBy(*keys).agg(
+    # Folds, metrics and ks of one model: a handful of rows, already aggregated.
+    seen = F.size(F.collect_set(fold).over(Window.partitionBy(*model_keys)))
+    complete = fold_means.withColumn("__folds", seen).filter(F.col("__folds") == folds)
+    return complete.groupBy(*keys).agg(
         round_half_even(F.avg("mean")).alias("mean"), round_half_even(F.stddev_pop("mean")).alias("std"))
-    return rolled.join(complete, model_keys, "left_semi")
 
 
 def seed_union(runs: DataFrame, keys: Sequence[str], seed: str = "seed") -> DataFrame:
