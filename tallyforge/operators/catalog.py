@@ -14,6 +14,7 @@ _DECLARATION = re.compile(
     r"(?P<module>module(?:\s*\(.*?\))?\s+(?P<module_name>\w+)\s*\{)"
     r"|(?P<type>type\s+(?P<type_name>\w+)\s+(?P<base>\w+))"
     r"|(?P<entry>(?:extern\s+)?(?P<kind>func|event)(?:\s*\((?P<header>.*?)\))?\s+(?P<entry_name>\w+)\s*\{)")
+_ROWS_PER_BATCH = 10000
 _DOC = re.compile(r'\s*doc\s*:\s*"([^"]*)"\s*$')
 
 
@@ -60,12 +61,16 @@ def _entries(text: str) -> Iterator[dict]:
 
 def extract_catalog(files: DataFrame) -> DataFrame:
     """Rows of all library files (columns ``path, text``); one file is the unit of work."""
-    columns = [c.split()[0] for c in CATALOG.split(", ")]
+    columns = [c.split()[0] for c in CATALOG.split(", ")] + ["path", "position"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found: list[dict] = []
             for path, text in zip(batch["path"], batch["text"]):
-                found = pd.DataFrame(list(_entries(text or "")), columns=columns)
-                yield found.assign(path=path, position=range(1, len(found) + 1))
+                found += [{**e, "path": path, "position": i} for i, e in enumerate(_entries(text or ""), 1)]
+                if len(found) >= _ROWS_PER_BATCH:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+            yield pd.DataFrame(found, columns=columns)
 
     return files.select("path", "text").mapInPandas(rows, f"{CATALOG}, path string, position int")

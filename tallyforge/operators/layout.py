@@ -106,7 +106,7 @@ def overlap_flags(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
                .agg(F.lit(True).alias("__touched")))
     crowded = occupants.filter(F.col("__in_cell") > 1).select(*cell, F.lit(True).alias("__touched"))
     return (celled.join(touched.unionByName(crowded), cell, "left")
-            .select(*keys, "type", "x", "y", "copies", F.coalesce("__touched", F.lit(False)).alias("overlaps")))
+            .select(*keys, "type", "x", "y", "copies", F.coalesce("__touched", F.lit(False)).alias("overlapping")))
 
 
 def boxes_overlap(a: str, b: str) -> Column:
@@ -121,7 +121,7 @@ def boxes_overlap(a: str, b: str) -> Column:
 
 def overlap_score(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of nodes that overlap no other node, and the number of nodes."""
-    clear = F.sum(F.when(~F.col("overlaps"), F.col("copies")).otherwise(0))
+    clear = F.sum(F.when(~F.col("overlapping"), F.col("copies")).otherwise(0))
     return flags.groupBy(*keys).agg(
         F.sum("copies").alias("nodes"), (clear / F.sum("copies")).alias("overlap_score"))
 
