@@ -9,7 +9,6 @@ meet the nodes of the neighbouring cells, which bounds the work per node.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,8 @@ _WIDTHS = [w for w, _ in (*NODE_SIZES.values(), OTHER_SIZE)]
 _HEIGHTS = [h for _, h in (*NODE_SIZES.values(), OTHER_SIZE)]
 # Two nodes in a cell are closer than the smallest node is wide and high.
 _CELL_X, _CELL_Y = min(_WIDTHS), min(_HEIGHTS)
-_REACH_X, _REACH_Y = -(-max(_WIDTHS) // _CELL_X), -(-max(_HEIGHTS) // _CELL_Y)
+# No two nodes overlap when their centres are further apart than the largest node is wide or high.
+_REACH_X, _REACH_Y = max(_WIDTHS), max(_HEIGHTS)
 
 
 def _size(kind: Column, index: int) -> Column:
@@ -79,6 +79,38 @@ def flow_direction_score(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("flow_score", F.coalesce(share, F.lit(1.0)))
 
 
+def _with_cell(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumns({"__cx": F.floor(F.col("x") / _CELL_X), "__cy": F.floor(F.col("y") / _CELL_Y)})
+
+
+def _occupied_cells(celled: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Number of nodes per cell and, where it is one, that node."""
+    return celled.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("__in_cell"), F.first(F.struct("type", "x", "y")).alias("__only"))
+
+
+def _touched_alone(occupied: DataFrame, celled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells of a single node that overlaps a node of another cell.
+
+    A wide cell spans twice the reach, so a node looks into 2 x 2 of them.  At most 64
+    single nodes look into any wide cell, which bounds the matches per node.
+    """
+    def wide(axis: str, reach: int, shift: int = 0) -> Column:
+        return F.floor((F.col(axis) + shift) / (2 * reach))
+
+    def span(axis: str, reach: int) -> Column:
+        return F.explode(F.sequence(wide(f"__only.{axis}", reach, -reach), wide(f"__only.{axis}", reach, reach)))
+
+    probes = (occupied.filter(F.col("__in_cell") == 1).drop("__in_cell")
+              .withColumn("__wx", span("x", _REACH_X)).withColumn("__wy", span("y", _REACH_Y)))
+    placed = celled.select(
+        *keys, "type", "x", "y", F.col("__cx").alias("__bx"), F.col("__cy").alias("__by"),
+        wide("x", _REACH_X).alias("__wx"), wide("y", _REACH_Y).alias("__wy"))
+    itself = (F.col("__cx") == F.col("__bx")) & (F.col("__cy") == F.col("__by"))
+    return (probes.join(placed, [*keys, "__wx", "__wy"]).filter(~itself & boxes_overlap("__only.", ""))
+            .select(*keys, "__cx", "__cy").distinct())
+
+
 def overlap_flags(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct placed nodes with their number of copies and whether they overlap another node.
 
@@ -86,27 +118,26 @@ def overlap_flags(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     can reach, however many nodes share a place.
     """
     spots = nodes.groupBy(*keys, "type", "x", "y").agg(F.count(F.lit(1)).alias("copies"))
-    celled = spots.select(
-        "*", F.floor(F.col("x") / _CELL_X).alias("__cx"), F.floor(F.col("y") / _CELL_Y).alias("__cy"))
     cell = [*keys, "__cx", "__cy"]
-    occupants = celled.groupBy(*cell).agg(
-        F.sum("copies").alias("__in_cell"),
-        F.first(F.struct("type", "x", "y")).alias("__only"))
-    alone = occupants.filter(F.col("__in_cell") == 1).select(*cell, "__only")
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                      for dx, dy in product(range(-_REACH_X, _REACH_X + 1), range(-_REACH_Y, _REACH_Y + 1))
-                      if (dx, dy) != (0, 0)])
-    probes = alone.select(*keys, F.col("__cx").alias("__px"), F.col("__cy").alias("__py"), "__only",
-                          F.explode(steps).alias("__s")).select(
-        *keys, "__px", "__py", "__only",
-        (F.col("__px") + F.col("__s.dx")).alias("__cx"), (F.col("__py") + F.col("__s.dy")).alias("__cy"))
-    touched = (probes.join(celled.select(*cell, "type", "x", "y"), cell)
-               .filter(boxes_overlap("__only.", ""))
-               .groupBy(*keys, F.col("__px").alias("__cx"), F.col("__py").alias("__cy"))
-               .agg(F.lit(True).alias("__touched")))
-    crowded = occupants.filter(F.col("__in_cell") > 1).select(*cell, F.lit(True).alias("__touched"))
-    return (celled.join(touched.unionByName(crowded), cell, "left")
-            .select(*keys, "type", "x", "y", "copies", F.coalesce("__touched", F.lit(False)).alias("overlapping")))
+    occupied = _occupied_cells(_with_cell(nodes), cell)
+    crowded = occupied.filter(F.col("__in_cell") > 1).select(*cell)
+    hit = _touched_alone(occupied, _with_cell(spots), keys).unionByName(crowded).withColumn("__hit", F.lit(True))
+    return _with_cell(spots).join(hit, cell, "left").select(
+        *keys, "type", "x", "y", "copies", F.coalesce("__hit", F.lit(False)).alias("overlapping"))
+
+
+def overlap_score(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Share of nodes that overlap no other node, and the number of nodes.
+
+    Only nodes alone in their cell can be clear, so counting cells is enough.
+    """
+    celled = _with_cell(nodes)
+    occupied = _occupied_cells(celled, [*keys, "__cx", "__cy"])
+    totals = occupied.groupBy(*keys).agg(
+        F.sum("__in_cell").alias("nodes"), F.count_if(F.col("__in_cell") == 1).alias("__alone"))
+    touched = _touched_alone(occupied, celled, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__touched"))
+    clear = F.col("__alone") - F.coalesce("__touched", F.lit(0))
+    return totals.join(touched, list(keys), "left").select(*keys, "nodes", (clear / F.col("nodes")).alias("overlap_score"))
 
 
 def boxes_overlap(a: str, b: str) -> Column:
@@ -119,20 +150,13 @@ def boxes_overlap(a: str, b: str) -> Column:
     return ~(apart("x", 0) | apart("y", 1))
 
 
-def overlap_score(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Share of nodes that overlap no other node, and the number of nodes."""
-    clear = F.sum(F.when(~F.col("overlapping"), F.col("copies")).otherwise(0))
-    return flags.groupBy(*keys).agg(
-        F.sum("copies").alias("nodes"), (clear / F.sum("copies")).alias("overlap_score"))
-
-
 def layout_score(nodes: DataFrame, keys: Sequence[str], programs: DataFrame | None = None) -> DataFrame:
     """Weighted mix of both scores per program.
 
     ``programs`` may list programs without any node or function; they score 0.
     """
     flow = flow_direction_score(flow_pairs(nodes, keys)).select(*keys, "flow_score")
-    overlap = overlap_score(overlap_flags(nodes, keys), keys)
+    overlap = overlap_score(nodes, keys)
     mix = F.lit(FLOW_WEIGHT) * F.col("flow_score") + F.lit(OVERLAP_WEIGHT) * F.col("overlap_score")
     scored = flow.join(overlap, list(keys)).withColumn("layout_score", mix)
     if programs is None:

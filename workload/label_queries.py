@@ -27,11 +27,10 @@ def _labelled(spark, d):
     return V.task_labels(spark, d).withColumn("split", F.expr(_SPLIT))
 
 
-@query("used_catalog", "SELECT function_name, doc FROM catalog WHERE function_name IN (SELECT label FROM task_label_rows WHERE task_id % 2 = 0)",
+@query("used_catalog", "SELECT function_name, doc FROM catalog WHERE function_name IN (SELECT label FROM task_label_rows)",
        ("catalog", "task_label_rows"))
 def used_catalog(spark, d):
-    labels = V.view(spark, d, "task_label_rows").filter("task_id % 2 = 0")
-    return M.used_catalog(V.view(spark, d, "catalog"), labels)
+    return M.used_catalog(V.view(spark, d, "catalog"), V.view(spark, d, "task_label_rows"))
 
 
 @query("missing_labels", "SELECT DISTINCT label FROM task_label_rows WHERE label NOT IN (SELECT function_name FROM catalog)",

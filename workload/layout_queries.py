@@ -55,7 +55,7 @@ def overlap_pairs(spark, d):
 
 @query("overlap_score", f"WITH {_FLAGS}, {_OVER} SELECT program_id, nodes, round(overlap_score, 6) AS overlap_score FROM over", ("placed_nodes",))
 def overlap_score(spark, d):
-    scored = L.overlap_score(L.overlap_flags(_nodes(spark, d), KEY), KEY)
+    scored = L.overlap_score(_nodes(spark, d), KEY)
     return scored.withColumn("overlap_score", F.round("overlap_score", 6))
 
 

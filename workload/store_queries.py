@@ -155,7 +155,7 @@ def quality_checks(spark, d):
 
 @query("rerun_plan", f"""{_TABLES}, r AS (SELECT DISTINCT experiment, model_name, eval_method FROM base)
     SELECT experiment, model_name, eval_method, CASE WHEN n > 0 THEN 'skip' ELSE 'run' END AS action,
-        0 AS delete_stored, CASE WHEN n > 0 THEN 0 ELSE e END AS delete_errors FROM (SELECT *,
+        cast(0 AS bigint) AS delete_stored, CASE WHEN n > 0 THEN 0 ELSE e END AS delete_errors FROM (SELECT *,
         (SELECT count(*) FROM results s WHERE (s.experiment, s.model_name, s.eval_method) = (r.experiment, r.model_name, r.eval_method)) AS n,
         (SELECT count(*) FROM errors s WHERE (s.experiment, s.model_name, s.eval_method) = (r.experiment, r.model_name, r.eval_method)
             AND phase = 'testing') AS e FROM r)""")
