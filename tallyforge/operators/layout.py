@@ -79,50 +79,67 @@ def flow_direction_score(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("flow_score", F.coalesce(share, F.lit(1.0)))
 
 
-def _with_cell(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumns({"__cx": F.floor(F.col("x") / _CELL_X), "__cy": F.floor(F.col("y") / _CELL_Y)})
+def _boxes(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Position, size and cell of every node, numbers only."""
+    kind = F.col("type")
+    return nodes.select(
+        *keys, "x", "y", _size(kind, 0).alias("__w"), _size(kind, 1).alias("__h"),
+        F.floor(F.col("x") / _CELL_X).alias("__cx"), F.floor(F.col("y") / _CELL_Y).alias("__cy"))
 
 
-def _occupied_cells(celled: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Number of nodes per cell and, where it is one, that node."""
-    return celled.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("__in_cell"), F.first(F.struct("type", "x", "y")).alias("__only"))
+def _occupied_cells(boxes: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Number of nodes per cell and, of use where it is one, a node of it."""
+    return boxes.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("__in_cell"), *[F.min(c).alias(f"__a{c.strip('_')}") for c in ("x", "y", "__w", "__h")])
 
 
-def _touched_alone(occupied: DataFrame, celled: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _touched_alone(occupied: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells of a single node that overlaps a node of another cell.
 
     A wide cell spans twice the reach, so a node looks into 2 x 2 of them.  At most 64
     single nodes look into any wide cell, which bounds the matches per node.
     """
-    def wide(axis: str, reach: int, shift: int = 0) -> Column:
-        return F.floor((F.col(axis) + shift) / (2 * reach))
+    def wide(position: str, reach: int, shift: int = 0) -> Column:
+        return F.floor((F.col(position) + shift) / (2 * reach))
 
-    def span(axis: str, reach: int) -> Column:
-        return F.explode(F.sequence(wide(f"__only.{axis}", reach, -reach), wide(f"__only.{axis}", reach, reach)))
+    def span(position: str, reach: int) -> Column:
+        return F.explode(F.sequence(wide(position, reach, -reach), wide(position, reach, reach)))
 
     probes = (occupied.filter(F.col("__in_cell") == 1).drop("__in_cell")
-              .withColumn("__wx", span("x", _REACH_X)).withColumn("__wy", span("y", _REACH_Y)))
-    placed = celled.select(
-        *keys, "type", "x", "y", F.col("__cx").alias("__bx"), F.col("__cy").alias("__by"),
+              .withColumn("__wx", span("__ax", _REACH_X)).withColumn("__wy", span("__ay", _REACH_Y)))
+    placed = boxes.select(
+        *keys, "x", "y", "__w", "__h", F.col("__cx").alias("__bx"), F.col("__cy").alias("__by"),
         wide("x", _REACH_X).alias("__wx"), wide("y", _REACH_Y).alias("__wy"))
     itself = (F.col("__cx") == F.col("__bx")) & (F.col("__cy") == F.col("__by"))
-    return (probes.join(placed, [*keys, "__wx", "__wy"]).filter(~itself & boxes_overlap("__only.", ""))
+    # Size estimates do not see the probes multiply, hence no broadcast.
+    return (probes.hint("merge").join(placed, [*keys, "__wx", "__wy"]).filter(~itself & _boxes_overlap())
             .select(*keys, "__cx", "__cy").distinct())
 
 
+def _boxes_overlap() -> Column:
+    """Whether a probing node and a placed node intersect; touching edges count."""
+    def apart(probe: str, node: str, probe_size: str, node_size: str) -> Column:
+        a, b = F.col(probe), F.col(node)
+        ha, hb = F.col(probe_size) / 2, F.col(node_size) / 2
+        return (a + ha < b - hb) | (a - ha > b + hb)
+
+    return ~(apart("__ax", "x", "__aw", "__w") | apart("__ay", "y", "__ah", "__h"))
+
+
 def overlap_flags(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct placed nodes with their number of copies and whether they overlap another node.
 
     Touching edges overlap.  Work per node is bounded by the number of cells a node
     can reach, however many nodes share a place.
     """
-    spots = nodes.groupBy(*keys, "type", "x", "y").agg(F.count(F.lit(1)).alias("copies"))
     cell = [*keys, "__cx", "__cy"]
-    occupied = _occupied_cells(_with_cell(nodes), cell)
+    boxes = _boxes(nodes, keys)
+    occupied = _occupied_cells(boxes, cell)
     crowded = occupied.filter(F.col("__in_cell") > 1).select(*cell)
-    hit = _touched_alone(occupied, _with_cell(spots), keys).unionByName(crowded).withColumn("__hit", F.lit(True))
-    return _with_cell(spots).join(hit, cell, "left").select(
+    hit = _touched_alone(occupied, boxes, keys).unionByName(crowded).withColumn("__hit", F.lit(True))
+    spots = nodes.groupBy(*keys, "type", "x", "y").agg(F.count(F.lit(1)).alias("copies")).withColumns(
+        {"__cx": F.floor(F.col("x") / _CELL_X), "__cy": F.floor(F.col("y") / _CELL_Y)})
+    return spots.join(hit.hint("merge"), cell, "left").select(
         *keys, "type", "x", "y", "copies", F.coalesce("__hit", F.lit(False)).alias("overlapping"))
 
 
@@ -131,23 +148,14 @@ def overlap_score(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Only nodes alone in their cell can be clear, so counting cells is enough.
     """
-    celled = _with_cell(nodes)
-    occupied = _occupied_cells(celled, [*keys, "__cx", "__cy"])
-    totals = occupied.groupBy(*keys).agg(
-        F.sum("__in_cell").alias("nodes"), F.count_if(F.col("__in_cell") == 1).alias("__alone"))
-    touched = _touched_alone(occupied, celled, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__touched"))
-    clear = F.col("__alone") - F.coalesce("__touched", F.lit(0))
-    return totals.join(touched, list(keys), "left").select(*keys, "nodes", (clear / F.col("nodes")).alias("overlap_score"))
-
-
-def boxes_overlap(a: str, b: str) -> Column:
-    """Whether the boxes centred at two nodes intersect; ``a`` and ``b`` are column prefixes."""
-    def apart(axis: str, size: int) -> Column:
-        pa, pb = F.col(f"{a}{axis}"), F.col(f"{b}{axis}")
-        ha, hb = _size(F.col(f"{a}type"), size) / 2, _size(F.col(f"{b}type"), size) / 2
-        return (pa + ha < pb - hb) | (pa - ha > pb + hb)
-
-    return ~(apart("x", 0) | apart("y", 1))
+    boxes = _boxes(nodes, keys)
+    occupied = _occupied_cells(boxes, [*keys, "__cx", "__cy"])
+    none = F.lit(0).cast("long")
+    cells = occupied.select(*keys, F.col("__in_cell").alias("nodes"),
+                            (F.col("__in_cell") == 1).cast("long").alias("__clear"))
+    touched = _touched_alone(occupied, boxes, keys).select(*keys, none.alias("nodes"), F.lit(-1).cast("long").alias("__clear"))
+    return cells.unionByName(touched).groupBy(*keys).agg(
+        F.sum("nodes").alias("nodes"), (F.sum("__clear") / F.sum("nodes")).alias("overlap_score"))
 
 
 def layout_score(nodes: DataFrame, keys: Sequence[str], programs: DataFrame | None = None) -> DataFrame:
@@ -155,10 +163,11 @@ def layout_score(nodes: DataFrame, keys: Sequence[str], programs: DataFrame | No
 
     ``programs`` may list programs without any node or function; they score 0.
     """
-    flow = flow_direction_score(flow_pairs(nodes, keys)).select(*keys, "flow_score")
-    overlap = overlap_score(nodes, keys)
-    mix = F.lit(FLOW_WEIGHT) * F.col("flow_score") + F.lit(OVERLAP_WEIGHT) * F.col("overlap_score")
-    scored = flow.join(overlap, list(keys)).withColumn("layout_score", mix)
+    parts = flow_direction_score(flow_pairs(nodes, keys)).select(*keys, "flow_score").unionByName(
+        overlap_score(nodes, keys), allowMissingColumns=True)
+    merged = parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("flow_score", "nodes", "overlap_score")])
+    scored = merged.withColumn(
+        "layout_score", F.lit(FLOW_WEIGHT) * F.col("flow_score") + F.lit(OVERLAP_WEIGHT) * F.col("overlap_score"))
     if programs is None:
         return scored
     return (programs.select(*keys).join(scored.select(*keys, "layout_score"), list(keys), "left")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BEFORE_ALL = Window.unboundedPreceding
+_FIRST_BUCKET = -(2 ** 62)
 
 
 def _filler(dtype: T.DataType) -> Column:
@@ -34,14 +35,16 @@ def _with_group_keys(df: DataFrame, keys: Sequence[str], bucket: Column) -> tupl
         columns.append(F.coalesce(F.col(key), _filler(field.dataType)).alias(f"__g{i}"))
         columns.append(F.col(key).isNull().alias(f"__n{i}"))
         names += [f"__g{i}", f"__n{i}"]
-    return df.select("*", *columns, bucket.alias("__bucket")), names
+    # Non-null on purpose: no null filter gets pushed into one reader of ``df`` only, so
+    # that the readers can share their exchange.
+    return df.select("*", *columns, F.coalesce(bucket, F.lit(_FIRST_BUCKET)).alias("__bucket")), names
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
                    values: dict[str, Column], totals: bool = False) -> DataFrame:
     """Add, for each name in ``values``, the sum from the start of the group up to this row.
 
-    ``bucket`` must be non-null and never decrease along ``order``; ``order`` should
+    ``bucket`` must never decrease along ``order`` (null comes first); ``order`` should
     be unique within a group so that the result does not depend on the partitioning.
     With ``totals``, the sum over the whole group is added as ``<name>_total``.
     """
@@ -57,7 +60,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
         *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in names],
         *([F.sum(f"__s_{n}").over(whole).alias(f"{n}_total") for n in names] if totals else []))
     local = tagged.select("*", *[F.sum(f"__v_{n}").over(within).alias(f"__l_{n}") for n in names])
-    return local.join(offsets, [*group, "__bucket"]).select(
+    # The window has already partitioned and sorted its rows by the join keys, so a merge
+    # join moves only the offsets.
+    return local.join(offsets.hint("merge"), [*group, "__bucket"]).select(
         *df.columns, *[(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in names],
         *([f"{n}_total" for n in names] if totals else []))
 
@@ -80,7 +85,7 @@ def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
         F.lead("__head").over(Window.partitionBy(*group).orderBy("__bucket")).alias("__next_head"))
     return (
         tagged.withColumn("__next", F.lead(F.struct(value)).over(within))
-        .join(following, [*group, "__bucket"])
+        .join(following.hint("merge"), [*group, "__bucket"])
         .withColumn(out, F.coalesce("__next", "__next_head")[value])
         .select(*df.columns, out)
     )

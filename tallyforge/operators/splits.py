@@ -11,7 +11,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ordering import hashed_key, key_bucket, row_numbers, running_totals
+from tallyforge.operators.ordering import hashed_key, id_bucket, key_bucket, row_numbers, running_totals
+from tallyforge.session import materialize
 
 
 def _positions(df: DataFrame, keys: list[str], row_id: str, key: Column | None, seed: int, totals: bool) -> DataFrame:
@@ -68,13 +69,15 @@ def multilabel_split(pairs: DataFrame, eval_size: float = 0.4, seed: int = 58, t
     get wrong.  Within that group tasks are lined up by label set and shuffle key and
     the held-out ones are taken at even steps, so every label set, and with it every
     label, is divided in proportion; validation and test take turns.  One pass, no
-    loop over labels, and no group in one task.
+    loop over labels, and no group in one task.  Runs a job that writes the task keys.
     """
-    distinct = pairs.select(task, label).distinct()
+    distinct = pairs.select(task, label).filter(F.col(task).isNotNull() & F.col(label).isNotNull()).distinct()
     sizes = distinct.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
-    tasks = distinct.join(sizes, label).groupBy(task).agg(
-        F.min(F.struct("__size", label))[label].alias("__rarest"),
-        F.bit_xor(label_code(F.col(label))).alias("__set"))
+    ranked = row_numbers(sizes, [], ["__size", label], id_bucket("__size", 10), "__rank").select(
+        label, "__rank", label_code(F.col(label)).alias("__code"))
+    # Written once: four readers follow.
+    tasks = materialize(distinct.join(ranked, label).groupBy(task).agg(
+        F.min("__rank").alias("__rarest"), F.bit_xor("__code").alias("__set")), "multilabel")
     keyed = tasks.withColumn("__key", key if key is not None else hashed_key(task, seed))
     in_set = row_numbers(keyed, ["__rarest", "__set"], ["__key", task], key_bucket(F.col("__key")), "__pos")
     set_sizes = tasks.groupBy("__rarest", "__set").agg(F.count(F.lit(1)).alias("__n"))

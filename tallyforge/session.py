@@ -65,11 +65,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Put a small input on all cores.
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Put a small input on all cores, hashed by a column of many values.
 
     An input that already has as many partitions as there are cores, as any large one
     does, is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df

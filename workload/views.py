@@ -112,13 +112,13 @@ ROWWISE = {
 }
 
 
-# Tables whose rows are worth moving when their file is a single row group.
-_SPREAD = {"documents", "events", "lineitem", "orders"}
+# Tables worth spreading when their file is a single row group, with the column to hash.
+_SPREAD = {"documents": "doc_id", "events": "event_id", "lineitem": "l_orderkey", "orders": "o_orderkey"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in _SPREAD else df
+    return spread(df, _SPREAD[name]) if name in _SPREAD else df
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
