@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
-from tallyforge.operators.ordering import running_totals
+from tallyforge.operators.ordering import number_bucket, running_totals
 
 # Node sizes (width, height) by type, the size of other types, and weights.
 NODE_SIZES = {
@@ -63,8 +63,7 @@ def flow_pairs(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     at_x = nodes.groupBy(*keys, "x").agg(
         F.count_if(kind == "in").alias("__in"), F.count_if(kind == "main").alias("__main"),
         F.count_if(kind == "out").alias("__out"))
-    bucket = F.floor(F.col("x") / 64)
-    counted = running_totals(at_x, keys, ["x"], bucket,
+    counted = running_totals(at_x, keys, ["x"], number_bucket("x"),
                              {"__ins": F.col("__in"), "__outs": F.col("__out")}, totals=True)
     left = F.col("__ins") - F.col("__in")
     right = F.col("__outs_total") - F.col("__outs")

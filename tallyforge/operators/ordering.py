@@ -27,7 +27,7 @@ def _filler(dtype: T.DataType) -> Column:
     return F.lit(0).cast(dtype)
 
 
-def _with_group_keys(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple[DataFrame, list[str]]:
+def with_group_keys(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple[DataFrame, list[str]]:
     """Add join-safe copies of the keys (null gets a filler plus a flag) and the bucket."""
     names, columns = [], []
     for i, key in enumerate(keys):
@@ -49,7 +49,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     With ``totals``, the sum over the whole group is added as ``<name>_total``.
     """
     names = list(values)
-    tagged, group = _with_group_keys(df, keys, bucket)
+    tagged, group = with_group_keys(df, keys, bucket)
     tagged = tagged.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()])
     within = Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(_BEFORE_ALL, 0)
     sums = tagged.groupBy(*group, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
@@ -76,7 +76,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
 def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                   value: str, out: str) -> DataFrame:
     """Add ``out``: ``value`` of the following row of the group, null for the last row."""
-    tagged, group = _with_group_keys(df, keys, bucket)
+    tagged, group = with_group_keys(df, keys, bucket)
     within = Window.partitionBy(*group, "__bucket").orderBy(*order)
     heads = tagged.groupBy(*group, "__bucket").agg(
         F.min_by(F.struct(value), F.struct(*order)).alias("__head"))
@@ -123,3 +123,14 @@ def text_bucket(column: Column | str) -> Column:
     col = F.col(column) if isinstance(column, str) else column
     second = F.ascii(F.substr(col, F.lit(2)))
     return F.coalesce(F.ascii(col).cast("long") * 2097152 + second, F.lit(-1).cast("long"))
+
+
+def number_bucket(column: Column | str) -> Column:
+    """Bucket of a real number: eighths within +-2**14, logarithmic beyond.
+
+    However far the values spread, there are a few hundred thousand buckets at most.
+    """
+    col = F.col(column) if isinstance(column, str) else column
+    edge = 2.0 ** 14
+    far = F.lit(int(edge) * 8) + F.floor(F.log2(F.greatest(F.abs(col), F.lit(edge)) / edge) * 256)
+    return F.when(F.abs(col) < edge, F.floor(col * 8)).when(col > 0, far).otherwise(-far - 1)

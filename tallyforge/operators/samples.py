@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.operators.ordering import row_numbers, text_bucket
+from tallyforge.session import known_size
 
 # Label prefix removed for display, and the text for a name without documentation.
 LABEL_PREFIX = "root.std."
@@ -107,7 +108,7 @@ def label_matrix(pairs: DataFrame, labels: Sequence[str], task: str = "task_id")
 def label_matrix_entries(pairs: DataFrame, task: str = "task_id") -> DataFrame:
     """The ones of the indicator matrix as (task, column) for label sets of any size."""
     names = pairs.select("label").distinct()
-    numbered = row_numbers(names, [], ["label"], text_bucket("label"), "column")
+    numbered = known_size(row_numbers(names, [], ["label"], text_bucket("label"), "column"), "label-columns")
     return pairs.distinct().join(numbered, "label").select(task, (F.col("column") - 1).alias("column"), "label")
 
 

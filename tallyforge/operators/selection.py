@@ -25,30 +25,33 @@ def coverage_select(pairs: DataFrame, k: int, task: str = "task_id", label: str
     """Greedy choice of ``k`` tasks that together cover the most labels (runs ``k`` jobs).
 
     Each round takes the task with the most labels not covered yet; ties go by shuffle
-    key.  Once nothing new can be covered, the rest is filled in shuffle order.  Only
-    the chosen id returns to the driver; labels stay in Spark.
+    key.  Once nothing new can be covered, the rest is filled in shuffle order.  The
+    label set of each task is written once; a round is then one scan without a
+    shuffle, and only the chosen id returns to the driver.
     """
     order = key or (lambda c: hashed_key(c, seed))
-    pool = materialize(pairs.select(task, label).distinct(), "coverage")
+    sets = pairs.groupBy(task).agg(F.collect_set(label).alias("__labels"))
+    pool = materialize(sets.withColumn("__key", order(task)), "coverage")
     chosen: list[tuple[int, int]] = []
     while len(chosen) < k:
         ids = [i for i, _ in chosen]
-        left = pool
+        left, gain = pool, F.size("__labels")
         if ids:
-            covered = pool.filter(F.col(task).isin(ids)).select(label).distinct()
-            left = pool.filter(~F.col(task).isin(ids)).join(covered, label, "left_anti")
-        gains = left.groupBy(task).agg(F.count(F.lit(1)).alias("gain"))
-        best = gains.agg(F.min_by(F.struct(task, "gain"), F.struct(-F.col("gain"), order(task), task))).first()[0]
-        if best is None:
+            covered = pool.filter(F.col(task).isin(ids)).select(F.explode("__labels").alias("l")).agg(
+                F.collect_set("l")).scalar()
+            left, gain = pool.filter(~F.col(task).isin(ids)), F.size(F.array_except("__labels", covered))
+        gains = left.select(task, "__key", gain.alias("gain"))
+        best = gains.agg(F.min(F.struct((-F.col("gain")).alias("loss"), "__key", F.col(task).alias("id")))).first()[0]
+        if best is None or best["loss"] >= 0:
             break
-        chosen.append((best[0], best[1]))
+        chosen.append((best["id"], -best["loss"]))
     if len(chosen) < k:
         ids = [i for i, _ in chosen]
-        rest = pool.select(task).distinct().filter(~F.col(task).isin(ids)) if ids else pool.select(task).distinct()
-        chosen += [(r[0], 0) for r in rest.orderBy(order(task), task).limit(k - len(chosen)).collect()]
+        rest = pool.filter(~F.col(task).isin(ids)) if ids else pool
+        chosen += [(r[0], 0) for r in rest.orderBy("__key", task).limit(k - len(chosen)).select(task).collect()]
     picks = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(i).alias("id"), F.lit(gain).cast("long").alias("gain"))
                       for rank, (i, gain) in enumerate(chosen, 1)])
-    rows = pool.filter(F.col(task).isin([i for i, _ in chosen])).select(task).distinct()
+    rows = pool.filter(F.col(task).isin([i for i, _ in chosen])).select(task)
     return (rows.select(task, F.explode(picks).alias("__p")).filter(F.col("__p.id") == F.col(task))
             .select("__p.rank", task, "__p.gain"))
 

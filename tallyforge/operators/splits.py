@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.ordering import hashed_key, id_bucket, key_bucket, row_numbers, running_totals
-from tallyforge.session import materialize
+from tallyforge.session import known_size, materialize
 
 
 def _positions(df: DataFrame, keys: list[str], row_id: str, key: Column | None, seed: int, totals: bool) -> DataFrame:
@@ -73,8 +73,8 @@ def multilabel_split(pairs: DataFrame, eval_size: float = 0.4, seed: int = 58, t
     """
     distinct = pairs.select(task, label).filter(F.col(task).isNotNull() & F.col(label).isNotNull()).distinct()
     sizes = distinct.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
-    ranked = row_numbers(sizes, [], ["__size", label], id_bucket("__size", 10), "__rank").select(
-        label, "__rank", label_code(F.col(label)).alias("__code"))
+    ranked = known_size(row_numbers(sizes, [], ["__size", label], id_bucket("__size", 10), "__rank").select(
+        label, "__rank", label_code(F.col(label)).alias("__code")), "label-ranks")
     # Written once: four readers follow.
     tasks = materialize(distinct.join(ranked, label).groupBy(task).agg(
         F.min("__rank").alias("__rarest"), F.bit_xor("__code").alias("__set")), "multilabel")

@@ -65,6 +65,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def known_size(df: DataFrame, tag: str) -> DataFrame:
+    """Write a derived table that is expected to be small, so that its size is known.
+
+    Spark broadcasts it on its own when the files are below
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
+    """
+    return materialize(df.coalesce(8), tag)
+
+
 def spread(df: DataFrame, by: str) -> DataFrame:
     """Put a small input on all cores, hashed by a column of many values.
 

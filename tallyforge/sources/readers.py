@@ -33,8 +33,8 @@ def read_clean_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def distinct_task_ids(tasks: DataFrame, position: Column, id_col: str = "task_id") -> DataFrame:
     """Distinct ids with the position of their first appearance, to sort by ``first_pos``."""
-    return (tasks.groupBy(F.col(id_col).cast("long").alias("task_id"))
-            .agg(F.min(position).alias("first_pos")))
+    placed = tasks.select(F.col(id_col).cast("long").alias("task_id"), position.alias("__pos"))
+    return placed.groupBy("task_id").agg(F.min("__pos").alias("first_pos"))
 
 
 def read_task_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: output tokens added to the largest prompt when a run record is repaired.
@@ -31,12 +31,16 @@ def repair_run_records(runs: DataFrame) -> DataFrame:
     Keeps the candidate list, and sets ``largest_context`` to the largest context
     found plus the output allowance.  Sound entries and records pass unchanged.
     """
-    pair_context = lambda v: F.try_variant_get(v, "$[1]", "int")
+    def pair_context(entry: Column) -> Column:
+        second = F.try_variant_get(entry, "$[1]", "variant")
+        is_pair = (F.schema_of_variant(second) == "BIGINT") & F.try_variant_get(entry, "$[2]", "variant").isNull()
+        return F.when(is_pair, F.try_variant_get(entry, "$[1]", "long"))
+
     entries = F.map_values("task_candidates")
     largest = F.array_max(F.transform(entries, pair_context))
     fixed = F.transform_values("task_candidates", lambda _, v: F.when(
-        pair_context(v).isNotNull() & F.try_variant_get(v, "$[2]", "variant").isNull(),
-        F.try_variant_get(v, "$[0]", "array<string>")).otherwise(F.try_variant_get(v, "$", "array<string>")))
+        pair_context(v).isNotNull(), F.try_variant_get(v, "$[0]", "array<string>")
+    ).otherwise(F.try_variant_get(v, "$", "array<string>")))
     return runs.select(
         *[c for c in runs.columns if c not in ("task_candidates", "largest_context")],
         F.coalesce(largest + OUTPUT_ALLOWANCE, F.col("largest_context")).alias("largest_context"),

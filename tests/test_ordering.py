@@ -44,7 +44,7 @@ def test_next_in_order_crosses_buckets(spark):
 
 def test_no_window_task_holds_a_whole_group(spark):
     df = spark.range(0, 100000).withColumn("k", F.lit("only"))
-    tagged, group = O._with_group_keys(df, ["k"], O.id_bucket("id", 10))
+    tagged, group = O.with_group_keys(df, ["k"], O.id_bucket("id", 10))
     largest = tagged.groupBy(*group, "__bucket").count().agg(F.max("count")).first()[0]
     assert largest <= 1024
 
@@ -61,3 +61,9 @@ def test_text_bucket_follows_text_order(spark):
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", O.text_bucket("w").alias("b")).collect()
     ordered = sorted(rows, key=lambda r: r.w.encode())
     assert [r.b for r in ordered] == sorted(r.b for r in rows)
+
+
+def test_number_bucket_follows_the_order(spark):
+    values = [-1e300, -1e9, -16385.0, -16384.0, -3.2, -0.01, 0.0, 0.01, 3.1, 16383.9, 16384.0, 17000.0, 1e9, 1e300]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", O.number_bucket("x").alias("b")).orderBy("x").collect()
+    assert [r.b for r in rows] == sorted(r.b for r in rows) and rows[0].b < rows[4].b < rows[8].b < rows[-1].b

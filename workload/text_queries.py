@@ -226,13 +226,13 @@ def parse_assertions(spark, d):
 
 
 @query("catalog_text", """
-    WITH p AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos,
+    WITH p AS (SELECT p_brand, p_partkey >> 12 AS stretch, row_number() OVER (PARTITION BY p_brand, p_partkey >> 12 ORDER BY p_partkey) AS pos,
         concat('Function node name: F', p_partkey, chr(10), ' Documentation: ', p_name, chr(10), chr(10)) AS t FROM part)
-    SELECT p_brand, (pos - 1) // 50 AS segment, count(*) AS chunks, string_agg(t, '' ORDER BY pos) AS text FROM p GROUP BY ALL""")
+    SELECT p_brand, stretch, cast((pos - 1) // 50 AS bigint) AS part, count(*) AS chunks, string_agg(t, '' ORDER BY pos) AS text FROM p GROUP BY ALL""")
 def catalog_text(spark, d):
     entry = M.catalog_entry_text(F.concat(F.lit("F"), F.col("p_partkey").cast("string")), F.col("p_name"))
     entries = V.table(spark, d, "part").select("p_brand", "p_partkey", entry.alias("content"))
-    return C.ordered_concat(entries, ["p_brand"], ["p_partkey"], id_bucket("p_partkey"), per_segment=50, separator="")
+    return C.ordered_concat(entries, ["p_brand"], ["p_partkey"], id_bucket("p_partkey", 12), per_part=50, separator="")
 
 
 # ---- sources and sinks -----------------------------------------------------------------------
