@@ -95,11 +95,12 @@ def _occupied_cells(boxes: DataFrame, cell: Sequence[str]) -> DataFrame:
 def _touched_alone(occupied: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells of a single node that overlaps a node of another cell.
 
-    A wide cell spans twice the reach, so a node looks into 2 x 2 of them.  At most 64
-    single nodes look into any wide cell, which bounds the matches per node.
+    A wide cell spans four times the reach, so a node looks into 2 x 2 of them at most.
+    No more than 144 single nodes look into any wide cell, which bounds the matches per
+    node.
     """
     def wide(position: str, reach: int, shift: int = 0) -> Column:
-        return F.floor((F.col(position) + shift) / (2 * reach))
+        return F.floor((F.col(position) + shift) / (4 * reach))
 
     def span(position: str, reach: int) -> Column:
         return F.explode(F.sequence(wide(position, reach, -reach), wide(position, reach, reach)))

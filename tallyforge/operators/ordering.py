@@ -1,10 +1,11 @@
 """Running totals, ranks and look-ahead inside groups of any size.
 
-A plain window puts a whole group into one task.  Here each group is cut into
-buckets that follow the sort order; the window runs per (group, bucket), and the
-per-bucket summaries, which are tiny, carry the group-wide offset.  The result
-equals the plain window for any bucket expression that never decreases along the
-order.
+A plain window puts a whole group into one task.  That is fine for most groups, so
+the group sizes are looked at first (one aggregation, combined before its shuffle).
+Only if some group is large are the large ones cut into buckets that follow the sort
+order; the window then runs per (group, bucket), and the per-bucket summaries, which
+are small, carry the group-wide offset.  The result equals the plain window for any
+bucket expression that never decreases along the order.
 """
 
 from __future__ import annotations
@@ -15,9 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.session import known_size
+
 _BEFORE_ALL = Window.unboundedPreceding
 _FIRST_BUCKET = -(2 ** 62)
 
+# Rows of one group that a single window task takes without a second thought.
+SPLIT_ABOVE = 1_000_000
+
 
 def _filler(dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
@@ -40,52 +46,81 @@ def with_group_keys(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple
     return df.select("*", *columns, F.coalesce(bucket, F.lit(_FIRST_BUCKET)).alias("__bucket")), names
 
 
+def _cut_large_groups(df: DataFrame, keys: Sequence[str], bucket: Column,
+                      split_above: int) -> tuple[DataFrame, list[str], DataFrame] | None:
+    """Rows with group keys and bucket, where only large groups keep more than one bucket.
+
+    Also returns the rows of the large groups alone.  None if no group is large.
+    """
+    tagged, group = with_group_keys(df, keys, bucket)
+    if not keys:
+        return tagged, group, tagged
+    large = known_size(tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(
+        F.col("__n") > split_above).select(*group, F.lit(True).alias("__large")), "large-groups")
+    if large.isEmpty():
+        return None
+    marked = tagged.join(large, group, "left").withColumn(
+        "__bucket", F.when(F.col("__large"), F.col("__bucket")).otherwise(F.lit(_FIRST_BUCKET)))
+    return marked.drop("__large"), group, tagged.join(large, group, "left_semi")
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
-                   values: dict[str, Column], totals: bool = False) -> DataFrame:
+                   values: dict[str, Column], totals: bool = False, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Add, for each name in ``values``, the sum from the start of the group up to this row.
 
     ``bucket`` must never decrease along ``order`` (null comes first); ``order`` should
     be unique within a group so that the result does not depend on the partitioning.
-    With ``totals``, the sum over the whole group is added as ``<name>_total``.
+    With ``totals``, the sum over the whole group is added as ``<name>_total``.  Runs a
+    job that looks for groups of more than ``split_above`` rows, unless there are no keys.
     """
     names = list(values)
-    tagged, group = with_group_keys(df, keys, bucket)
-    tagged = tagged.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()])
-    within = Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(_BEFORE_ALL, 0)
-    sums = tagged.groupBy(*group, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
+    valued = df.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()])
+    cut = _cut_large_groups(valued, keys, bucket, split_above)
+    if cut is None:
+        whole = Window.partitionBy(*keys)
+        upto = whole.orderBy(*order).rowsBetween(_BEFORE_ALL, 0)
+        return valued.select(
+            *df.columns, *[F.sum(f"__v_{n}").over(upto).alias(n) for n in names],
+            *([F.sum(f"__v_{n}").over(whole).alias(f"{n}_total") for n in names] if totals else []))
+    tagged, group, large = cut
+    part = Window.partitionBy(*group, "__bucket")
+    sums = large.groupBy(*group, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy("__bucket").rowsBetween(_BEFORE_ALL, -1)
-    offsets = sums.select(
+    offsets = known_size(sums.select(
         *group, "__bucket",
         *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in names],
-        *([F.sum(f"__s_{n}").over(whole).alias(f"{n}_total") for n in names] if totals else []))
-    local = tagged.select("*", *[F.sum(f"__v_{n}").over(within).alias(f"__l_{n}") for n in names])
-    # The window has already partitioned and sorted its rows by the join keys, so a merge
-    # join moves only the offsets.
-    return local.join(offsets.hint("merge"), [*group, "__bucket"]).select(
-        *df.columns, *[(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in names],
-        *([f"{n}_total" for n in names] if totals else []))
+        *[F.sum(f"__s_{n}").over(whole).alias(f"__t_{n}") for n in names]), "offsets")
+    local = tagged.select(
+        "*", *[F.sum(f"__v_{n}").over(part.orderBy(*order).rowsBetween(_BEFORE_ALL, 0)).alias(f"__l_{n}") for n in names],
+        *([F.sum(f"__v_{n}").over(part).alias(f"__p_{n}") for n in names] if totals else []))
+    return local.join(offsets, [*group, "__bucket"], "left").select(
+        *df.columns, *[(F.col(f"__l_{n}") + F.coalesce(f"__o_{n}", F.lit(0))).alias(n) for n in names],
+        *([F.coalesce(f"__t_{n}", f"__p_{n}").alias(f"{n}_total") for n in names] if totals else []))
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
-                out: str, totals: bool = False) -> DataFrame:
+                out: str, totals: bool = False, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Add ``out``: 1-based position of the row in its group, optionally with the group size."""
-    return running_totals(df, keys, order, bucket, {out: F.lit(1).cast("long")}, totals)
+    return running_totals(df, keys, order, bucket, {out: F.lit(1).cast("long")}, totals, split_above)
 
 
 def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                  value: str, out: str) -> DataFrame:
+                  value: str, out: str, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Add ``out``: ``value`` of the following row of the group, null for the last row."""
-    tagged, group = with_group_keys(df, keys, bucket)
+    cut = _cut_large_groups(df, keys, bucket, split_above)
+    if cut is None:
+        return df.withColumn(out, F.lead(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    tagged, group, large = cut
     within = Window.partitionBy(*group, "__bucket").orderBy(*order)
-    heads = tagged.groupBy(*group, "__bucket").agg(
+    heads = large.groupBy(*group, "__bucket").agg(
         F.min_by(F.struct(value), F.struct(*order)).alias("__head"))
-    following = heads.select(
+    following = known_size(heads.select(
         *group, "__bucket",
-        F.lead("__head").over(Window.partitionBy(*group).orderBy("__bucket")).alias("__next_head"))
+        F.lead("__head").over(Window.partitionBy(*group).orderBy("__bucket")).alias("__next_head")), "heads")
     return (
         tagged.withColumn("__next", F.lead(F.struct(value)).over(within))
-        .join(following.hint("merge"), [*group, "__bucket"])
+        .join(following, [*group, "__bucket"], "left")
         .withColumn(out, F.coalesce("__next", "__next_head")[value])
         .select(*df.columns, out)
     )

@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import ordering as O
@@ -15,10 +16,11 @@ def _rows(n=3000, hot=0.4, seed=1):
     return [(k, i, rng.randrange(0, 9)) for k, i in zip(keys, ids)]
 
 
-def test_running_total_matches_a_plain_window(spark):
+@pytest.mark.parametrize("split_above", [10, 500, 10 ** 6])
+def test_running_total_matches_a_plain_window(spark, split_above):
     rows = _rows()
     df = spark.createDataFrame(rows, "k string, id long, v long").repartition(7)
-    got = O.running_totals(df, ["k"], ["id"], O.id_bucket("id", 10), {"upto": F.col("v")}, totals=True).toPandas()
+    got = O.running_totals(df, ["k"], ["id"], O.id_bucket("id", 10), {"upto": F.col("v")}, True, split_above).toPandas()
     want = pd.DataFrame(rows, columns=["k", "id", "v"]).sort_values("id")
     want["upto"] = want.groupby("k", dropna=False)["v"].cumsum()
     want["upto_total"] = want.groupby("k", dropna=False)["v"].transform("sum")
@@ -33,10 +35,11 @@ def test_row_numbers_without_keys_are_a_permutation(spark):
     assert sorted(r.n for r in out.collect()) == list(range(1, 5001))
 
 
-def test_next_in_order_crosses_buckets(spark):
+@pytest.mark.parametrize("split_above", [10, 300, 10 ** 6])
+def test_next_in_order_crosses_buckets(spark, split_above):
     rows = _rows(800)
     df = spark.createDataFrame(rows, "k string, id long, v long").repartition(5)
-    got = {r.id: r.nxt for r in O.next_in_order(df, ["k"], ["id"], O.id_bucket("id", 12), "v", "nxt").collect()}
+    got = {r.id: r.nxt for r in O.next_in_order(df, ["k"], ["id"], O.id_bucket("id", 12), "v", "nxt", split_above).collect()}
     frame = pd.DataFrame(rows, columns=["k", "id", "v"]).sort_values("id")
     frame["nxt"] = frame.groupby("k", dropna=False)["v"].shift(-1)
     assert got == {int(i): (None if pd.isna(n) else int(n)) for i, n in zip(frame["id"], frame["nxt"])}
