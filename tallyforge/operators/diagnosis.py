@@ -122,11 +122,14 @@ def error_count_model(errors: DataFrame, model: str, phase: str) -> DataFrame:
 
 
 def error_log(scored: DataFrame, eval_method: Column, fold: str | None = "fold") -> DataFrame:
-    """Failing candidates as stored error rows; the fold is kept for k-fold runs only."""
+    """Failing candidates as stored error rows, with the seed of the attempt and the time.
+
+    The fold is kept for k-fold runs only.
+    """
     rows = scored.filter(~F.col("passed")).withColumn("eval_method", eval_method)
     if fold:
         rows = rows.withColumn(fold, F.when(F.col("eval_method") == "3_fold", F.col(fold)))
-    return rows.withColumn("seed", F.col("seed") * F.col("candidate_id"))
+    return rows.withColumns({"seed": F.col("seed") * F.col("candidate_id"), "created_at": F.current_timestamp()})
 
 
 def _outcome(column: str) -> Column:

@@ -68,13 +68,13 @@ def used_catalog(catalog: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels are reduced to distinct names before they meet the catalog.
     """
-    names = labels.select(F.col("label").alias("function_name")).distinct()
+    names = labels.select(bare_label(F.col("label")).alias("function_name")).distinct()
     return catalog.join(names, "function_name", "left_semi")
 
 
 def missing_labels(catalog: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct labels that the catalog does not know."""
-    return labels.select("label").distinct().join(
+    return labels.select(bare_label(F.col("label")).alias("label")).distinct().join(
         catalog.select(F.col("function_name").alias("label")), "label", "left_anti")
 
 

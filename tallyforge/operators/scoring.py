@@ -141,16 +141,17 @@ def deviation(scores: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
 
 
 def best_params(grid_scores: DataFrame, keys: Sequence[str], params: Sequence[str], score: str = "value",
-                position: str = "grid_pos") -> DataFrame:
+                position: str = "grid_pos", defaults: dict | None = None) -> DataFrame:
     """Parameters of the best run per key; the earliest run wins a tie.
 
     Keys where nothing scores above zero get the default parameters with score 0.
     """
+    fallback = DEFAULT_PARAMS if defaults is None else defaults
     ranked = F.struct(F.col(score).alias("score"), (-F.col(position)).alias("__pos"),
                       *[F.col(p) for p in params])
     best = grid_scores.groupBy(*keys).agg(F.max(F.when(F.col(score) > 0, ranked)).alias("__best"))
     return best.select(*keys, *[
-        F.when(F.col("__best").isNull(), F.lit(DEFAULT_PARAMS.get(p))).otherwise(F.col("__best")[p]).alias(p)
+        F.when(F.col("__best").isNull(), F.lit(fallback.get(p))).otherwise(F.col("__best")[p]).alias(p)
         for p in params], F.coalesce(F.col("__best")["score"], F.lit(0.0)).alias("score"))
 
 
@@ -247,6 +248,13 @@ def models_without_tokens(models: DataFrame, table: DataFrame, model: str = "mod
     return models.select(model).distinct().join(table, model, "left_anti")
 
 
+def tokens_of_models(models: DataFrame, table: DataFrame, model: str = "model", tokens: str = "max_tokens") -> DataFrame:
+    """Token figure of each model; a model that is not in the table is an error."""
+    unknown = F.raise_error(F.concat(F.lit("no token figure for model: "), F.col(model))).cast("long")
+    found = models.join(table.select(model, tokens), model, "left")
+    return found.withColumn(tokens, F.coalesce(F.col(tokens).cast("long"), unknown))
+
+
 def largest_context(prompts: DataFrame, run_keys: Sequence[str], sizes: Sequence[Column], output: Column) -> DataFrame:
     """Largest prompt-plus-output token count of a run over all its steps."""
     step = reduce(lambda a, b: F.greatest(a, b), [s + output for s in sizes])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import diagnosis as D
+from tallyforge.operators import layout as L
 from tallyforge.operators import scoring as S
 
 KS = (1, 2, 3, 5, 10)
@@ -38,6 +39,19 @@ def hold_out_results(outputs: DataFrame, experiment_keys: Sequence[str], seed: s
     return S.mean_std_runs(run_scores(outputs, [*keys, seed], ks), [*keys, "metric", "k"])
 
 
+def layout_results(scores: DataFrame, experiment_keys: Sequence[str], folds: int = 3, seed: str = "seed",
+                   fold: str = "fold", score: str = "layout_score") -> DataFrame:
+    """The ``nodes@flow`` rows of the result table, rolled up like the other metrics.
+
+    ``scores`` has one row per candidate; candidates that failed have no score.
+    """
+    keys = list(experiment_keys)
+    runs = L.nodes_at_flow(scores, [*keys, fold, seed], score=score).withColumns(
+        {"metric": F.lit("nodes"), "k": F.lit("flow")})
+    per_fold = S.mean_std_runs(runs, [*keys, fold, "metric", "k"], "nodes_at_flow")
+    return S.mean_std_folds(per_fold, [*keys, "metric", "k"], folds, fold, keys)
+
+
 def validation_winners(outputs: DataFrame, model_keys: Sequence[str], params: Sequence[str], metric: str,
                        k: int = 1, position: str = "grid_pos") -> DataFrame:
     """Best parameters of a validation grid by one metric."""

@@ -138,3 +138,25 @@ def test_validation_winner(spark):
     df = spark.createDataFrame(rows, "model string, temperature double, grid_pos int, task_id int, error_type string")
     got = P.validation_winners(df, ["model"], ["temperature"], "tests").first()
     assert (got.temperature, got.score) == (0.6, 1.0)
+
+
+def test_layout_rows_of_the_result_table(spark):
+    rows = [("m", f, s, t, 0.5 if t else None) for f in range(3) for s in (3, 75) for t in range(3)]
+    df = spark.createDataFrame(rows, "model string, fold int, seed int, task_id int, layout_score double")
+    got = P.layout_results(df, ["model"]).first()
+    assert (got.metric, got.k, got["mean"], got["std"]) == ("nodes", "flow", 0.5, 0.0)
+
+
+def test_other_defaults(spark):
+    df = spark.createDataFrame([("a", 0, 0.9, 0.0)], "model string, grid_pos int, temperature double, value double")
+    got = S.best_params(df, ["model"], ["temperature"], defaults={"temperature": 0.5}).first()
+    assert (got.temperature, got.score) == (0.5, 0.0)
+
+
+def test_unknown_model_has_no_token_figure(spark):
+    models = spark.createDataFrame([("a",), ("b",)], "model string")
+    table = spark.createDataFrame([("a", 7)], "model string, max_tokens int")
+    assert S.tokens_of_models(models.filter("model = 'a'"), table).first().max_tokens == 7
+    with pytest.raises(Exception, match="no token figure for model: b"):
+        S.tokens_of_models(models, table).collect()
+    assert [r.model for r in S.models_without_tokens(models, table).collect()] == ["b"]

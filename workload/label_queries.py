@@ -93,10 +93,10 @@ def pool_order(spark, d):
 
 # ---- set operations --------------------------------------------------------------------------
 
-@query("merge_train_test", "SELECT doc_id, lang FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 5 = 0")
+@query("merge_train_test", "SELECT doc_id, lang FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, lang FROM documents WHERE lang = 'en'")
 def merge_train_test(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", "lang")
-    return T.union_experiments([docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 5 = 0")])
+    return T.union_experiments([docs.filter("lang <> 'en'"), docs.filter("lang = 'en'")])
 
 
 @query("union_libraries", """
@@ -206,6 +206,6 @@ def filter_corpus_files(spark, d):
 
 @query("pca_2d")
 def pca_2d(spark, d):
-    named = {"even": vectors(spark, d).filter("label % 2 = 0"), "odd": vectors(spark, d).filter("label % 2 <> 0")}
+    named = {"low": vectors(spark, d).filter("label < 5"), "high": vectors(spark, d).filter("label >= 5")}
     projected = X.pca_2d(X.stack_datasets(named).select("id", "dataset", "vector"))
     return projected.select("id", "dataset", F.round(F.abs("pc1"), 4).alias("pc1"), F.round(F.abs("pc2"), 4).alias("pc2"))

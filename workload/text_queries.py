@@ -173,12 +173,12 @@ _LABELS = "concat('L', cast(doc_id % 25 AS string), ', root.', lang, ', List.Map
 
 @query("flatten_code_sample", f"""
     SELECT cast(doc_id + 600 AS string) AS "MBPP_task_id", cast(doc_id AS string) AS task_id, text AS task,
-        CASE WHEN doc_id % 3 = 0 THEN 'File not found' ELSE concat('code ', source) END AS response, {_LABELS} AS external_functions,
+        CASE WHEN lang = 'fr' THEN 'File not found' ELSE concat('code ', source) END AS response, {_LABELS} AS external_functions,
         concat('assert f(', n_chars, ') == 1') AS python_tests, concat('{{"n": ', n_chars, '}}') AS tests,
         concat('func() f', doc_id) AS function_signature, concat('pre ', lang) AS preconditions,
         concat('post ', source) AS postconditions, concat('flow ', source) AS flow_description FROM documents""")
 def flatten_code_sample(spark, d):
-    code = V.table(spark, d, "documents").filter("doc_id % 3 <> 0").selectExpr("doc_id AS task_id", "concat('code ', source) AS code")
+    code = V.table(spark, d, "documents").filter("lang <> 'fr'").selectExpr("doc_id AS task_id", "concat('code ', source) AS code")
     flat = M.flatten_code_sample(R.code_by_task(_tasks(spark, d), code))
     return flat.withColumn("python_tests", F.array_join("python_tests", "|"))
 
@@ -333,9 +333,9 @@ def sink_json(spark, d):
 def sink_append(spark, d):
     path = scratch_path(spark, "append")
     orders = _orders(spark, d)
-    W.append_json(orders.filter("o_orderkey % 2 = 0"), path)
-    W.append_json(orders.filter("o_orderkey % 2 <> 0"), path)
-    orders.filter("o_orderkey % 10 = 3").selectExpr("concat('{\"o_orderkey\": ', o_orderkey, ', broken') AS value").write.mode("append").text(path)
+    W.append_json(orders.filter("o_orderstatus = 'O'"), path)
+    W.append_json(orders.filter("o_orderstatus <> 'O'"), path)
+    orders.selectExpr("concat('{\"o_orderkey\": ', o_orderkey, ', broken') AS value").write.mode("append").text(path)
     return R.read_clean_jsonl(spark, path, _ORDERS_DDL)
 
 

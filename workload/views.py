@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.ordering import next_in_order, row_numbers
@@ -129,15 +129,17 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.sql(sql.replace("{%s}" % source, alias))
 
 
-def _time_bucket(ts: str = "ts"):
-    # About 71 minutes of event time per bucket.
-    return F.shiftright(F.unix_micros(ts), 32)
+def _minute(df: DataFrame, ts: str = "ts") -> Column:
+    """Minutes in time order, for both timestamp types."""
+    if df.schema[ts].dataType.typeName() == "timestamp":
+        return F.floor(F.unix_micros(ts) / 60_000_000)
+    return F.unix_date(F.to_date(ts)) * 1440 + F.hour(ts) * 60 + F.minute(ts)
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates with their position per (task, seed)."""
-    trials = view(spark, folder, "trials").withColumn("ts", F.col("ts").cast("timestamp"))
-    return row_numbers(trials, ["task_id", "seed"], ["ts", "event_id"], _time_bucket(), "candidate_id").drop("ts")
+    rows = view(spark, folder, "trials")
+    return row_numbers(rows, ["task_id", "seed"], ["ts", "event_id"], _minute(rows), "candidate_id").drop("ts")
 
 
 def trials(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,9 +149,8 @@ def trials(spark: SparkSession, folder: str) -> DataFrame:
 
 def refined(spark: SparkSession, folder: str) -> DataFrame:
     """Refinement records: first and last error category of a candidate."""
-    events = table(spark, folder, "events").select(
-        "event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    chained = next_in_order(events, ["user_id"], ["ts", "event_id"], _time_bucket(), "event_type", "following")
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts")
+    chained = next_in_order(events, ["user_id"], ["ts", "event_id"], _minute(events), "event_type", "following")
     return chained.select(
         "event_id", F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"),
         F.when(F.col("user_id") % 2 == 0, "regular").otherwise("signature").alias("prompt"),
