@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import context as C
-from tallyforge.operators.selection import similarity_select
+from tallyforge.operators.selection import knn_topk
 
 
-def similarity_prompts(tasks: DataFrame, examples: DataFrame, shots: int, templates: C.PromptTemplates,
-                       exclude_self: bool = False) -> DataFrame:
-    """Prompts with the ``shots`` nearest examples each; both sides have ``id, vector`` and text columns."""
-    chosen = similarity_select(tasks.select("id", "vector"), examples, shots, exclude_self).select(
-        F.col("query_id").alias("id"), "rank", *[c for c in examples.columns if c not in ("id", "vector")])
-    return C.build_prompts(tasks.drop("vector"), chosen, templates, task="id")
+def similarity_prompts(queries: DataFrame, texts: DataFrame, pool: DataFrame, shots: int,
+                       templates: C.PromptTemplates, exclude_self: bool = False) -> DataFrame:
+    """Prompts with the ``shots`` nearest examples each.
+
+    ``queries`` and ``pool`` are (id, vector); ``texts`` has the columns the templates
+    use for every id.  Tasks are the queries that have a text.
+    """
+    near = knn_topk(queries.select("id", "vector"), pool.select("id", "vector"), shots, exclude_self)
+    chosen = near.select(F.col("query_id").alias("id"), "rank", "neighbor_id").join(
+        texts.withColumnRenamed("id", "neighbor_id"), "neighbor_id").drop("neighbor_id")
+    return C.build_prompts(texts.join(queries.select("id"), "id", "left_semi"), chosen, templates, task="id")
 
 
 def with_available_context(prompts: DataFrame, max_context: int, max_new_tokens: int) -> DataFrame:

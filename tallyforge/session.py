@@ -71,7 +71,8 @@ def known_size(df: DataFrame, tag: str) -> DataFrame:
     Spark broadcasts it on its own when the files are below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
-    return materialize(df.coalesce(8), tag)
+    # Rebalancing keeps the work before it parallel and lets few files be written.
+    return materialize(df.hint("rebalance"), tag)
 
 
 def spread(df: DataFrame, by: str) -> DataFrame:

@@ -188,7 +188,9 @@ def similarity_select(spark, d):
     return X.similarity_select(points.select("id", "vector"), points, 5, exclude_self=True)
 
 
-@query("build_chunk_index")
+@query("build_chunk_index", """
+    SELECT doc_id AS chunk_id, lang AS corpus, 256 AS dims,
+           CASE WHEN regexp_matches(text, '[A-Za-z0-9_]') THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM documents""")
 def build_chunk_index(spark, d):
     chunks = V.view(spark, d, "chunks").select("chunk_id", "corpus", "content")
     return X.build_chunk_index(chunks).select(
