@@ -55,10 +55,11 @@ def _cut_large_groups(df: DataFrame, keys: Sequence[str], bucket: Column,
     tagged, group = with_group_keys(df, keys, bucket)
     if not keys:
         return tagged, group, tagged
-    large = known_size(tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(
-        F.col("__n") > split_above).select(*group, F.lit(True).alias("__large")), "large-groups")
-    if large.isEmpty():
+    sizes = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    largest = sizes.agg(F.max("__n")).first()[0]
+    if largest is None or largest <= split_above:
         return None
+    large = known_size(sizes.filter(F.col("__n") > split_above).select(*group, F.lit(True).alias("__large")), "large-groups")
     marked = tagged.join(large, group, "left").withColumn(
         "__bucket", F.when(F.col("__large"), F.col("__bucket")).otherwise(F.lit(_FIRST_BUCKET)))
     return marked.drop("__large"), group, tagged.join(large, group, "left_semi")
