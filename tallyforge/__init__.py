@@ -1,7 +1,9 @@
 """tallyforge: generation-evaluation analytics as Spark jobs.
 
 Every public function takes DataFrames (or Columns) and returns a DataFrame
-(or a Column).  Nothing here runs a Spark action unless its docstring says so.
+(or a Column).  Most only describe a plan.  Those that rank or total within groups,
+count their inputs or write scratch tables also run small Spark jobs while the plan
+is built.
 """
 
 __version__ = "0.1.0"
