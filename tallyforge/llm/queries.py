@@ -5,12 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import simhash
+from tallyforge.llm import simhash, tokens, warc
 from tallyforge.llm.common import read
 from tallyforge.llm.registry import query
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_definition(path: str | None = None) -> str:
+    """The JSON text of a tokenizer file, by default the public one the queries use."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
 
 @query("op10_simhash_components")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op1_warc_bundles")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    kind = pages.schema["page_id"].dataType
+    found = warc.read_records(spark, warc.write_bundles(pages))
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
+
+
+@query("op7_pfor_tokens")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    found = tokens.read_documents(spark, tokens.write_tokens(docs, tokenizer_definition()))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
