@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import simhash, tokens, warc
+from tallyforge.llm import mixing, quality, shards, simhash, tokens, warc
 from tallyforge.llm.common import read
 from tallyforge.llm.registry import query
 
@@ -41,3 +41,43 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     found = tokens.read_documents(spark, tokens.write_tokens(docs, tokenizer_definition()))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op2_virtual_slots")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.assign(read(spark, folder, "documents"))
+
+
+OP6_SQL = """
+WITH docs AS (
+    SELECT doc_id, text, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size,
+           md5(coalesce(cast(doc_id AS varchar), text, '')) AS key FROM documents),
+sources AS (SELECT source, sum(size)::bigint AS source_size FROM docs GROUP BY source),
+numbered AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n, source_size * 3 AS most FROM sources),
+weighted AS (SELECT *, [5, 2, 1][(n % 3 + 1)::int] AS weight FROM numbered),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER w, 0))::double
+                     / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+           FROM weighted WINDOW w AS (ORDER BY most / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+share AS (SELECT arg_min(level, (most / weight, n)) AS share FROM levels WHERE level <= most / weight),
+targets AS (SELECT source, source_size, least(share * weight, most::double) AS target FROM levels, share),
+placed AS (SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::bigint AS due,
+                  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS first
+           FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       list_sum([greatest(0, least(size, due - first - source_size * p)) FOR p IN [0, 1, 2, 3]])::bigint AS taken FROM placed"""
+
+
+@query("op6_curriculum_mix", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.with_passes(read(spark, folder, "documents"), carry=["doc_id"])
+    ordered = mixed.orderBy(F.get("passes", F.lit(0))["position"].asc_nulls_last(), "row.doc_id")
+    return ordered.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_line_crf_quality")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.with_scores(docs, quality.train(docs, read(spark, folder, "labels")))
+    return scored.select("row.doc_id", quality.held_out(F.col("row.doc_id")).alias("held_out"), "score",
+                         quality.predicted(F.col("score")).alias("predicted"))
