@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing, quality, shards, simhash, tokens, warc
+from tallyforge.llm import mixing, quality, shards, simhash, tokens, transport, warc
 from tallyforge.llm.common import read
 from tallyforge.llm.registry import query
 
@@ -81,3 +81,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.with_scores(docs, quality.train(docs, read(spark, folder, "labels")))
     return scored.select("row.doc_id", quality.held_out(F.col("row.doc_id")).alias("held_out"), "score",
                          quality.predicted(F.col("score")).alias("predicted"))
+
+
+@query("op9_transport_streams")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return transport.read_media(spark.read.parquet(transport.write_media(read(spark, folder, "documents"))))
