@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing, quality, shards, simhash, tokens, transport, warc
+from tallyforge.llm import mixing, quality, secrets, shards, simhash, tokens, transport, warc
 from tallyforge.llm.common import read
 from tallyforge.llm.registry import query
 
@@ -86,3 +86,27 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_transport_streams")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return transport.read_media(spark.read.parquet(transport.write_media(read(spark, folder, "documents"))))
+
+
+OP4_SQL = r"""
+WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS text FROM documents),
+marked AS (
+    SELECT doc_id, kind, rank, least, pattern, grp,
+           string_split_regex(regexp_replace(text, pattern, chr(1) || '\0' || chr(2), 'g'), '[\x01\x02]') AS pieces
+    FROM texts CROSS JOIN (VALUES
+        ('assign', 0, 8, 2, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+        ('access', 1, 16, 0, 'AKIA[A-Z0-9]+'), ('hex', 2, 32, 0, '[0-9a-f]+')) AS r(kind, rank, least, grp, pattern)),
+pieces AS (SELECT doc_id, kind, rank, least, pattern, grp, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM marked),
+placed AS (SELECT *, (sum(length(piece)) OVER (PARTITION BY doc_id, kind ORDER BY i) - length(piece))::bigint AS start FROM pieces),
+found AS (SELECT doc_id, kind, rank, start, start + length(piece) AS stop FROM placed
+          WHERE i % 2 = 0 AND length(CASE WHEN grp = 2 THEN regexp_extract(piece, pattern, 2) ELSE piece END) >= least),
+listed AS (SELECT t.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+                  count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+                  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+           FROM texts t LEFT JOIN found USING (doc_id) GROUP BY t.doc_id)
+SELECT *, sha256(spans) AS base_sha256 FROM listed"""
+
+
+@query("op4_trigram_secrets", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(read(spark, folder, "documents"))
