@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing, quality, secrets, shards, simhash, tokens, transport, warc
+from tallyforge.llm import html, mixing, quality, secrets, shards, simhash, tokens, transport, warc
 from tallyforge.llm.common import read
 from tallyforge.llm.registry import query
 
@@ -110,3 +110,8 @@ SELECT *, sha256(spans) AS base_sha256 FROM listed"""
 @query("op4_trigram_secrets", OP4_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(read(spark, folder, "documents"))
+
+
+@query("op5_page_differencing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(read(spark, folder, "pages"))
