@@ -17,6 +17,7 @@ Files are written by Spark, one row each, in ascending order of document: by par
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -55,7 +56,10 @@ _PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # Words of these characters only can be cut here as the tokenizer would cut them.
 _SIMPLE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_WORDS_KEPT, _PIECES_KEPT = 300_000, 600_000
+# How byte-level tokenizers write bytes: printable ones of Latin-1 as themselves, the others as characters from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_WORDS_KEPT, _PIECES_KEPT = 600_000, 600_000
 
 
 class Encoder:
@@ -78,33 +82,52 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > _WORDS_KEPT:
-            self.words.clear()
-        if len(self.pieces) > _PIECES_KEPT:
-            self.pieces.clear()
-        simple = {w: _CUT.findall(w.lower()) for w in words if _SIMPLE.fullmatch(w) and "<|" not in w}
-        new = list({p for cut in simple.values() for p in cut if p not in self.pieces})
-        self.pieces.update(zip(new, self._encode(new), strict=True))
-        for w, cut in simple.items():
-            self.words[w] = b"".join([self.pieces[p] for p in cut])
-        other = [w for w in words if w not in simple]
-        self.words.update(zip(other, self._encode(other), strict=True))
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the tokenizer would not cut any further: straight from its model."""
+        tokenize = self.tokenizer.model.tokenize
+        return [np.array([t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARACTERS))],
+                         dtype="<u4").tobytes() for p in pieces]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of unknown words; kept while there is room, so that the frequent ones, which come early, stay."""
+        known, cut, other, new = {}, {}, [], set()
+        pieces = self.pieces
+        for w in words:
+            low = w.lower()
+            found = pieces.get(low) if w.isalpha() else None
+            if found is not None and _SIMPLE.fullmatch(w):
+                known[w] = found
+            elif _SIMPLE.fullmatch(w) and "<|" not in w:
+                cut[w] = parts = _CUT.findall(low)
+                new.update(parts)
+            else:
+                other.append(w)
+        new -= pieces.keys()
+        order = list(new)
+        fresh = dict(zip(order, self._encode_pieces(order), strict=True))
+        for w, parts in cut.items():
+            known[w] = b"".join([fresh[p] if p in fresh else pieces[p] for p in parts])
+        known.update(zip(other, self._encode(other), strict=True))
+        if len(pieces) < _PIECES_KEPT:
+            pieces.update(fresh)
+        if len(self.words) < _WORDS_KEPT:
+            self.words.update(known)
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._encode(texts)
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        seen = self.words
-        missing = {w for words in cut for w in words if w not in seen}
-        if missing:
-            self._learn(list(missing))
+        collecting = gc.isenabled()
+        gc.disable()  # many small lists in front of a large memory, and no cycles
         try:
-            return [b"".join([seen[w] for w in words]) for words in cut]
-        except KeyError:  # the memory was cleared for this batch: what it knew before is gone
-            self._learn(list({w for words in cut for w in words if w not in seen}))
-            return [b"".join([seen[w] for w in words]) for words in cut]
+            known = self._learn(set().union(*cut) - self.words.keys())
+            get, seen = known.get, self.words.get
+            return [b"".join([seen(w) or get(w, b"") for w in words]) for words in cut]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 _ENCODERS: dict[int, Encoder] = {}

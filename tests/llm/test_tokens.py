@@ -26,7 +26,7 @@ def test_words_encode_like_whole_texts(texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [reference_ids(t) for t in texts]
 
 
-def test_memory_may_be_cleared(monkeypatch):
+def test_memory_may_be_full(monkeypatch):
     monkeypatch.setattr(tokens, "_WORDS_KEPT", 3)
     monkeypatch.setattr(tokens, "_PIECES_KEPT", 3)
     own = tokens.Encoder(DEFINITION)
