@@ -120,7 +120,7 @@ def with_passes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document once per pass, range-sorted by position.
 
-    Columns of ``docs`` as ``row``, and ``pass``, ``words``, ``position``.
+    Columns of ``docs`` as ``row``, its ``size``, and ``pass``, ``words``, ``position``.
     """
-    mixed = with_passes(docs, **options).select("row", F.explode("passes").alias("p"))
-    return mixed.select("row", "p.*").orderBy("position", "pass", F.col("row.doc_id"))
+    mixed = with_passes(docs, **options).select("row", "size", F.explode("passes").alias("p"))
+    return mixed.select("row", "size", "p.*").orderBy("position", "pass", F.col("row.doc_id"))

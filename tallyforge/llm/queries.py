@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import html, mixing, quality, secrets, shards, simhash, tokens, transport, warc
+from tallyforge.llm import decontaminate, html, mixing, quality, secrets, shards, simhash, tokens, transport, warc
 from tallyforge.llm.common import read
 from tallyforge.llm.registry import query
 
@@ -115,3 +115,27 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_page_differencing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(read(spark, folder, "pages"))
+
+
+OP3_SQL = r"""
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM documents),
+items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM benchmark),
+item_shingles AS (SELECT item_id, len(words) AS n, unnest([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) AS s FROM items),
+weights AS (SELECT item_id, n, s, count(*) AS c FROM item_shingles GROUP BY ALL),
+doc_shingles AS (SELECT doc_id, len(words) AS size, unnest([{'pos': i - 1, 's': array_to_string(words[i:i + 4], ' ')}
+                        FOR i IN range(1, len(words) - 3)], recursive := true) FROM docs WHERE len(words) >= 5),
+places AS (SELECT doc_id, size, item_id, n, s, c, pos FROM doc_shingles JOIN weights USING (s)),
+pairs AS (SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, item_id, n, s, c FROM places) GROUP BY doc_id, item_id HAVING sum(c) >= 0.8 * (any_value(n) - 4)),
+able AS (SELECT * FROM places JOIN pairs USING (doc_id, item_id)),
+starts AS (SELECT DISTINCT doc_id, item_id, n, size, unnest(range(greatest(0, pos - n + 5), pos + 1)) AS start FROM able),
+counted AS (SELECT t.doc_id, t.item_id, t.n, t.start, a.s, least(count(*), any_value(a.c)) AS shared
+            FROM starts t JOIN able a ON t.doc_id = a.doc_id AND t.item_id = a.item_id AND a.pos BETWEEN t.start AND t.start + t.n - 5
+            WHERE t.start + t.n <= t.size GROUP BY t.doc_id, t.item_id, t.n, t.start, a.s),
+scored AS (SELECT doc_id, item_id, n, start, sum(shared) / (n - 4)::double AS similarity FROM counted GROUP BY doc_id, item_id, n, start)
+SELECT doc_id, item_id, n::int AS n_words, arg_min(start, (-similarity, start))::int AS start, max(similarity) AS similarity
+FROM scored WHERE similarity >= 0.8 - 1e-9 GROUP BY doc_id, item_id, n"""
+
+
+@query("op3_simhash_windows", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
