@@ -31,10 +31,10 @@ def _with_share(counts: DataFrame, keys: Sequence[str], count: str = "count", ou
 
 
 def _categories(df: DataFrame, column: str) -> Column:
-    """Any category column as an array: arrays stay, text is a comma list, the rest becomes text."""
+    """Any category column as an array: arrays stay, text is a comma list, the rest becomes text; null is ``None``."""
     kind = df.schema[column].dataType.typeName()
     if kind == "array":
-        return F.col(column)
+        return F.coalesce(F.col(column), F.array(F.lit("None")))
     if kind == "string":
         return split_labels(F.coalesce(F.col(column), F.lit("None")))
     return F.array(F.coalesce(F.col(column).cast("string"), F.lit("None")))

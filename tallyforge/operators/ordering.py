@@ -1,11 +1,10 @@
 """Running totals, ranks and look-ahead inside groups of any size.
 
-A plain window puts a whole group into one task.  That is fine for most groups, so
-the group sizes are looked at first (one aggregation, combined before its shuffle).
-Only if some group is large are the large ones cut into buckets that follow the sort
-order; the window then runs per (group, bucket), and the per-bucket summaries, which
-are small, carry the group-wide offset.  The result equals the plain window for any
-bucket expression that never decreases along the order.
+A plain window puts a whole group into one task.  Here groups are always cut into buckets
+that follow the sort order; the window runs per (group, bucket), and the per-bucket
+summaries, which are small, carry the group-wide offset.  Rows are exchanged once, by
+(group, bucket); summaries and windows read the same exchange.  The result equals the plain window
+for any bucket expression that never decreases along the order.
 """
 
 from __future__ import annotations
@@ -16,14 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.session import known_size
+from tallyforge.session import materialize
 
 _BEFORE_ALL = Window.unboundedPreceding
 _FIRST_BUCKET = -(2 ** 62)
 
-# Rows of one group that a single window task takes without a second thought.
-SPLIT_ABOVE = 1_000_000
-
 
 def _filler(dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
@@ -46,87 +42,77 @@ def with_group_keys(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple
     return df.select("*", *columns, F.coalesce(bucket, F.lit(_FIRST_BUCKET)).alias("__bucket")), names
 
 
-def _cut_large_groups(df: DataFrame, keys: Sequence[str], bucket: Column,
-                      split_above: int) -> tuple[DataFrame, list[str], DataFrame] | None:
-    """Rows with group keys and bucket, where only large groups keep more than one bucket.
-
-    Also returns the rows of the large groups alone.  None if no group is large.
-    """
+def _in_buckets(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple[DataFrame, list[str]]:
+    """Rows exchanged by group keys and bucket; every reader shares the exchange."""
     tagged, group = with_group_keys(df, keys, bucket)
-    if not keys:
-        return tagged, group, tagged
-    sizes = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    largest = sizes.agg(F.max("__n")).first()[0]
-    if largest is None or largest <= split_above:
-        return None
-    large = known_size(sizes.filter(F.col("__n") > split_above).select(*group, F.lit(True).alias("__large")), "large-groups")
-    marked = tagged.join(large, group, "left").withColumn(
-        "__bucket", F.when(F.col("__large"), F.col("__bucket")).otherwise(F.lit(_FIRST_BUCKET)))
-    return marked.drop("__large"), group, tagged.join(large, group, "left_semi")
+    return tagged.repartition(*group, "__bucket"), group
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
-                   values: dict[str, Column], totals: bool = False, split_above: int = SPLIT_ABOVE) -> DataFrame:
+                   values: dict[str, Column], totals: bool = False) -> DataFrame:
     """Add, for each name in ``values``, the sum from the start of the group up to this row.
 
     ``bucket`` must never decrease along ``order`` (null comes first); ``order`` should
     be unique within a group so that the result does not depend on the partitioning.
-    With ``totals``, the sum over the whole group is added as ``<name>_total``.  Runs a
-    job that looks for groups of more than ``split_above`` rows, unless there are no keys.
+    With ``totals``, the sum over the whole group is added as ``<name>_total``.
     """
     names = list(values)
     valued = df.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()])
-    cut = _cut_large_groups(valued, keys, bucket, split_above)
-    if cut is None:
-        whole = Window.partitionBy(*keys)
-        upto = whole.orderBy(*order).rowsBetween(_BEFORE_ALL, 0)
-        return valued.select(
-            *df.columns, *[F.sum(f"__v_{n}").over(upto).alias(n) for n in names],
-            *([F.sum(f"__v_{n}").over(whole).alias(f"{n}_total") for n in names] if totals else []))
-    tagged, group, large = cut
-    part = Window.partitionBy(*group, "__bucket")
-    sums = large.groupBy(*group, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
+    tagged, group = _in_buckets(valued, keys, bucket)
+    sums = tagged.groupBy(*group, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
+    # One row per bucket from here on; without keys that is one task over the buckets.
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy("__bucket").rowsBetween(_BEFORE_ALL, -1)
-    offsets = known_size(sums.select(
+    offsets = sums.select(
         *group, "__bucket",
         *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in names],
-        *[F.sum(f"__s_{n}").over(whole).alias(f"__t_{n}") for n in names]), "offsets")
-    local = tagged.select(
-        "*", *[F.sum(f"__v_{n}").over(part.orderBy(*order).rowsBetween(_BEFORE_ALL, 0)).alias(f"__l_{n}") for n in names],
-        *([F.sum(f"__v_{n}").over(part).alias(f"__p_{n}") for n in names] if totals else []))
-    return local.join(offsets, [*group, "__bucket"], "left").select(
-        *df.columns, *[(F.col(f"__l_{n}") + F.coalesce(f"__o_{n}", F.lit(0))).alias(n) for n in names],
-        *([F.coalesce(f"__t_{n}", f"__p_{n}").alias(f"{n}_total") for n in names] if totals else []))
+        *([F.sum(f"__s_{n}").over(whole).alias(f"__t_{n}") for n in names] if totals else []))
+    upto = Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(_BEFORE_ALL, 0)
+    local = tagged.select("*", *[F.sum(f"__v_{n}").over(upto).alias(f"__l_{n}") for n in names])
+    return local.join(offsets, [*group, "__bucket"]).select(
+        *df.columns, *[(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in names],
+        *([F.col(f"__t_{n}").alias(f"{n}_total") for n in names] if totals else []))
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
-                out: str, totals: bool = False, split_above: int = SPLIT_ABOVE) -> DataFrame:
+                out: str, totals: bool = False) -> DataFrame:
     """Add ``out``: 1-based position of the row in its group, optionally with the group size."""
-    return running_totals(df, keys, order, bucket, {out: F.lit(1).cast("long")}, totals, split_above)
+    return running_totals(df, keys, order, bucket, {out: F.lit(1).cast("long")}, totals)
 
 
 def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                  value: str, out: str, split_above: int = SPLIT_ABOVE) -> DataFrame:
+                  value: str, out: str) -> DataFrame:
     """Add ``out``: ``value`` of the following row of the group, null for the last row."""
-    cut = _cut_large_groups(df, keys, bucket, split_above)
-    if cut is None:
-        return df.withColumn(out, F.lead(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    tagged, group, large = cut
+    tagged, group = _in_buckets(df, keys, bucket)
     within = Window.partitionBy(*group, "__bucket").orderBy(*order)
-    heads = large.groupBy(*group, "__bucket").agg(
-        F.min_by(F.struct(value), F.struct(*order)).alias("__head"))
-    following = known_size(heads.select(
+    heads = tagged.groupBy(*group, "__bucket").agg(F.min_by(F.struct(value), F.struct(*order)).alias("__head"))
+    following = heads.select(
         *group, "__bucket",
-        F.lead("__head").over(Window.partitionBy(*group).orderBy("__bucket")).alias("__next_head")), "heads")
+        F.lead("__head").over(Window.partitionBy(*group).orderBy("__bucket")).alias("__next_head"))
     return (
         tagged.withColumn("__next", F.lead(F.struct(value)).over(within))
-        .join(following, [*group, "__bucket"], "left")
+        .join(following, [*group, "__bucket"])
         .withColumn(out, F.coalesce("__next", "__next_head")[value])
         .select(*df.columns, out)
     )
 
 
+def numbered_in_order(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Add ``out``: 1-based position of the row in the order of all rows (runs a job).
+
+    For orders without a natural bucket, such as texts: rows are dealt into ranges
+    of the whole order by sampled bounds and written once, each range is numbered by itself, and
+    the sizes of the ranges before it are added.
+    """
+    placed = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(_BEFORE_ALL, -1)  # one row per range
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part").orderBy(*order)
+    return placed.withColumn("__pos", F.row_number().over(inside)).join(starts, "__part").select(
+        *df.columns, (F.col("__before") + F.col("__pos")).alias(out))
+
+
 def mixed_key(column: Column | str) -> Column:
     """Shuffle key in [0, 2**31 - 1) computed with plain integer arithmetic.
 
@@ -154,13 +140,6 @@ def id_bucket(column: Column | str, bits: int = 20) -> Column:
     return F.shiftright(col.cast("long"), bits)
 
 
-def text_bucket(column: Column | str) -> Column:
-    """Bucket by the first two characters, in text order."""
-    col = F.col(column) if isinstance(column, str) else column
-    second = F.ascii(F.substr(col, F.lit(2)))
-    return F.coalesce(F.ascii(col).cast("long") * 2097152 + second, F.lit(-1).cast("long"))
-
-
 def number_bucket(column: Column | str) -> Column:
     """Bucket of a real number: eighths within +-2**14, logarithmic beyond.
 

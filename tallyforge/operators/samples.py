@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
-from tallyforge.operators.ordering import row_numbers, text_bucket
+from tallyforge.operators.ordering import numbered_in_order
 from tallyforge.session import known_size
 
 # Label prefix removed for display, and the text for a name without documentation.
 LABEL_PREFIX = "root.std."
 NO_DOC = "No doc"
 
-MAX_WIDE_LABELS = 2000
-
 
 def bare_label(label: Column) -> Column:
     return F.replace(label, F.lit(LABEL_PREFIX), F.lit(""))
@@ -91,16 +89,12 @@ def label_distribution(labelled: DataFrame, splits: Sequence[str]) -> DataFrame:
     return bare.groupBy("label").pivot("split", list(splits)).count().na.fill(0, list(splits))
 
 
-def vocabulary(pairs: DataFrame, limit: int = MAX_WIDE_LABELS) -> list[str]:
-    """Sorted distinct labels; refuses more than ``limit`` (runs a job)."""
-    rows = pairs.select("label").distinct().orderBy("label").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} labels: use label_matrix_entries")
-    return [r["label"] for r in rows]
-
-
 def label_matrix(pairs: DataFrame, labels: Sequence[str], task: str = "task_id") -> DataFrame:
-    """Indicator matrix: one row per task, one 0/1 column per label in the given order."""
+    """Indicator matrix: one row per task, one 0/1 column per label in the given order.
+
+    The labels are an argument, as columns have to be known; ``label_matrix_entries``
+    gives the same matrix sparsely for any label set.
+    """
     return (pairs.groupBy(task).pivot("label", list(labels)).agg(F.max(F.lit(1)))
             .na.fill(0, list(labels)))
 
@@ -108,14 +102,13 @@ def label_matrix(pairs: DataFrame, labels: Sequence[str], task: str = "task_id")
 def label_matrix_entries(pairs: DataFrame, task: str = "task_id") -> DataFrame:
     """The ones of the indicator matrix as (task, column) for label sets of any size."""
     names = pairs.select("label").distinct()
-    numbered = known_size(row_numbers(names, [], ["label"], text_bucket("label"), "column"), "label-columns")
+    numbered = known_size(numbered_in_order(names, ["label"], "column"), "label-columns")
     return pairs.distinct().join(numbered, "label").select(task, (F.col("column") - 1).alias("column"), "label")
 
 
-def lookup_node_doc(predicted: DataFrame, catalog: DataFrame, name: str = "node", position: str | None = None) -> DataFrame:
-    """Documentation of each predicted name; the first catalog row of a name counts."""
-    order = F.col(position) if position else F.col("doc")
-    docs = catalog.groupBy(F.col("function_name").alias("__name")).agg(F.min_by("doc", order).alias("doc"))
+def lookup_node_doc(predicted: DataFrame, catalog: DataFrame, position: str, name: str = "node") -> DataFrame:
+    """Documentation of each predicted name; of several catalog rows the first by ``position`` counts."""
+    docs = catalog.groupBy(F.col("function_name").alias("__name")).agg(F.min_by("doc", position).alias("doc"))
     return (predicted.join(docs, X.strip(F.col(name)) == F.col("__name"), "left").drop("__name")
             .withColumn("doc", F.coalesce("doc", F.lit(NO_DOC))))
 

@@ -93,8 +93,12 @@ def containment_counts(candidates: DataFrame, run_keys: Sequence[str], task: str
             .withColumn("metric", F.lit("containment")))
 
 
-def set_f1(answers: DataFrame, run_keys: Sequence[str], truth: str = "truth", answer: str = "answer") -> DataFrame:
-    """Mean F1 of the first candidate of each task against the truth, both as word sets."""
+def set_f1(answers: DataFrame, run_keys: Sequence[str], task: str = "task_id", position: str = "candidate_id",
+           truth: str = "truth", answer: str = "answer") -> DataFrame:
+    """Mean F1 of the first candidate of each task, by ``position``, against the truth, both as word sets."""
+    first = answers.groupBy(*run_keys, task).agg(F.min_by(F.struct(truth, answer), position).alias("__first"))
+    answers = first.select(*run_keys, "__first.*")
+
     def words(name: str) -> Column:
         tokens = F.split(F.replace(F.col(name), F.lit(","), F.lit("")), r"\s+")
         return F.array_distinct(F.filter(tokens, lambda w: w != ""))
@@ -155,9 +159,11 @@ def best_params(grid_scores: DataFrame, keys: Sequence[str], params: Sequence[st
         for p in params], F.coalesce(F.col("__best")["score"], F.lit(0.0)).alias("score"))
 
 
-def best_params_for_model(models: DataFrame, stored: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Look up stored parameters; a model without any keeps nulls."""
-    return models.join(stored, list(on), "left")
+def best_params_for_model(models: DataFrame, stored: DataFrame, on: Sequence[str], position: str) -> DataFrame:
+    """Look up stored parameters, the first by ``position`` where there are several; a model without any keeps nulls."""
+    others = [c for c in stored.columns if c not in on and c != position]
+    first = stored.groupBy(*on).agg(F.min_by(F.struct(*others), position).alias("__first")).select(*on, "__first.*")
+    return models.join(first, list(on), "left")
 
 
 def best_params_fallback(per_metric: DataFrame, keys: Sequence[str], params: Sequence[str],
@@ -231,9 +237,9 @@ def skip_failed_attempts(candidates: DataFrame, failures: DataFrame,
 
 
 def attach_tests(candidates: DataFrame, modules: DataFrame, task: str = "task_id") -> DataFrame:
-    """Candidate program followed by the tests module of its task."""
-    return (candidates.join(modules.select(task, "tests_module"), task)
-            .withColumn("code", F.concat("code", F.lit("\n"), "tests_module")).drop("tests_module"))
+    """Candidate program followed by the tests module of its task; a task without one adds an empty module."""
+    return (candidates.join(modules.select(task, "tests_module"), task, "left")
+            .withColumn("code", F.concat("code", F.lit("\n"), F.coalesce("tests_module", F.lit("")))).drop("tests_module"))
 
 
 def max_tokens_per_model(responses: DataFrame, tokens: Column, model: str = "model") -> DataFrame:

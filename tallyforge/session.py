@@ -98,12 +98,3 @@ def known_size(df: DataFrame, tag: str) -> DataFrame:
     # Rebalancing keeps the work before it parallel and lets few files be written.
     return materialize(df.hint("rebalance"), tag)
 
-
-def spread(df: DataFrame, by: str) -> DataFrame:
-    """Put a small input on all cores, hashed by a column of many values.
-
-    An input that already has as many partitions as there are cores, as any large one
-    does, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df

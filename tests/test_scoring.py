@@ -107,9 +107,19 @@ def test_containment_compares_untrimmed_parts(spark):
 
 
 def test_set_f1_zero_division(spark):
-    df = spark.createDataFrame([(1, "", ""), (2, "a, b", "b")], "run int, truth string, answer string")
+    df = spark.createDataFrame([(1, 1, 1, "", ""), (2, 1, 1, "a, b", "b"), (3, 1, 2, "a", "wrong"), (3, 1, 1, "a", "a")],
+                               "run int, task_id int, candidate_id int, truth string, answer string")
     got = {r.run: r.f1 for r in S.set_f1(df, ["run"]).collect()}
-    assert got[1] == 0.0 and got[2] == pytest.approx(2 / 3)
+    assert got[1] == 0.0 and got[2] == pytest.approx(2 / 3) and got[3] == 1.0
+
+
+def test_tests_and_parameters_of_every_task(spark):
+    candidates = spark.createDataFrame([(1, "a"), (2, "b")], "task_id int, code string")
+    modules = spark.createDataFrame([(1, "t")], "task_id int, tests_module string")
+    assert {r.task_id: r.code for r in S.attach_tests(candidates, modules).collect()} == {1: "a\nt", 2: "b\n"}
+    stored = spark.createDataFrame([("m", 7, 2), ("m", 5, 1)], "model string, top_k int, pos int")
+    models = spark.createDataFrame([("m",), ("x",)], "model string")
+    assert {r.model: r.top_k for r in S.best_params_for_model(models, stored, ["model"], "pos").collect()} == {"m": 5, "x": None}
 
 
 def test_seed_union_of_numbers_and_arrays(spark):

@@ -94,11 +94,11 @@ def test_union_of_ragged_tables(spark):
 
 
 def test_category_counts_of_every_column_type(spark):
-    df = spark.createDataFrame([(["a", "b"], "x, y", 1), (["a"], "x", None)], "arr array<string>, txt string, num int")
+    df = spark.createDataFrame([(["a", "b"], "x, y", 1), (["a"], "x", None), (None, None, 1)], "arr array<string>, txt string, num int")
     counts = lambda c: {r.category: (r["count"], round(r.percentage, 1)) for r in D.category_counts(df, c).collect()}
-    assert counts("arr") == {"a": (2, 66.7), "b": (1, 33.3)}
-    assert counts("txt") == {"x": (2, 66.7), "y": (1, 33.3)}
-    assert counts("num") == {"1": (1, 50.0), "None": (1, 50.0)}
+    assert counts("arr") == {"a": (2, 50.0), "b": (1, 25.0), "None": (1, 25.0)}
+    assert counts("txt") == {"x": (2, 50.0), "y": (1, 25.0), "None": (1, 25.0)}
+    assert counts("num") == {"1": (2, 66.7), "None": (1, 33.3)}
 
 
 def test_keyed_shares_keep_null_keys(spark):

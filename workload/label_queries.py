@@ -63,7 +63,7 @@ _COLUMNS = ", ".join(f"max((label = 'L{i}')::INT) AS \"L{i}\"" for i in range(25
 @query("label_matrix", f"SELECT task_id, {_COLUMNS} FROM task_labels GROUP BY task_id", ("task_labels",))
 def label_matrix(spark, d):
     pairs = V.task_labels(spark, d)
-    return M.label_matrix(pairs, M.vocabulary(pairs))
+    return M.label_matrix(pairs, [f"L{i}" for i in range(25)])
 
 
 @query("label_matrix_entries", """
@@ -75,11 +75,14 @@ def label_matrix_entries(spark, d):
 
 @query("lookup_node_doc", """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, node, coalesce(doc, 'No doc') AS doc FROM (
-        SELECT *, concat('L', cast(l_partkey % 25 AS string)) AS node FROM lineitem) LEFT JOIN catalog ON node = function_name""", ("catalog",))
+        SELECT *, concat('L', cast(l_partkey % 25 AS string)) AS node FROM lineitem) LEFT JOIN (
+            SELECT concat('L', n_nationkey % 20) AS function_name, arg_min(n_name, -n_nationkey) AS doc FROM nation GROUP BY 1) ON node = function_name""")
 def lookup_node_doc(spark, d):
     predicted = V.table(spark, d, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "concat(' L', l_partkey % 25, '\\n') AS node")
-    found = M.lookup_node_doc(predicted, V.view(spark, d, "catalog"))
+    catalog = V.table(spark, d, "nation").selectExpr(  # L0 to L4 twice
+        "concat('L', n_nationkey % 20) AS function_name", "n_name AS doc", "-n_nationkey AS position")
+    found = M.lookup_node_doc(predicted, catalog, "position")
     return found.withColumn("node", F.btrim("node", F.lit(" \n")))
 
 
