@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tallyforge.session import ship_package
+
 from tallyforge.sources.schemas import CATALOG
 
 _DECLARATION = re.compile(
@@ -61,6 +63,7 @@ def _entries(text: str) -> Iterator[dict]:
 
 def extract_catalog(files: DataFrame) -> DataFrame:
     """Rows of all library files (columns ``path, text``); one file is the unit of work."""
+    ship_package(files.sparkSession)
     columns = [c.split()[0] for c in CATALOG.split(", ")] + ["path", "position"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

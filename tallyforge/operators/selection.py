@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.ordering import hashed_key
-from tallyforge.session import materialize
+from tallyforge.session import materialize, ship_package
 
 # Distances are compared at this many decimals, then by id, so that the order of
 # equal neighbours does not depend on how the work was cut.
@@ -69,13 +69,18 @@ def _nearest_in_block(k: int, exclude_self: bool) -> Callable[[pd.DataFrame, pd.
         for start in range(0, len(queries), 256):
             chunk = queries.iloc[start:start + 256]
             asked = np.stack(chunk["vector"].to_numpy()).astype("float64")
-            squared = (asked ** 2).sum(axis=1)[:, None] + norms[None, :] - 2.0 * asked @ points.T
-            dist = np.round(np.sqrt(np.maximum(squared, 0.0)), DISTANCE_DIGITS)
+            lengths = (asked ** 2).sum(axis=1)
+            squared = np.maximum(lengths[:, None] + norms[None, :] - 2.0 * asked @ points.T, 0.0)
             if exclude_self:
-                dist[chunk["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            limit = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
-            row, col = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
-            found = pd.DataFrame({"row": row, "neighbor_id": ids[col], "distance": dist[row, col]})
+                squared[chunk["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+            last = min(k, squared.shape[1]) - 1
+            # The product form loses digits: it only preselects, with room for its error and for rounding.
+            error = 1e-12 * (lengths + norms.max())
+            limit = (np.sqrt(np.partition(squared, last, axis=1)[:, last] + error) + 10.0 ** -DISTANCE_DIGITS) ** 2 + error
+            row, col = np.nonzero((squared <= limit[:, None]) & np.isfinite(squared))
+            exact = np.concatenate([np.sqrt(((asked[row[i:i + 65536]] - points[col[i:i + 65536]]) ** 2).sum(axis=1))
+                                    for i in range(0, max(len(row), 1), 65536)])
+            found = pd.DataFrame({"row": row, "neighbor_id": ids[col], "distance": np.round(exact, DISTANCE_DIGITS)})
             found = found.sort_values(["row", "distance", "neighbor_id"])
             found = found[found.groupby("row").cumcount() < k]
             parts.append(pd.DataFrame({
@@ -94,6 +99,7 @@ def knn_topk(queries: DataFrame, pool: DataFrame, k: int, exclude_self: bool = F
     id hash; every (query block, pool block) pair is one matrix product in one task
     that returns ``k`` rows per query, so full distance rows never leave a task.
     """
+    ship_package(queries.sparkSession)
     tasks = queries.sparkSession.sparkContext.defaultParallelism
 
     def blocks(rows: int, spread: int) -> int:
