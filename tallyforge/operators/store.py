@@ -6,11 +6,14 @@ in one folder, partitioned by experiment.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.session import materialize
 from tallyforge.sources.sinks import export_table
@@ -137,8 +140,24 @@ def rerun_plan(requested: DataFrame, stored: DataFrame, errors: DataFrame, phase
         F.when(skip, 0).otherwise(F.col("error_rows")).alias("delete_errors"))
 
 
+# Characters that Spark's partition folders have percent-encoded.
+_ESCAPED = frozenset("\"#%'*/:=?\\\x7f{[]^") | {chr(c) for c in range(1, 32)}
+
+
+def folder_name(experiment: str) -> str:
+    """Folder of an experiment, named as ``partitionBy`` names it."""
+    return "experiment=" + "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in experiment)
+
+
 class ExperimentStore:
-    """Three Parquet tables below one folder, one partition per experiment."""
+    """Three Parquet tables below one folder, one partition per experiment.
+
+    Each partition keeps its schema in a small file, so reads open no data files to find
+    columns.  A rewrite is written once, aside, and then moved into place; if it fails before
+    that, the table is as it was, and between the two moves both forms stand beside each other.
+    """
+
+    _SCHEMA = "_schema.json"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -146,12 +165,38 @@ class ExperimentStore:
     def _path(self, experiment: str, kind: str) -> str:
         if kind not in KINDS:
             raise ValueError(f"unknown table: {kind}")
-        return f"{self.folder}/{kind}/experiment={experiment}"
+        return f"{self.folder}/{kind}/{folder_name(experiment)}"
+
+    def _target(self, path: str):
+        """Hadoop path (its text taken as it is, percent signs included) and its file system."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _fs_exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        target, fs = self._target(path)
+        return fs.exists(target)
+
+    def _keep_schema(self, folder: str, schema: T.StructType) -> None:
+        target, fs = self._target(f"{folder}/{self._SCHEMA}")
+        out = fs.create(target, True)
+        out.write(bytearray(schema.json().encode()))
+        out.close()
+
+    def _schema_of(self, folder: str) -> T.StructType:
+        target, fs = self._target(f"{folder}/{self._SCHEMA}")
+        if not fs.exists(target):  # written by someone else: look once
+            return self.spark.read.option("mergeSchema", "true").parquet(folder).schema
+        source = fs.open(target)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+        return T.StructType.fromJson(json.loads(text))
+
+    def _partitions(self, kind: str) -> list[str]:
+        target, fs = self._target(f"{self.folder}/{kind}")
+        return sorted(f"{self.folder}/{kind}/{s.getPath().getName()}" for s in fs.listStatus(target)
+                      if s.getPath().getName().startswith("experiment="))
 
     def exists(self, experiment: str) -> bool:
         return any(self._fs_exists(self._path(experiment, k)) for k in KINDS)
@@ -161,48 +206,96 @@ class ExperimentStore:
         if self.exists(experiment):
             raise FileExistsError(f"experiment '{experiment}' already exists")
         for kind in KINDS:
-            self.spark.createDataFrame([], schemas[kind]).write.parquet(self._path(experiment, kind))
+            self._write_new(experiment, kind, self.spark.createDataFrame([], schemas[kind]))
+
+    def load(self, kind: str, rows: DataFrame) -> None:
+        """Write a table of several experiments (column ``experiment``) into an empty store."""
+        rows.write.partitionBy("experiment").parquet(f"{self.folder}/{kind}")
+        for folder in self._partitions(kind):
+            self._keep_schema(folder, rows.drop("experiment").schema)
+
+    def _write_new(self, experiment: str, kind: str, rows: DataFrame) -> None:
+        folder = self._path(experiment, kind)
+        rows.drop("experiment").write.mode("errorifexists").parquet(folder)
+        self._keep_schema(folder, rows.drop("experiment").schema)
 
     def read(self, experiment: str, kind: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(self._path(experiment, kind)).withColumn(
-            "experiment", F.lit(experiment))
+        folder = self._path(experiment, kind)
+        return self.spark.read.schema(self._schema_of(folder)).parquet(folder).withColumn("experiment", F.lit(experiment))
 
     def read_all(self, kind: str) -> DataFrame:
         """All experiments of a table; a filter on ``experiment`` prunes partitions."""
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{kind}")
+        fields: dict[str, T.StructField] = {}
+        for folder in self._partitions(kind):
+            for f in self._schema_of(folder).fields:
+                fields.setdefault(f.name, f)
+        schema = T.StructType([*fields.values(), T.StructField("experiment", T.StringType())])
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{kind}")
 
     def append(self, experiment: str, kind: str, rows: DataFrame) -> None:
-        rows.drop("experiment").write.mode("append").parquet(self._path(experiment, kind))
+        folder, fresh = self._path(experiment, kind), rows.drop("experiment")
+        known = self._schema_of(folder) if self._fs_exists(folder) else T.StructType([])
+        added = [f for f in fresh.schema.fields if f.name not in known.names]
+        fresh.write.mode("append").parquet(folder)
+        if added:
+            self._keep_schema(folder, T.StructType([*known.fields, *added]))
 
     def rewrite(self, experiment: str, kind: str, rows: DataFrame) -> None:
-        """Replace a table by rows that may derive from it: written aside first, then put in place."""
-        staged = materialize(rows.drop("experiment"), f"{kind}-rewrite")
-        staged.write.mode("overwrite").parquet(self._path(experiment, kind))
+        """Replace a table by rows that may derive from it."""
+        folder, mark = self._path(experiment, kind), uuid.uuid4().hex
+        aside, before = (f"{self.folder}/{kind}/_{name}-{mark}" for name in ("new", "old"))
+        rows.drop("experiment").write.parquet(aside)
+        self._keep_schema(aside, rows.drop("experiment").schema)
+        (new, fs), (place, _), (old, _) = self._target(aside), self._target(folder), self._target(before)
+        replaced = fs.exists(place)
+        if (replaced and not fs.rename(place, old)) or not fs.rename(new, place):
+            raise OSError(f"{folder} could not be replaced: new rows are in {aside}, old ones in {before} if moved")
+        if replaced:
+            fs.delete(old, True)
 
     def upsert_best_params(self, experiment: str, rows: DataFrame) -> None:
         self.rewrite(experiment, "best_params", upsert(
             self.read(experiment, "best_params").drop("experiment"), rows, ["model_name", "optimizer_metric"]))
 
-    def set_missing_field(self, experiment: str, field: str, value: Column) -> None:
-        for kind in KINDS:
-            if self._fs_exists(self._path(experiment, kind)):
-                self.rewrite(experiment, kind, set_missing_field(self.read(experiment, kind), field, value))
+    def set_missing_field(self, field: str, value: Column, experiment: str | None = None) -> None:
+        """Set a field where it is absent, in every table of one experiment or of all."""
+        names = [experiment] if experiment is not None else [r["experiment"] for r in self.experiments().collect()]
+        for name in names:
+            for kind in KINDS:
+                if self._fs_exists(self._path(name, kind)):
+                    self.rewrite(name, kind, set_missing_field(self.read(name, kind), field, value))
 
     def delete(self, experiment: str, kind: str, condition: Column) -> None:
         self.rewrite(experiment, kind, delete_docs(self.read(experiment, kind), condition))
 
+    def clean(self, experiment: str, eval_method: str, ignore_best_params: bool = False) -> None:
+        """Delete what breaks the rules of ``quality_checks``: orphaned errors and results without parameters.
+
+        Only models that break a rule lose rows, and only rows of the table the rule is about.
+        """
+        tables = {k: self.read(experiment, k) for k in KINDS}
+        checked = materialize(quality_checks(tables["errors"], tables["results"], tables["best_params"], eval_method,
+                                             ignore_best_params=ignore_best_params).filter(~F.col("passed")), "offenders")
+        method = F.col("eval_method") == eval_method
+        for kind, rule, condition in (("errors", "orphan_validation", F.col("phase") == "validation"),
+                                      ("errors", "orphan_testing", (F.col("phase") == "testing") & method),
+                                      ("results", "results_without_params", method)):
+            models = checked.filter(rule).select("model_name", F.lit(True).alias("__offends"))
+            rows = self.read(experiment, kind).join(models, "model_name", "left")
+            kept = rows.filter(~F.coalesce(F.col("__offends") & condition, F.lit(False)))
+            self.rewrite(experiment, kind, kept.select(*tables[kind].columns))
+
     def drop(self, experiment: str, kind: str | None = None) -> None:
         """Drop one table of an experiment, or all of it."""
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for each in KINDS if kind is None else (kind,):
-            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(experiment, each))
-            target.getFileSystem(conf).delete(target, True)
+            target, fs = self._target(self._path(experiment, each))
+            fs.delete(target, True)
 
     def copy_errors(self, source: str, target: str) -> bool:
         """Copy the errors of an experiment under another name unless that exists already."""
         if self._fs_exists(self._path(target, "errors")):
             return False
-        self.read(source, "errors").drop("experiment").write.mode("errorifexists").parquet(self._path(target, "errors"))
+        self._write_new(target, "errors", self.read(source, "errors"))
         return True
 
     def experiments(self, kind: str | None = None) -> DataFrame:

@@ -36,12 +36,41 @@ def test_upsert_replaces_the_same_key(spark, store):
 
 
 def test_missing_field_is_set_only_where_absent(store):
-    store.set_missing_field("exp", "error_type", F.lit("unknown"))
-    store.set_missing_field("exp", "version", F.lit(1))
+    store.set_missing_field("error_type", F.lit("unknown"), "exp")
+    store.set_missing_field("version", F.lit(1))
     rows = store.read("exp", "errors").collect()
     assert sorted(r.error_type for r in rows) == ["syntax", "tests", "unknown"] and {r.version for r in rows} == {1}
 
 
+def test_odd_names_are_one_folder(spark, store):
+    name = "a:b=c/d% e[1]"
+    store.setup(name, SCHEMAS)
+    rows = spark.createDataFrame([("a", "testing", "hold_out", "syntax")], SCHEMAS["errors"])
+    store.append(name, "errors", rows)
+    assert store.read(name, "errors").first().experiment == name
+    assert {r.experiment for r in store.read_all("errors").collect()} == {name, "exp"}
+    loaded = T.ExperimentStore(spark, scratch_path(spark, "store-loaded"))
+    loaded.load("errors", rows.withColumn("experiment", F.lit(name)))
+    assert loaded.exists(name) and loaded.read(name, "errors").count() == 1
+
+
+def test_new_columns_and_failed_rewrites(spark, store):
+    store.append("exp", "errors", spark.createDataFrame([("c", 7)], "model_name string, extra int"))
+    assert {r.model_name: r.extra for r in store.read("exp", "errors").collect()} == {"a": None, "b": None, "c": 7}
+    broken = store.read("exp", "errors").withColumn("bad", F.raise_error(F.lit("on purpose")).cast("int"))
+    with pytest.raises(Exception, match="on purpose"):
+        store.rewrite("exp", "errors", broken)
+    assert store.read("exp", "errors").count() == 4
+
+
+def test_cleaning_removes_what_breaks_a_rule(spark, store):
+    store.append("exp", "results", spark.createDataFrame([("d", "hold_out", "tests", 1, 0.5), ("a", "3_fold", "tests", 1, 0.5)], SCHEMAS["results"]))
+    store.append("exp", "errors", spark.createDataFrame([("e", "validation", "hold_out", "x")], SCHEMAS["errors"]))
+    store.clean("exp", "hold_out")
+    assert sorted((r.model_name, r.phase) for r in store.read("exp", "errors").collect()) == [("a", "validation"), ("b", "testing")]
+    assert [(r.model_name, r.eval_method) for r in store.read("exp", "results").collect()] == [("a", "3_fold")]
+
+
 def test_delete_keeps_rows_with_null_tests(store):
     store.delete("exp", "errors", T.matches({"error_type": "syntax"}))
     assert sorted(str(r.error_type) for r in store.read("exp", "errors").collect()) == ["None", "tests"]

@@ -34,7 +34,7 @@ def _store(spark, d) -> T.ExperimentStore:
     """The three tables written into a new store, one partition per experiment."""
     store = T.ExperimentStore(spark, scratch_path(spark, "store"))
     for kind, rows in _tables(spark, d).items():
-        rows.write.partitionBy("experiment").parquet(f"{store.folder}/{kind}")
+        store.load(kind, rows)
     return store
 
 
@@ -93,16 +93,17 @@ def get_results(spark, d):
     return T.get_results(_tables(spark, d)["results"], "m4", "3_fold", ["tests", "syntax"], [1, 2])
 
 
-@query("set_missing_field", f"""{_TABLES} SELECT event_id, 'v1' AS version, coalesce(CASE WHEN event_id % 2 = 0 THEN error_type END, 'unset') AS error_type
-    FROM errors WHERE experiment = 'regular_5_shot'""")
+@query("set_missing_field", f"""{_TABLES} SELECT event_id, experiment, 'v1' AS version, CASE WHEN experiment = 'signature_5_shot' THEN error_type
+        ELSE coalesce(CASE WHEN event_id % 2 = 0 THEN error_type END, 'unset') END AS error_type FROM errors
+    UNION ALL SELECT NULL, experiment, 'v1', 'unset' FROM results UNION ALL SELECT NULL, experiment, 'v1', 'unset' FROM params""")
 def set_missing_field(spark, d):
     store = _store(spark, d)
     holes = store.read(EXPERIMENTS[0], "errors").withColumn(
         "error_type", F.when(F.col("event_id") % 2 == 0, F.col("error_type")))
     store.rewrite(EXPERIMENTS[0], "errors", holes)
-    store.set_missing_field(EXPERIMENTS[0], "error_type", F.lit("unset"))
-    store.set_missing_field(EXPERIMENTS[0], "version", F.lit("v1"))
-    return store.read(EXPERIMENTS[0], "errors").select("event_id", "version", "error_type")
+    store.set_missing_field("error_type", F.lit("unset"))
+    store.set_missing_field("version", F.lit("v1"))
+    return T.union_experiments([store.read_all(kind) for kind in T.KINDS]).select("event_id", "experiment", "version", "error_type")
 
 
 @query("remove_field", f"{_TABLES} SELECT event_id, experiment, model_name, eval_method, phase FROM errors")
@@ -153,6 +154,20 @@ def quality_checks(spark, d):
     return T.quality_checks(tables["errors"], tables["results"], tables["best_params"], "hold_out")
 
 
+@query("quality_clean", f"""{_QUALITY[:_QUALITY.rindex("SELECT *, NOT")].rstrip()}
+    SELECT 'errors' AS kind, experiment, model_name, count(*) AS rows FROM errors e LEFT JOIN q USING (experiment, model_name)
+    WHERE NOT coalesce((orphan_validation AND phase = 'validation') OR (orphan_testing AND phase = 'testing' AND eval_method = 'hold_out'), false) GROUP BY 2, 3
+    UNION ALL SELECT 'results', experiment, model_name, count(*) FROM results e LEFT JOIN q USING (experiment, model_name)
+    WHERE NOT coalesce(results_without_params AND eval_method = 'hold_out', false) GROUP BY 2, 3""")
+def quality_clean(spark, d):
+    """The checks acted upon, in both experiments."""
+    store = _store(spark, d)
+    for experiment in EXPERIMENTS:
+        store.clean(experiment, "hold_out")
+    left = T.union_experiments([store.read_all(k).select("experiment", "model_name").withColumn("kind", F.lit(k)) for k in ("errors", "results")])
+    return left.groupBy("kind", "experiment", "model_name").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("rerun_plan", f"""{_TABLES}, r AS (SELECT DISTINCT experiment, model_name, eval_method FROM base)
     SELECT experiment, model_name, eval_method, CASE WHEN n > 0 THEN 'skip' ELSE 'run' END AS action,
         cast(0 AS bigint) AS delete_stored, CASE WHEN n > 0 THEN 0 ELSE e END AS delete_errors FROM (SELECT *,
