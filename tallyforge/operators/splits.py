@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ordering import hashed_key, id_bucket, key_bucket, row_numbers, running_totals
+from tallyforge.operators.ordering import hashed_key, key_bucket, numbered_in_order, row_numbers, running_totals
 from tallyforge.session import known_size, materialize
 
 
@@ -73,7 +73,7 @@ def multilabel_split(pairs: DataFrame, eval_size: float = 0.4, seed: int = 58, t
     """
     distinct = pairs.select(task, label).filter(F.col(task).isNotNull() & F.col(label).isNotNull()).distinct()
     sizes = distinct.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
-    ranked = known_size(row_numbers(sizes, [], ["__size", label], id_bucket("__size", 10), "__rank").select(
+    ranked = known_size(numbered_in_order(sizes, ["__size", label], "__rank").select(
         label, "__rank", label_code(F.col(label)).alias("__code")), "label-ranks")
     # Written once: four readers follow.
     tasks = materialize(distinct.join(ranked, label).groupBy(task).agg(

@@ -37,17 +37,16 @@ def distinct_task_ids(tasks: DataFrame, position: Column, id_col: str = "task_id
     return placed.groupBy("task_id").agg(F.min("__pos").alias("first_pos"))
 
 
-def read_task_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct task ids of a JSON array or JSONL file in order of first appearance.
+def read_task_ids(spark: SparkSession, path: str, json_array: bool) -> DataFrame:
+    """Distinct task ids of JSON array files or of JSONL files, in order of first appearance.
 
-    A JSON array is recognised by its first character; the order is kept in ``first_pos``
-    as (file position, position in the array).
+    ``json_array`` says which form the files have; a folder holds one form.  The order is kept in
+    ``first_pos`` as (file, start of its part, place in the part), whatever way files are packed into tasks.
     """
-    # Reading whole lines keeps both forms on one path: a line is either one record
-    # or (part of) an array, and only the first character of the file tells which.
-    head = spark.read.text(path).limit(1).select(F.ltrim("value").startswith("[")).first()
-    rows = spark.read.schema("task_id string").json(path, multiLine=bool(head and head[0]))
-    return distinct_task_ids(rows.filter(F.col("task_id").isNotNull()), F.monotonically_increasing_id())
+    rows = spark.read.schema("task_id string").json(path, multiLine=json_array)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("place"))
+    return distinct_task_ids(rows.select("task_id", place.alias("place")).filter(F.col("task_id").isNotNull()), F.col("place"))
 
 
 def read_code_files(spark: SparkSession, path: str) -> DataFrame:

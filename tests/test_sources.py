@@ -23,7 +23,12 @@ def test_task_ids_of_both_file_forms(spark, tmp_path):
     array.write_text(json.dumps([{"task_id": "7"}, {"task_id": 3}, {"task_id": 7}, {"task_id": 1}], indent=2))
     lines.write_text('{"task_id": 7}\n\n{"task_id": "3"}\n{"task_id": 7}\n{"task_id": 1}\n')
     for path in (array, lines):
-        assert [r.task_id for r in R.read_task_ids(spark, str(path)).orderBy("first_pos").collect()] == [7, 3, 1]
+        assert [r.task_id for r in R.read_task_ids(spark, str(path), path is array).orderBy("first_pos").collect()] == [7, 3, 1]
+    many = tmp_path / "many"
+    many.mkdir()
+    (many / "a.jsonl").write_text('{"task_id": 9}\n')
+    (many / "b.jsonl").write_text("\n" + "".join(f'{{"task_id": {i}, "pad": "{"x" * 900}"}}\n' for i in range(50, 0, -1)))
+    assert [r.task_id for r in R.read_task_ids(spark, str(many), False).orderBy("first_pos").collect()] == [9, *[i for i in range(50, 0, -1) if i != 9]]
 
 
 def test_nested_tasks(spark, tmp_path):
