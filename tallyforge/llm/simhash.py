@@ -14,6 +14,12 @@ table, its coordinates are the bucket key: every link meets in a bucket.
 *Within a bucket* a second set of pivots, spread over the whole space, discards by the
 maximum coordinate difference; the survivors are verified by exact distance.
 
+*Similar texts.*  64 bits and a small radius find close copies only: texts that share 80 % of
+their five-word shingles differ by 9 bits on average and by up to 20.  ``one_of_each`` therefore
+links texts by a second fingerprint of 256 bits as well, at 44 bits, which is that similarity plus a
+margin for chance.  No choice of blocks guarantees so wide a radius; 48 keys of 16 bits (16 blocks under
+three fixed orders of the bits) meet 96 % of the pairs at the very edge and over 99 % of the closer ones.
+
 Only distinct fingerprints are searched (copies share one), buckets of many rows are cut
 into pieces that meet pairwise in tasks of bounded size, and a task returns a forest of
 links, never all pairs of a group.
@@ -38,45 +44,70 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 BLOCKS = 6
 SEED = 42
+SIMILAR_WORDS = 5
+SIMILAR_RADIUS = 44  # of 256 bits; a similarity of 0.8 is 39 on average
+_WIDE = ["w0", "w1", "w2", "w3"]
+_ORDERS = [np.random.default_rng(seed).permutation(256) for seed in (1, 2, 3)]
+_PAIRWISE = 64  # buckets up to this size are compared pair by pair, all of them at once
 # Fingerprints of one bucket that meet in one task; larger buckets are cut.
 PIECE_ROWS = 4096
 # References inside a bucket: fixed pseudo-random fingerprints.
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}") for i in range(24)], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """SimHash of a text: bit i is 1 if set in over half of the shingles' XXH64 values.
-
-    Blanks are the six ASCII ones, A-Z are lower-cased, repeated shingles count each
-    time.  A text of fewer words is one shingle; one without words (or null) gives zero.
-    """
+def _shingles(text: str | None, words: int) -> list[bytes]:
+    """Runs of ``words`` words, joined by one space; a shorter text is one run, one without words none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return []
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(parts))
     n = len(parts) - width + 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[width - 1:].tolist(), strict=True)],
-                      dtype=">u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):  # bounded memory for any text
-        bits = np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8)).reshape(-1, 64)
-        counts += bits.sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
-
-
-def with_fingerprint(docs: DataFrame, words: int = SHINGLE_WORDS, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without ``text``, plus ``fp`` (the fingerprint as a signed long)."""
+    return [joined[s:e] for s, e in zip(starts[:n].tolist(), ends[width - 1:].tolist(), strict=True)]
+
+
+def _majority(hashes: bytes, size: int) -> np.ndarray:
+    """Packed bits that are set in over half of the hashes of ``size`` bytes each."""
+    raw = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, size)
+    counts = np.zeros(8 * size, dtype=np.int64)
+    for at in range(0, len(raw), 1 << 14):  # bounded memory for any text
+        counts += np.unpackbits(raw[at:at + (1 << 14)], axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(counts * 2 > len(raw))
+
+
+def wide_fingerprint(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """SimHash of 256 bits over the text's distinct shingles, as 32 bytes; zero without words."""
+    found = set(_shingles(text, words))
+    digest = xxhash.xxh3_128_digest
+    return _majority(b"".join([digest(s, 1) + digest(s, 2) for s in found]), 32) if found else np.zeros(32, dtype=np.uint8)
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """SimHash of a text: bit i is 1 if set in over half of the shingles' XXH64 values.
+
+    Blanks are the six ASCII ones, A-Z are lower-cased, repeated shingles count each
+    time.  A text of fewer words is one shingle; one without words (or null) gives zero.
+    """
+    found = _shingles(text, words)
+    digest = xxhash.xxh64_digest
+    return int.from_bytes(_majority(b"".join([digest(s, SEED) for s in found]), 8).tobytes(), "big") if found else 0
+
+
+def with_fingerprint(docs: DataFrame, words: int = SHINGLE_WORDS, text: str = "text", wide: bool = False) -> DataFrame:
+    """The rows of ``docs`` without ``text``, plus ``fp`` (the fingerprint as a signed long) and, if ``wide``, ``w0`` to ``w3``."""
     kept = [c for c in docs.columns if c != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text] + ["fp bigint"])
+    added = ["fp", *(_WIDE if wide else [])]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text] + [f"{c} bigint" for c in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            fps = np.array([fingerprint(t, words) for t in batch.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(fps)], kept + ["fp"])
+            texts = batch.column(text).to_pylist()
+            columns = [np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)]
+            if wide:
+                columns += list(np.stack([wide_fingerprint(t) for t in texts]).view(np.int64).T.copy())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c) for c in columns], kept + added)
 
     return map_arrow(docs, run, schema)
 
@@ -134,7 +165,7 @@ def _search(radius: int):
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows)]))
             a, b = [], []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                x, y = links_of(rows[s:e, 4].view(np.uint64), rows[s:e, 5], rows[s, 2] != rows[s, 3], radius)
+                x, y = links_of(np.ascontiguousarray(rows[s:e, 5]).view(np.uint64), rows[s:e, 4], rows[s, 2] != rows[s, 3], radius)
                 a.append(x)
                 b.append(y)
             if a:
@@ -167,15 +198,123 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS
     masks = _table_masks(radius, blocks)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("tab", "mask"))
     keyed = keyed.select("fp", "tab", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    return map_arrow(_dealt(keyed, ["fp"], piece_rows), _search(radius), "a bigint, b bigint").distinct()
+
+
+def _dealt(keyed: DataFrame, values: list[str], piece_rows: int) -> DataFrame:
+    """Rows (``tab, key`` and values) sorted by bucket; of large buckets, by the pairs of pieces that meet.
+
+    Columns ``tab, key, lo, hi, piece`` and the values: a group is what shares the first four.
+    """
     large = known_size(keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > piece_rows)
                        .select("tab", "key", F.ceil(F.col("n") / piece_rows).cast("int").alias("pieces")), "large-buckets")
-    piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
     cut = (keyed.join(large, ["tab", "key"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-           .withColumn("piece", piece)
+           .withColumn("piece", F.pmod(F.xxhash64(*values), F.col("pieces")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-           .select("tab", "key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "fp", "piece"))
-    grouped = cut.repartition("tab", "key", "lo", "hi").sortWithinPartitions("tab", "key", "lo", "hi")
-    return map_arrow(grouped, _search(radius), "a bigint, b bigint").distinct()
+           .select("tab", "key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "piece", *values))
+    return cut.repartition("tab", "key", "lo", "hi").sortWithinPartitions("tab", "key", "lo", "hi")
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """48 bucket keys of each wide fingerprint."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1 << 13):
+            part = batch.slice(start, 1 << 13)
+            words = np.column_stack([part.column(c).to_numpy() for c in _WIDE]).astype(np.int64)
+            bits = np.unpackbits(words.view(np.uint8), axis=1)
+            keys = np.hstack([np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(np.uint16) for order in _ORDERS])
+            n, tables = keys.shape
+            columns = [np.tile(np.arange(tables, dtype=np.int32), n), keys.reshape(-1).astype(np.int64)]
+            columns += [np.repeat(part.column(c).to_numpy(), tables) for c in ("node", *_WIDE)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tab", "key", "node", *_WIDE])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of linked pairs, those that join what wasn't joined yet."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        i, j = find(x), find(y)
+        if i != j:
+            top[i] = j
+            kept.append((x, y))
+    return kept
+
+
+def _wide_links(group: np.ndarray, piece: np.ndarray, cross: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Row pairs that link what is linked within groups of rows (sorted by ``group``)."""
+    sizes = np.bincount(group)[group]
+    small = np.flatnonzero((sizes > 1) & (sizes <= _PAIRWISE))
+    found_a, found_b = [], []
+    for step in range(1, _PAIRWISE):
+        if len(small) <= step:
+            break
+        a, b = small[:-step], small[step:]
+        same = (group[a] == group[b]) & (~cross[a] | (piece[a] != piece[b]))
+        if not (group[a] == group[b]).any():
+            break
+        a, b = a[same], b[same]
+        near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= radius
+        found_a.append(a[near])
+        found_b.append(b[near])
+    links = _forest(np.concatenate(found_a), np.concatenate(found_b)) if found_a else []
+    for g in np.unique(group[sizes > _PAIRWISE]):
+        left = np.flatnonzero(group == g)
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                rest = left[piece[left] != piece[x]] if cross[x] else left
+                hits = rest[np.bitwise_count(words[rest] ^ words[x]).sum(axis=1) <= radius]
+                if len(hits):
+                    links += [(int(x), int(h)) for h in hits]
+                    queue += hits.tolist()
+                    left = left[~np.isin(left, hits, assume_unique=True)]
+    return links
+
+
+def _search_wide(radius: int):
+    """Like ``_search`` for wide fingerprints; groups arrive sorted, the last one waits for its rest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            group = np.concatenate(([0], np.cumsum((np.diff(rows[:, :4], axis=0) != 0).any(axis=1))))
+            links = _wide_links(group, rows[:, 4], rows[:, 2] != rows[:, 3], np.ascontiguousarray(rows[:, 6:]).view(np.uint64), radius)
+            if links:
+                a, b = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(rows[a, 5]), pa.array(rows[b, 5])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(10)])
+            held.append(rows)
+            if (rows[0, :4] == rows[-1, :4]).all() and (held[0][0, :4] == rows[0, :4]).all():
+                continue
+            rows = np.concatenate(held)
+            last = len(rows) - np.argmax((rows[::-1, :4] != rows[-1, :4]).any(axis=1))
+            yield from done(rows[:last])
+            held = [rows[last:]]
+        if held:
+            yield from done(np.concatenate(held))
+
+    return run
+
+
+def similar_links(marked: DataFrame, radius: int = SIMILAR_RADIUS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Links ``a``, ``b`` between values of ``fp`` whose rows (``fp, w0 .. w3``) have equal or near wide fingerprints."""
+    classes = materialize(marked.groupBy(*_WIDE).agg(F.min("fp").alias("node")), "wide-classes")
+    same = marked.select("fp", *_WIDE).distinct().join(classes, _WIDE).filter("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    keyed = map_arrow(classes.select("node", *_WIDE), _keys, "tab int, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in _WIDE))
+    near = map_arrow(_dealt(keyed, ["node", *_WIDE], piece_rows), _search_wide(radius), "a bigint, b bigint")
+    return near.union(same).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", words: int = SHINGLE_WORDS, radius: int = RADIUS,
@@ -206,6 +345,9 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", words: int = SHINGLE
                 blocks: int = BLOCKS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest id.
 
+    Near-duplicates are what ``near_duplicates`` links, and texts similar by five-word
+    shingles (``similar_links``).
+
     If several rows have that id, or all ids of a group are null, the row of the smallest
     (id, hash of the whole row) stays; of fully equal rows one stays.  All columns are kept.
     """
@@ -213,10 +355,11 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", words: int = SHINGLE
     tagged = docs.select(F.struct("*").alias("row"), F.coalesce(ids.cast("string"), F.lit("")).alias("key"), ids.isNull().alias("no"),
                          F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not _has_map(docs, c)]).alias("rank"),
                          ids.alias("id"), F.col("text"))
-    marked = materialize(with_fingerprint(tagged.select("id", "key", "no", "rank", "text"), words), "fingerprints")
+    marked = materialize(with_fingerprint(tagged.select("id", "key", "no", "rank", "text"), words, wide=True), "fingerprints")
     first = F.struct("no", "id", "rank", "key")  # null ids come last
     classes = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "fingerprint-classes")
-    roots = component_roots(fingerprint_links(classes.select("fp"), radius, blocks, piece_rows))
+    links = fingerprint_links(classes.select("fp"), radius, blocks, piece_rows).union(similar_links(marked, piece_rows=piece_rows))
+    roots = component_roots(links)
     rooted = classes.join(roots, classes["fp"] == roots["a"], "left").select("first", F.coalesce("root", "fp").alias("root"))
     winners = known_size(rooted.groupBy("root").agg(F.min("first").alias("first"))
                          .select("first.key", "first.no", "first.rank"), "winners")

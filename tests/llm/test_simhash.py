@@ -120,3 +120,43 @@ def test_pivots_bound_the_distance():
     x, y = np.uint64(simhash.fingerprint("a b c d e f g")), np.uint64(simhash.fingerprint("a b c d e f h"))
     gap = np.abs(np.bitwise_count(x ^ simhash.PIVOTS).astype(int) - np.bitwise_count(y ^ simhash.PIVOTS).astype(int)).max()
     assert gap <= int(np.bitwise_count(x ^ y))
+
+
+def similarity(a, b):
+    a, b = (set(simhash._shingles(t, 5)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_leave_one(spark):
+    """Copies at a five-word similarity of 0.8 or more go, texts below 0.6 stay."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    rows, near, far = [], [], []
+    for n in range(120):
+        base = rng.choices(vocabulary, k=rng.randint(60, 400))
+        rows.append((10 * n, " ".join(base)))
+        for j, rate in enumerate((0.003, 0.01, 0.02, 0.12), 1):
+            copy = [rng.choice(vocabulary) if rng.random() < rate else w for w in base]
+            share = similarity(rows[-j][1], " ".join(copy))
+            rows.append((10 * n + j, " ".join(copy)))
+            near += [rows[-1][0]] * (share >= 0.8)
+            far += [rows[-1][0]] * (share < 0.55 and j == 4)
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {10 * n for n in range(120)} <= kept
+    assert len(near) > 150 and len(set(near) & kept) <= 0.03 * len(near)
+    assert len(far) > 60 and len(set(far) - kept) <= 0.02 * len(far)
+
+
+@pytest.mark.parametrize("piece_rows", [4096, 40])
+def test_similar_families_of_any_size(spark, piece_rows):
+    """A family larger than the pairwise limit, found whole with and without cutting."""
+    rng = np.random.default_rng(3)
+    centre, rows = rng.integers(0, 2, 256), []
+    for i in range(300):
+        bits = centre ^ (rng.random(256) < 0.05)
+        rows.append((i, *[int(x) for x in np.packbits(bits).view(np.int64)]))
+    rows += [(1000 + i, *[int(x) for x in rng.integers(-2 ** 62, 2 ** 62, 4)]) for i in range(200)]
+    marked = spark.createDataFrame(rows, "fp long, w0 long, w1 long, w2 long, w3 long")
+    links = simhash.similar_links(marked, piece_rows=piece_rows)
+    roots = {r.a: r.root for r in component_roots(links).collect()}
+    assert roots == {i: 0 for i in range(1, 300)}
