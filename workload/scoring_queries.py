@@ -86,6 +86,37 @@ def evaluate_experiments(spark, d):
     return P.evaluate_experiments(V.view(spark, d, "outputs"), ["prompt", "model"])
 
 
+@query("hold_out_results", """
+    WITH c AS (SELECT prompt, model, seed, task_id, metric, count(*) AS n,
+               count(*) FILTER (WHERE NOT list_contains(CASE metric WHEN 'syntax' THEN ['syntax']
+                    WHEN 'semantic' THEN ['syntax', 'semantic'] ELSE ['syntax', 'semantic', 'tests'] END,
+                    coalesce(error_type, ''))) AS c
+        FROM staged CROSS JOIN (VALUES ('syntax'), ('semantic'), ('tests')) AS m(metric)
+        GROUP BY prompt, model, seed, task_id, metric),
+    s AS (SELECT prompt, model, seed, metric, k, avg(CASE WHEN c = 0 THEN 0.0 WHEN n - c < k THEN 1.0
+                    ELSE 1.0 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - k / i)) END) AS value
+        FROM c CROSS JOIN (VALUES (1), (2), (3), (5), (10)) AS ks(k)
+        GROUP BY prompt, model, seed, metric, k HAVING min(n) >= k)
+    SELECT prompt, model, metric, k, round_even(avg(value) * 100, 0) / 100 AS mean, round_even(stddev_pop(value) * 100, 0) / 100 AS std
+    FROM s GROUP BY prompt, model, metric, k""", ("staged",))
+def hold_out_results(spark, d):
+    return P.hold_out_results(V.view(spark, d, "outputs"), ["prompt", "model"])
+
+
+@query("layout_results", """
+    WITH t AS (SELECT prompt, model, fold, seed, task_id, avg(CASE WHEN error_type IS NULL THEN (event_id % 8) / 8.0 END) AS m
+               FROM staged GROUP BY prompt, model, fold, seed, task_id),
+    r AS (SELECT prompt, model, fold, seed, coalesce(avg(m), 0.0) AS value FROM t GROUP BY prompt, model, fold, seed),
+    f AS (SELECT prompt, model, fold, round_even(avg(value) * 100, 0) / 100 AS mean FROM r GROUP BY prompt, model, fold)
+    SELECT prompt, model, 'nodes' AS metric, 'flow' AS k, round_even(avg(mean) * 100, 0) / 100 AS mean, round_even(stddev_pop(mean) * 100, 0) / 100 AS std
+    FROM f GROUP BY prompt, model HAVING count(DISTINCT fold) = 3""", ("staged",))
+def layout_results(spark, d):
+    """The nodes@flow rows of the result table; candidates that failed have no score."""
+    staged = S.with_error_type(V.view(spark, d, "outputs"))
+    scored = staged.withColumn("layout_score", F.when(F.col("error_type").isNull(), (F.col("event_id") % 8) / 8))
+    return P.layout_results(scored, ["prompt", "model"])
+
+
 @query("pass_at_k_containment", """
     WITH a AS (SELECT o_custkey % 7 AS run, o_custkey AS task_id,
                concat('L', cast(o_custkey % 5 AS string), ',L9') AS truth,
