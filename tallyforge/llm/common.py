@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyforge.session import scratch_path
 
@@ -67,7 +68,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("path", "content"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` on workers that can import this package."""
     from tallyforge.session import ship_package
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm.common import map_arrow, slices
 
@@ -236,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (all columns, as they are, in the struct ``row``) with ``score``."""
     packed = docs.select(F.struct("*").alias("row"), F.col("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, score double"
+    schema = T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())])  # names of any kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

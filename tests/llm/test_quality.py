@@ -79,3 +79,5 @@ def test_bound_and_empty_tables(spark):
     nothing = quality.train(docs, labels.limit(0))
     assert [r.score for r in quality.with_scores(docs.limit(2), nothing).collect()] == [0.5, 0.5]
     assert quality.with_scores(docs.limit(0), nothing).collect() == []
+    odd = docs.limit(3).selectExpr("*", "1 AS `a b:c`", "named_struct('x.y', 2) AS `row`", "0.1D AS score")
+    assert quality.with_scores(odd, nothing).select("row.*").columns == odd.columns
