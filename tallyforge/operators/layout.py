@@ -111,8 +111,8 @@ def _touched_alone(occupied: DataFrame, boxes: DataFrame, keys: Sequence[str]) -
         *keys, "x", "y", "__w", "__h", F.col("__cx").alias("__bx"), F.col("__cy").alias("__by"),
         wide("x", _REACH_X).alias("__wx"), wide("y", _REACH_Y).alias("__wy"))
     itself = (F.col("__cx") == F.col("__bx")) & (F.col("__cy") == F.col("__by"))
-    # Size estimates do not see the probes multiply, hence no broadcast.
-    return (probes.hint("merge").join(placed, [*keys, "__wx", "__wy"]).filter(~itself & _boxes_overlap())
+    # A probe becomes four rows at most, so size estimates are off by that at most and Spark may choose the join.
+    return (probes.join(placed, [*keys, "__wx", "__wy"]).filter(~itself & _boxes_overlap())
             .select(*keys, "__cx", "__cy").distinct())
 
 
@@ -139,7 +139,7 @@ def overlap_flags(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     hit = _touched_alone(occupied, boxes, keys).unionByName(crowded).withColumn("__hit", F.lit(True))
     spots = nodes.groupBy(*keys, "type", "x", "y").agg(F.count(F.lit(1)).alias("copies")).withColumns(
         {"__cx": F.floor(F.col("x") / _CELL_X), "__cy": F.floor(F.col("y") / _CELL_Y)})
-    return spots.join(hit.hint("merge"), cell, "left").select(
+    return spots.join(hit, cell, "left").select(
         *keys, "type", "x", "y", "copies", F.coalesce("__hit", F.lit(False)).alias("overlapping"))
 
 
