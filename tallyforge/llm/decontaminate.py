@@ -4,7 +4,7 @@ Of every text, windows as long as a benchmark item (in words) are fingerprinted.
 index of Hamming blocks finds, for each window, all items of that length within
 ``radius`` bits: fingerprints that differ in at most ``radius`` bits agree in at least one
 of ``radius + 1`` blocks.  The candidates are verified by exact weighted-shingle similarity:
-shared shingles of five words, each weighted by how often it stands in both, over all shingles of the item.
+shared shingles of five words, each counting as often as it stands in both, over all shingles of the item.
 
 Only windows that can pass are fingerprinted, and none that can is left out: a window that
 reaches the threshold has at least that share of places where a shingle of the item
@@ -46,6 +46,16 @@ def shingles(words: Column, width: Column | int, make) -> Column:
         F.sequence(F.lit(1), F.size(ws) - width + 1), lambda i: make(F.slice(ws, i, width)))).otherwise(F.array())))
 
 
+def counted(found: Column) -> Column:
+    """Shingles whose repeats are told apart, so that sets of them intersect as multisets: the first as it is, later ones numbered."""
+    def numbered(all_: Column) -> Column:
+        return F.transform(all_, lambda x, i: F.concat_ws(" #", x, F.nullif(
+            F.size(F.filter(F.slice(all_, F.lit(1), i), lambda y: y == x)), F.lit(0)).cast("string")))
+
+    return F.element_at(F.transform(F.array(found), lambda all_: F.when(
+        F.size(F.array_distinct(all_)) == F.size(all_), all_).otherwise(numbered(all_))), 1)
+
+
 def fingerprint(words: Column) -> Column:
     """64-bit SimHash of the words, each occurrence counting: bit i is set if it is in over half of their hashes."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -70,7 +80,7 @@ def items_table(benchmark: DataFrame, shingle_words: int, threshold: float, radi
     """Items with words: id, length ``n``, shingle width ``k``, shingles, least overlap ``q``, fingerprint."""
     words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
     full = (words.withColumn("k", F.least(F.lit(shingle_words), F.col("n")))
-            .withColumn("shingles", shingles(F.col("words"), F.col("k"), lambda s: F.array_join(s, " ")))
+            .withColumn("shingles", counted(shingles(F.col("words"), F.col("k"), lambda s: F.array_join(s, " "))))
             .withColumn("hashes", shingles(F.col("words"), F.col("k"), F.xxhash64))
             .withColumn("q", F.greatest(F.lit(1), F.ceil(F.lit(threshold) * (F.col("n") - F.col("k") + 1) - 1e-9).cast("int")))
             .withColumn("fp", fingerprint(F.col("words"))))
@@ -114,7 +124,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHINGLE_WO
     windows = known_size(candidate_windows(docs, items, shingle_words), "windows")
     wanted = known_size(windows.groupBy(*_KEY).agg(F.collect_set(F.struct("n", "start")).alias("windows")), "texts-with-windows")
     texts = docs.select(*text_keys(F.col("text")), "text").join(wanted.select(*_KEY), _KEY, "left_semi")
-    one_each = texts.groupBy(*_KEY).agg(F.first("text").alias("text")).join(wanted, _KEY)
+    # Grouped by a value of its own, so that copies are reduced before they are exchanged and a text of many copies can be split.
+    one_each = texts.groupBy(F.struct(*_KEY).alias("key")).agg(F.first("text").alias("text")).select("key.*", "text").join(wanted, _KEY)
     cut = (one_each.select(*_KEY, words_of(F.col("text")).alias("words"), F.col("windows"))
            .select(*_KEY, F.explode(F.transform(F.filter("windows", lambda w: w["start"] + w["n"] <= F.size("words")), lambda w: F.struct(
                w["n"].alias("n"), w["start"].alias("start"), F.slice("words", w["start"] + 1, w["n"]).alias("words")))).alias("w")))
@@ -124,10 +135,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHINGLE_WO
     pairs = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*_KEY, "n", "start", "item").distinct()
     verify = pairs.join(prints.select(*_KEY, "n", "start", "words"), [*_KEY, "n", "start"]).join(
         items.select("item", "item_id", "k", "q", "shingles"), "item")
-    own = F.col("own")
-    shared = F.aggregate(F.array_distinct("shingles"), F.lit(0), lambda total, s: total + F.least(
-        F.size(F.filter(own, lambda x: x == s)), F.size(F.filter("shingles", lambda x: x == s))))
-    scored = (verify.withColumn("own", shingles(F.col("words"), F.col("k"), lambda s: F.array_join(s, " ")))
+    shared = F.size(F.array_intersect("own", "shingles"))
+    scored = (verify.withColumn("own", counted(shingles(F.col("words"), F.col("k"), lambda s: F.array_join(s, " "))))
               .withColumn("shared", shared).filter(F.col("shared") >= F.col("q"))
               .select(*_KEY, "item", "item_id", "start", F.col("n").alias("n_words"), (F.col("shared") / F.size("shingles")).alias("similarity")))
     best = scored.groupBy(*_KEY, "item", "item_id", "n_words").agg(
