@@ -18,7 +18,7 @@ maximum coordinate difference; the survivors are verified by exact distance.
 their five-word shingles differ by 9 bits on average and by up to 20.  ``one_of_each`` therefore
 links texts by a second fingerprint of 256 bits as well, at 44 bits, which is that similarity plus a
 margin for chance.  No choice of blocks guarantees so wide a radius; 48 keys of 16 bits (16 blocks under
-three fixed orders of the bits) meet 96 % of the pairs at the very edge and over 99 % of the closer ones.
+three fixed orders of the bits) meet nearly all such pairs (figures in the README).
 
 Only distinct fingerprints are searched (copies share one), buckets of many rows are cut
 into pieces that meet pairwise in tasks of bounded size, and a task returns a forest of
