@@ -92,14 +92,17 @@ def with_passes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
     rows = docs.select(row.alias("row"), F.col("source"), F.col("doc_id"), word_count(F.col("text")).alias("size"),
                        key.alias("key")).withColumn("bucket", F.substring("key", 1, _BUCKET_DIGITS))
+    # Null-free keys: the window and the join share one exchange of the wide rows.
+    rows = rows.withColumns({"s": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
     runs = known_size(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-runs")
     targets = source_targets(runs.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    starts = known_size(starts.join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("source"), "mix-starts")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(F.col("source").alias("of"), "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    starts = known_size(starts.join(targets, F.col("of").eqNullSafe(F.col("source"))).select(
+        F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "bucket", "base", "n", "source_size", "target"), "mix-starts")
+    inside = Window.partitionBy("s", "none", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
-        starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+        starts, ["s", "none", "bucket"])
     due = F.round("target").cast("long")
     first = F.col("base") + F.col("inside")
     kinds = len(schedules)
