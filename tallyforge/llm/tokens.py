@@ -59,7 +59,7 @@ _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-ö
 # How byte-level tokenizers write bytes: printable ones of Latin-1 as themselves, the others as characters from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
-_WORDS_KEPT, _PIECES_KEPT = 600_000, 600_000
+_WORDS_KEPT, _PIECES_KEPT = 350_000, 400_000
 
 
 class Encoder:
