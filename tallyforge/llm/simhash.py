@@ -16,9 +16,10 @@ maximum coordinate difference; the survivors are verified by exact distance.
 
 *Similar texts.*  64 bits and a small radius find close copies only: texts that share 80 % of
 their five-word shingles differ by 9 bits on average and by up to 20.  ``one_of_each`` therefore
-links texts by a second fingerprint of 256 bits as well, at 44 bits, which is that similarity plus a
-margin for chance.  No choice of blocks guarantees so wide a radius; 48 keys of 16 bits (16 blocks under
-three fixed orders of the bits) meet nearly all such pairs (figures in the README).
+takes fingerprints for candidates only, and links texts whose sets of five-word shingles are
+similar by 0.8 or more, counted from the texts.  The candidates it would miss come from an exact
+join: sets that similar share a shingle among the first fifth of each, in any fixed order of all
+shingles (``_similar_pairs``).  ``similar_links`` is the search by wide fingerprints on its own.
 
 Only distinct fingerprints are searched (copies share one), buckets of many rows are cut
 into pieces that meet pairwise in tasks of bounded size, and a task returns a forest of
@@ -47,6 +48,9 @@ SEED = 42
 SIMILAR_WORDS = 5
 SIMILAR_RADIUS = 44  # of 256 bits; a similarity of 0.8 is 39 on average
 _WIDE = ["w0", "w1", "w2", "w3"]
+_PARITY = [f"p{i}" for i in range(8)]
+COMMON_SHARE = 64  # one of so many texts tells which shingles are common
+COMMON_MOST = 1 << 16
 _ORDERS = [np.random.default_rng(seed).permutation(256) for seed in (1, 2, 3)]
 _PAIRWISE = 64  # buckets up to this size are compared pair by pair, all of them at once
 # Fingerprints of one bucket that meet in one task; larger buckets are cut.
@@ -341,12 +345,227 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted 64-bit hashes of the text's distinct five-word shingles; equal hashes count as equal shingles."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(s) for s in set(_shingles(text, SIMILAR_WORDS))], dtype=np.uint64))
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """512 parities of the set's hashes: those of two sets differ in at most as many bits as the sets in shingles."""
+    odd = np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The set's first shingles, rare ones before ``common`` ones: sets of similarity 0.8 have one of them in common."""
+    n = len(hashes)
+    rank = np.zeros(n, dtype=np.int64)
+    if len(common) and n:
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, ranks[at], 0)
+    return hashes[np.lexsort((hashes, rank))][:n - -(-4 * n // 5) + 1]
+
+
+def common_shingles(docs: DataFrame, share: int = COMMON_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are common in one of ``share`` texts, and their counts there.
+
+    They decide only the order in which shingles are looked at, never the result.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    part = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    found = (map_arrow(part, run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+             .orderBy(F.desc("n"), "h").limit(COMMON_MOST).collect())
+    found = sorted((r.h & (1 << 64) - 1, r.n) for r in found)
+    return np.array([h for h, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)
+
+
+def _with_sets(docs: DataFrame, words: int, common: np.ndarray, ranks: np.ndarray) -> DataFrame:
+    """The rows without ``text``, plus ``fp``, ``node`` (which equal shingle sets share), the set's size ``n``, parities and ``prefix``.
+
+    Of rows of one node in a task the first has the prefix.
+    """
+    kept = [c for c in docs.columns if c != "text"]
+    added = ["fp", "node", "n", *_PARITY]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+                       + [f"{c} bigint" for c in added] + ["prefix array<bigint>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            numbers, prefixes = np.zeros((len(texts), len(added)), dtype=np.int64), []
+            for row, text in zip(numbers, texts, strict=True):
+                found = shingle_set(text)
+                node = _signed(xxhash.xxh3_64_intdigest(found.tobytes())) if len(found) else 0
+                row[:3] = _signed(fingerprint(text, words)), node, len(found)
+                row[3:] = _parity(found)
+                prefixes.append(None if node in seen or not len(found) else _prefix(found, common, ranks).view(np.int64))
+                seen.add(node)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in kept] + [pa.array(c) for c in numbers.T.copy()] + [pa.array(prefixes, pa.list_(pa.int64()))],
+                [*kept, *added, "prefix"])
+
+    return map_arrow(docs, run, schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole groups of sorted rows (equal first column) and where each begins; the last one waits for its rest."""
+    held: list[np.ndarray] = []
+
+    def cut(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return rows, np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(columns)])
+        held.append(rows)
+        if rows[0, 0] == rows[-1, 0] == held[0][0, 0]:
+            continue
+        rows = np.concatenate(held)
+        last = len(rows) - np.argmax(rows[::-1, 0] != rows[-1, 0])
+        yield cut(rows[:last])
+        held = [rows[last:]]
+    if held:
+        yield cut(np.concatenate(held))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From shingles and nodes, sorted, the sets of nodes that share a shingle: ``key`` and ``node``, each set once in a batch."""
+    for rows, edges in _groups(batches, 2):
+        found: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(np.diff(edges) > 1):
+            nodes = np.unique(rows[edges[i]:edges[i + 1], 1])
+            if len(nodes) > 1:
+                found[_signed(xxhash.xxh3_64_intdigest(nodes.tobytes()))] = nodes
+        if found:
+            keys = np.repeat(np.array(list(found), dtype=np.int64), [len(v) for v in found.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(list(found.values())))], ["key", "node"])
+
+
+def _able_pairs(rows: np.ndarray, forest: bool) -> Iterator[np.ndarray]:
+    """Pairs of nodes of one bucket (``lo, hi, piece, node, n, root`` and parities) that sizes and parities don't rule out.
+
+    Only nodes of different roots meet.  With ``forest``, pairs that join what all of them would.
+    """
+    size, root, piece, words = rows[:, 4], rows[:, 5], rows[:, 2], np.ascontiguousarray(rows[:, 6:]).view(np.uint64)
+    cross = rows[0, 0] != rows[0, 1]
+
+    def able(x: int, rest: np.ndarray) -> np.ndarray:
+        rest = rest[(root[rest] != root[x]) & (5 * np.minimum(size[rest], size[x]) >= 4 * np.maximum(size[rest], size[x]))]
+        rest = rest[piece[rest] != piece[x]] if cross else rest
+        return rest[9 * np.bitwise_count(words[rest] ^ words[x]).sum(axis=1, dtype=np.int64) <= size[rest] + size[x]]
+
+    left = np.arange(len(rows))
+    queue: list[int] = []
+    while len(left) and (queue or len(left) > 1):
+        if queue:
+            x = queue.pop()
+        else:
+            x, left = int(left[0]), left[1:]
+        hits = able(x, left)
+        if len(hits):
+            yield np.column_stack([np.full(len(hits), rows[x, 3]), rows[hits, 3]])
+            if forest:
+                queue += hits.tolist()
+                left = left[~np.isin(left, hits, assume_unique=True)]
+
+
+def _search_able(forest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in _groups(batches, 7 + len(_PARITY)):
+            found, held = [], 0
+            for i in np.flatnonzero(np.diff(edges) > 1):
+                for pairs in _able_pairs(rows[edges[i]:edges[i + 1], 1:], forest):
+                    found.append(pairs)
+                    held += len(pairs)
+                    if held > 1 << 16:
+                        yield _pair_batch(found)
+                        found, held = [], 0
+            if found:
+                yield _pair_batch(found)
+
+    return run
+
+
+def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
+def _candidates(buckets: DataFrame, sets: DataFrame, roots: DataFrame | None, piece_rows: int) -> DataFrame:
+    """Pairs of nodes in one bucket that may be similar: without ``roots`` a forest of them, else all between different roots."""
+    values = ["node", "n", "root", *_PARITY]
+    rooted = sets.withColumn("root", F.col("node")) if roots is None else (
+        sets.join(roots.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    keyed = buckets.join(rooted, "node").select(F.lit(0).alias("tab"), "key", *values)
+    if roots is not None:
+        mixed = keyed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("key")
+        keyed = keyed.join(mixed, "key", "left_semi")
+    dealt = _dealt(materialize(keyed, "similar-buckets"), values, piece_rows)
+    dealt = dealt.withColumn("group", F.xxhash64("tab", "key", "lo", "hi"))
+    return map_arrow(dealt.repartition("group").sortWithinPartitions("group", "node").select("group", "lo", "hi", "piece", *values),
+                     _search_able(roots is None), "a bigint, b bigint").distinct()
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``a, piece, node, text`` sorted with the text of ``a`` first: pairs whose shingle sets are similar by 0.8 or more."""
+    group, centre = None, np.zeros(0, dtype=np.uint64)
+    for batch in slices(batches, "text"):
+        found = []
+        for a, piece, node, text in zip(*(batch.column(c).to_pylist() for c in ("a", "piece", "node", "text")), strict=True):
+            own = shingle_set(text)
+            if (a, piece) != group:
+                group, centre = (a, piece), own
+                continue
+            both = len(np.intersect1d(centre, own, assume_unique=True))
+            if 9 * both >= 4 * (len(centre) + len(own)):
+                found.append((a, node))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """The pairs ``a, b`` whose ``texts`` (``node, text``) have a shingle similarity of 0.8 or more."""
+    pairs = materialize(pairs, "candidate-pairs")
+    pieces = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / piece_rows).cast("int").alias("pieces"))
+    dealt = pairs.join(pieces, "a").select("a", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int").alias("piece"), "b")
+    wanted = dealt.select("a", "piece", F.col("b").alias("node")).union(dealt.select("a", "piece", F.col("a").alias("node")).distinct())
+    rows = wanted.join(texts, "node").select("a", "piece", "node", "text").repartition("a", "piece")
+    return materialize(map_arrow(rows.sortWithinPartitions("a", "piece", F.col("node") != F.col("a")), _verify, "a bigint, b bigint"), "similar-pairs")
+
+
+def _similar_pairs(tagged: DataFrame, marked: DataFrame, classes: DataFrame, near: DataFrame, piece_rows: int) -> DataFrame:
+    """Links that join exactly the nodes whose shingle sets have a similarity of 0.8 or more, directly or by way of others.
+
+    ``near`` are further candidates.  A forest of candidates is verified first; then all candidates
+    between what that left apart, so that a family of copies costs no pair of each two.
+    """
+    near = materialize(near, "near-fingerprints")
+    shared = marked.filter(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("h"), "node")
+    buckets = materialize(map_arrow(shared.repartition("h").sortWithinPartitions("h"), _buckets, "key bigint, node bigint").distinct(), "buckets")
+    needed = buckets.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    needed = known_size(classes.join(needed, "node", "left_semi").select("node", "first.key", "first.no", "first.rank"), "needed-texts")
+    rows = tagged.select("key", "no", "rank", "text").join(needed, ["key", "no", "rank"])
+    texts = materialize(rows.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+    sets = known_size(marked.select("node", "n", *_PARITY).join(needed.select("node"), "node", "left_semi").distinct(), "candidate-sets")
+    links = verified(_candidates(buckets, sets, None, piece_rows).union(near).distinct(), texts, piece_rows)
+    rest = verified(_candidates(buckets, sets, component_roots(links), piece_rows), texts, piece_rows)
+    return links.union(rest)
+
+
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", words: int = SHINGLE_WORDS, radius: int = RADIUS,
                 blocks: int = BLOCKS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest id.
 
-    Near-duplicates are what ``near_duplicates`` links, and texts similar by five-word
-    shingles (``similar_links``).
+    Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more, directly or by way of others; texts without words (or null) are alike.
 
     If several rows have that id, or all ids of a group are null, the row of the smallest
     (id, hash of the whole row) stays; of fully equal rows one stays.  All columns are kept.
@@ -355,12 +574,17 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", words: int = SHINGLE
     tagged = docs.select(F.struct("*").alias("row"), F.coalesce(ids.cast("string"), F.lit("")).alias("key"), ids.isNull().alias("no"),
                          F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not _has_map(docs, c)]).alias("rank"),
                          ids.alias("id"), F.col("text"))
-    marked = materialize(with_fingerprint(tagged.select("id", "key", "no", "rank", "text"), words, wide=True), "fingerprints")
+    marked = materialize(_with_sets(tagged.select("id", "key", "no", "rank", "text"), words, *common_shingles(docs)), "fingerprints")
     first = F.struct("no", "id", "rank", "key")  # null ids come last
-    classes = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "fingerprint-classes")
-    links = fingerprint_links(classes.select("fp"), radius, blocks, piece_rows).union(similar_links(marked, piece_rows=piece_rows))
-    roots = component_roots(links)
-    rooted = classes.join(roots, classes["fp"] == roots["a"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    classes = materialize(marked.groupBy("node").agg(F.min(first).alias("first")), "shingle-classes")
+    prints = materialize(marked.select("fp", "node").distinct(), "fingerprint-nodes")
+    one = materialize(prints.groupBy("fp").agg(F.min("node").alias("one")), "fingerprint-classes")
+    near = fingerprint_links(one.select("fp"), radius, blocks, piece_rows)
+    near = (near.join(one.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
+            .select("x", "y").union(prints.join(one, "fp").select("one", "node")))
+    near = near.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    roots = component_roots(_similar_pairs(tagged, marked, classes, near, piece_rows))
+    rooted = classes.join(roots, classes["node"] == roots["a"], "left").select("first", F.coalesce("root", "node").alias("root"))
     winners = known_size(rooted.groupBy("root").agg(F.min("first").alias("first"))
                          .select("first.key", "first.no", "first.rank"), "winners")
     # Fully equal rows share (key, no, rank): one of them is taken, on the join's own partitioning.

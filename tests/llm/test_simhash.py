@@ -160,3 +160,51 @@ def test_similar_families_of_any_size(spark, piece_rows):
     links = simhash.similar_links(marked, piece_rows=piece_rows)
     roots = {r.a: r.root for r in component_roots(links).collect()}
     assert roots == {i: 0 for i in range(1, 300)}
+
+
+@pytest.mark.parametrize("piece_rows", [4096, 3])
+def test_stage_equals_exact_similarity(spark, piece_rows):
+    """Just the rows that brute-force similarity of five-word shingles leaves, short texts and one shared passage among them."""
+    rng = random.Random(21)
+    vocabulary = [f"u{i}" for i in range(3000)]
+    passage = rng.choices(vocabulary, k=40)
+    texts = [None, "", "one", "One", "one two", "a b a b a b a b", "a b a b a b a b a b a b"]
+    for _ in range(90):
+        base = rng.choices(vocabulary, k=rng.choice((14, 17, 20, 40, 80)))
+        texts.append(" ".join(base))
+        for _ in range(3):
+            cut = rng.randint(1, max(2, len(base) // 5))
+            texts.append(" ".join(base[:-cut] + rng.choices(vocabulary, k=cut)))
+    texts += [" ".join(passage + rng.choices(vocabulary, k=rng.randint(3, 14))) for _ in range(60)]
+    sets = [set(simhash._shingles(t, 5)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    below = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            share = len(x & y) / len(x | y) if x | y else 1
+            below += 0.6 <= share < 0.8
+            if share >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    want = {i for i in range(len(texts)) if top(i) == i}
+    assert below > 300 and len(want) < len(texts) - 60
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), piece_rows=piece_rows)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_order_of_common_shingles_loses_no_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 9, 14, 63, 400):
+        x = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+        for gone in range(n // 9 + 1):
+            y = np.unique(np.concatenate((x[gone:], rng.integers(0, 2 ** 63, gone).astype(np.uint64))))
+            common = np.unique(rng.choice(x, max(1, n // 2)))
+            ranks = rng.integers(3, 9, len(common))
+            assert np.intersect1d(simhash._prefix(x, common, ranks), simhash._prefix(y, common, ranks)).size
+            assert np.bitwise_count((simhash._parity(x) ^ simhash._parity(y)).view(np.uint64)).sum() <= 2 * gone
