@@ -3,7 +3,8 @@
 Of every text, windows as long as a benchmark item (in words) are fingerprinted.  A multi-
 index of Hamming blocks finds, for each window, all items of that length within
 ``radius`` bits: fingerprints that differ in at most ``radius`` bits agree in at least one
-of ``radius + 1`` blocks.  The candidates are verified by exact weighted-shingle similarity:
+of ``radius + 1`` blocks.  No radius is sure to hold all windows of a similarity, so windows
+beyond it that may pass (see below) are candidates as well.  All are verified by exact weighted-shingle similarity:
 shared shingles of five words, each counting as often as it stands in both, over all shingles of the item.
 
 Only windows that can pass are fingerprinted, and none that can is left out: a window that
@@ -88,7 +89,7 @@ def items_table(benchmark: DataFrame, shingle_words: int, threshold: float, radi
 
 
 def candidate_windows(docs: DataFrame, items: DataFrame, shingle_words: int) -> DataFrame:
-    """``ka, kb, n, start``: windows with at least as many starting places of an item's shingles as the threshold needs."""
+    """``ka, kb, item, n, start``: windows with at least as many starting places of an item's shingles as the threshold needs."""
     # Items of fewer words than a shingle are one shingle of their own length: at most shingle_words widths.
     widths = sorted(r.k for r in items.select("k").distinct().collect())
     places = None
@@ -106,7 +107,7 @@ def candidate_windows(docs: DataFrame, items: DataFrame, shingle_words: int) ->
     starts = F.transform(first, lambda i: F.sequence(
         F.greatest(F.lit(0), F.element_at("places", i + F.col("q") - 1) - last), F.element_at("places", i)))
     able = grouped.filter(F.size("places") >= F.col("q"))
-    return able.select(*_KEY, "n", F.explode(F.array_distinct(F.flatten(starts))).alias("start")).distinct()
+    return able.select(*_KEY, "item", "n", F.explode(F.array_distinct(F.flatten(starts))).alias("start"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = SIMILARITY,
@@ -132,7 +133,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHINGLE_WO
     prints = materialize(cut.select(*_KEY, "w.*").withColumn("fp", fingerprint(F.col("words"))), "window-fingerprints")
     indexed = known_size(items.select("item", "n", F.col("fp").alias("item_fp"), F.inline(hamming_blocks(F.col("fp"), radius))), "item-blocks")
     near = (prints.select(*_KEY, "n", "start", "fp", F.inline(hamming_blocks(F.col("fp"), radius))).join(indexed, ["n", "block", "bits"]))
-    pairs = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*_KEY, "n", "start", "item").distinct()
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    beyond = (windows.join(prints.select(*_KEY, "n", "start", "fp"), [*_KEY, "n", "start"])
+              .join(items.select("item", F.col("fp").alias("item_fp")), "item").filter(apart > radius))
+    pairs = near.filter(apart <= radius).select(*_KEY, "n", "start", "item").union(beyond.select(*_KEY, "n", "start", "item")).distinct()
     verify = pairs.join(prints.select(*_KEY, "n", "start", "words"), [*_KEY, "n", "start"]).join(
         items.select("item", "item_id", "k", "q", "shingles"), "item")
     shared = F.size(F.array_intersect("own", "shingles"))

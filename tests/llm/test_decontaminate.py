@@ -77,3 +77,16 @@ def test_empty_tables(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).collect() == []
     assert decontaminate.without_leaks(docs, items.limit(0)).count() == 1
     assert [r.similarity for r in decontaminate.contaminated(docs, items).collect()] == [1.0]
+
+
+def test_no_window_at_the_threshold_is_lost(spark):
+    """Items with their tail replaced down to just the threshold; some of them differ by more bits than the radius."""
+    rng = random.Random(4)
+    items, docs = [], []
+    for i in range(1500):
+        own = [f"w{rng.randrange(10 ** 6)}" for _ in range(54)]
+        items.append((i, " ".join(own)))
+        docs.append((i, " ".join(own[:44] + [f"z{rng.randrange(10 ** 6)}" for _ in range(10)])))  # 40 of 50 shingles
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                       spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(1500)]
