@@ -28,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark item, and aren't most of one."""
+    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"), short_texts=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

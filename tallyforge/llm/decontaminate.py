@@ -111,12 +111,12 @@ def candidate_windows(docs: DataFrame, items: DataFrame, shingle_words: int) ->
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = SIMILARITY,
-          radius: int = RADIUS) -> DataFrame:
+          radius: int = RADIUS, short_texts: bool = False) -> DataFrame:
     """``ka, kb, item_id, start, n_words, similarity``: for each text (by key) and item the best window that reaches the threshold.
 
     ``start`` counts words from 0; of equal windows the first is given.  Null texts, texts and
-    items without words never match; an item longer than the text doesn't either.  Items of
-    fewer than ``shingle_words`` words are one shingle.  Items of equal id and words count once.
+    items without words never match; an item longer than the text doesn't either, unless
+    ``short_texts``: then such a text is one window, the whole of it.  Items of fewer than ``shingle_words`` words are one shingle.  Items of equal id and words count once.
     """
     items = items_table(benchmark.select("item_id", "text"), shingle_words, threshold, radius)
     if items.isEmpty():
@@ -127,8 +127,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHINGLE_WO
     texts = docs.select(*text_keys(F.col("text")), "text").join(wanted.select(*_KEY), _KEY, "left_semi")
     # Grouped by a value of its own, so that copies are reduced before they are exchanged and a text of many copies can be split.
     one_each = texts.groupBy(F.struct(*_KEY).alias("key")).agg(F.first("text").alias("text")).select("key.*", "text").join(wanted, _KEY)
+    def fits(w: Column, size: Column) -> Column:
+        inside = w["start"] + w["n"] <= size
+        return inside | ((w["start"] == 0) & (w["n"] > size)) if short_texts else inside
+
     cut = (one_each.select(*_KEY, words_of(F.col("text")).alias("words"), F.col("windows"))
-           .select(*_KEY, F.explode(F.transform(F.filter("windows", lambda w: w["start"] + w["n"] <= F.size("words")), lambda w: F.struct(
+           .select(*_KEY, F.explode(F.transform(F.filter("windows", lambda w: fits(w, F.size("words"))), lambda w: F.struct(
                w["n"].alias("n"), w["start"].alias("start"), F.slice("words", w["start"] + 1, w["n"]).alias("words")))).alias("w")))
     prints = materialize(cut.select(*_KEY, "w.*").withColumn("fp", fingerprint(F.col("words"))), "window-fingerprints")
     indexed = known_size(items.select("item", "n", F.col("fp").alias("item_fp"), F.inline(hamming_blocks(F.col("fp"), radius))), "item-blocks")

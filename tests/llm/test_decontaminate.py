@@ -90,3 +90,14 @@ def test_no_window_at_the_threshold_is_lost(spark):
     found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
                                        spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(1500)]
+
+
+def test_short_texts_are_one_window(spark):
+    item = " ".join(f"s{i}" for i in range(20))
+    texts = [item.rsplit(" ", cut)[0] for cut in (1, 3, 4)] + ["s0 s1 s2", item.split(" ", 1)[1], ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: r.similarity for r in decontaminate.contaminated(docs, benchmark, short_texts=True).collect()}
+    assert found == {0: 15 / 16, 1: 13 / 16, 4: 15 / 16}
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, benchmark, short_texts=True).collect()) == [2, 3, 5]
+    assert decontaminate.contaminated(docs, benchmark).count() == 0
