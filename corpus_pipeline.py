@@ -33,7 +33,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order.
+    """Documents as often as the mix takes them; later stages don't keep the training order.
 
     A pass that the mix cuts short counts if it takes at least half of the document: texts stay whole.
     """
