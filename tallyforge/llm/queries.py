@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, html, mixing, quality, secrets, shards, simhash, tokens, transport, warc
+from tallyforge.llm import decontaminate, html, merkle, mixing, quality, secrets, shards, simhash, tokens, transport, warc
 from tallyforge.llm.common import read
 from tallyforge.llm.registry import query
 
@@ -139,3 +139,53 @@ FROM scored WHERE similarity >= 0.8 - 1e-9 GROUP BY doc_id, item_id, n"""
 @query("op3_simhash_windows", OP3_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE fields AS (
+    SELECT doc_id, lang, text, concat_ws('', coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                                     coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) AS head FROM documents),
+checked AS (SELECT *, xor(list_reduce(range(8 * length(doc_id::varchar)), lambda c, i: CASE
+        WHEN xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::varchar, (i // 8)::bigint + 1, 1)) ELSE 0 END::bigint) % 2 = 1
+        THEN xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::varchar, (i // 8)::bigint + 1, 1)) ELSE 0 END::bigint) // 2, 3988292384)
+        ELSE xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::varchar, (i // 8)::bigint + 1, 1)) ELSE 0 END::bigint) // 2 END, 4294967295), 4294967295) AS crc FROM fields),
+hashed AS (
+    SELECT doc_id, lang, crc, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS low FROM checked),
+leaves AS (SELECT doc_id, lang, leaf, CASE WHEN crc % 3 = 0 THEN low ELSE leaf END AS own,
+                  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+nodes AS (
+    SELECT 0 AS level, lang, pos, n, leaf AS digest FROM leaves
+    UNION ALL
+    SELECT level + 1, lang, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY level, lang, pos // 8, n),
+subroots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+    SELECT 0 AS level, pos, n, subroot AS digest FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 8, n),
+steps AS (
+    SELECT level, lang, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM nodes WHERE n > 1
+    WINDOW w AS (PARTITION BY level, lang, pos // 8 ORDER BY pos)),
+top_steps AS (
+    SELECT level, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM tops WHERE n > 1
+    WINDOW w AS (PARTITION BY level, pos // 8 ORDER BY pos)),
+folded AS (
+    SELECT 0 AS level, lang, pos, pos AS at, own AS acc, '' AS proof FROM leaves
+    UNION ALL
+    SELECT f.level + 1, f.lang, f.pos, f.at // 8, sha256(l || acc || r), proof || l || r
+    FROM folded f JOIN steps s ON s.level = f.level AND s.lang IS NOT DISTINCT FROM f.lang AND s.pos = f.at),
+at_subroot AS (SELECT * FROM folded QUALIFY level = max(level) OVER (PARTITION BY lang)),
+folded_top AS (
+    SELECT 0 AS level, a.lang, a.pos, s.pos AS at, acc, proof, subroot FROM at_subroot a JOIN subroots s ON a.lang IS NOT DISTINCT FROM s.lang
+    UNION ALL
+    SELECT f.level + 1, f.lang, f.pos, f.at // 8, sha256(l || acc || r), proof || l || r, subroot FROM folded_top f JOIN top_steps s ON s.level = f.level AND s.pos = f.at)
+SELECT v.doc_id, leaf, subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256, acc AS folded_root,
+       acc = (SELECT digest FROM tops WHERE n = 1) AS verified
+FROM folded_top f JOIN leaves v ON v.lang IS NOT DISTINCT FROM f.lang AND v.pos = f.pos WHERE f.level = (SELECT max(level) FROM tops)"""
+
+
+@query("op12_slot_pivot", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verify(read(spark, folder, "documents"))
