@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, html, merkle, mixing, quality, secrets, shards, simhash, tokens, transport, warc
+from tallyforge.llm import alignment, decontaminate, html, merkle, mixing, quality, secrets, shards, simhash, tokens, transport, warc
 from tallyforge.llm.common import read
 from tallyforge.llm.registry import query
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_definition(path: str | None = None) -> str:
@@ -22,6 +23,16 @@ def tokenizer_definition(path: str | None = None) -> str:
         return f.read()
 
 
+def alignment_files(byte_level: str | None = None, pieces: str | None = None) -> tuple[str, bytes]:
+    """The definition of a byte-level tokenizer and the model of a piece tokenizer, by default the public ones the queries use."""
+    if byte_level is None or pieces is None:
+        import public_tokenizers
+
+        byte_level, pieces = byte_level or public_tokenizers.path(BYTE_LEVEL), pieces or public_tokenizers.path(PIECES)
+    with open(byte_level, encoding="utf-8") as a, open(pieces, "rb") as b:
+        return a.read(), b.read()
+
+
 @query("op10_simhash_components")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents"))
@@ -141,6 +152,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+@query("op11_arrow_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.with_pair_counts(read(spark, folder, "documents"), *alignment_files())
+
+
 OP12_SQL = r"""
 WITH RECURSIVE fields AS (
     SELECT doc_id, lang, text, concat_ws('', coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
