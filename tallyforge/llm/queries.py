@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import alignment, decontaminate, html, merkle, mixing, quality, secrets, shards, simhash, tokens, transport, warc
+from tallyforge.llm import alignment, covertree, decontaminate, html, merkle, mixing, quality, secrets, shards, simhash, tokens, transport, warc
 from tallyforge.llm.common import read
 from tallyforge.llm.registry import query
 
@@ -205,3 +205,18 @@ FROM folded_top f JOIN leaves v ON v.lang IS NOT DISTINCT FROM f.lang AND v.pos
 @query("op12_slot_pivot", OP12_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verify(read(spark, folder, "documents"))
+
+
+OP13_SQL = """
+WITH RECURSIVE able AS (SELECT vec_id, embedding::double[] AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+components AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings e JOIN components USING (vec_id)"""
+
+
+@query("op13_cover_tree", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.similar_vectors(read(spark, folder, "embeddings"))
