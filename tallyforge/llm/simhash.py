@@ -19,7 +19,8 @@ their five-word shingles differ by 9 bits on average and by up to 20.  ``one_of_
 takes fingerprints for candidates only, and links texts whose sets of five-word shingles are
 similar by 0.8 or more, counted from the texts.  The candidates it would miss come from an exact
 join: sets that similar share a shingle among the first fifth of each, in any fixed order of all
-shingles (``_similar_pairs``).  ``similar_links`` is the search by wide fingerprints on its own.
+shingles (``_similar_pairs``).  Parities of a set's hashes rule pairs out, as many as the set has
+shingles or more: those of two sets differ in at most as many places as the sets in shingles.
 
 Only distinct fingerprints are searched (copies share one), buckets of many rows are cut
 into pieces that meet pairwise in tasks of bounded size, and a task returns a forest of
@@ -46,13 +47,10 @@ RADIUS = 4
 BLOCKS = 6
 SEED = 42
 SIMILAR_WORDS = 5
-SIMILAR_RADIUS = 44  # of 256 bits; a similarity of 0.8 is 39 on average
-_WIDE = ["w0", "w1", "w2", "w3"]
 _PARITY = [f"p{i}" for i in range(8)]
 COMMON_SHARE = 64  # one of so many texts tells which shingles are common
 COMMON_MOST = 1 << 16
-_ORDERS = [np.random.default_rng(seed).permutation(256) for seed in (1, 2, 3)]
-_PAIRWISE = 64  # buckets up to this size are compared pair by pair, all of them at once
+HOT_COUNT = 32  # texts of that part with a shingle, from which on its texts are never gathered in one task
 # Fingerprints of one bucket that meet in one task; larger buckets are cut.
 PIECE_ROWS = 4096
 # References inside a bucket: fixed pseudo-random fingerprints.
@@ -81,13 +79,6 @@ def _majority(hashes: bytes, size: int) -> np.ndarray:
     return np.packbits(counts * 2 > len(raw))
 
 
-def wide_fingerprint(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
-    """SimHash of 256 bits over the text's distinct shingles, as 32 bytes; zero without words."""
-    found = set(_shingles(text, words))
-    digest = xxhash.xxh3_128_digest
-    return _majority(b"".join([digest(s, 1) + digest(s, 2) for s in found]), 32) if found else np.zeros(32, dtype=np.uint8)
-
-
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """SimHash of a text: bit i is 1 if set in over half of the shingles' XXH64 values.
 
@@ -99,19 +90,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(_majority(b"".join([digest(s, SEED) for s in found]), 8).tobytes(), "big") if found else 0
 
 
-def with_fingerprint(docs: DataFrame, words: int = SHINGLE_WORDS, text: str = "text", wide: bool = False) -> DataFrame:
-    """The rows of ``docs`` without ``text``, plus ``fp`` (the fingerprint as a signed long) and, if ``wide``, ``w0`` to ``w3``."""
+def with_fingerprint(docs: DataFrame, words: int = SHINGLE_WORDS, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without ``text``, plus ``fp`` (the fingerprint as a signed long)."""
     kept = [c for c in docs.columns if c != text]
-    added = ["fp", *(_WIDE if wide else [])]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text] + [f"{c} bigint" for c in added])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text] + ["fp bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            texts = batch.column(text).to_pylist()
-            columns = [np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)]
-            if wide:
-                columns += list(np.stack([wide_fingerprint(t) for t in texts]).view(np.int64).T.copy())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c) for c in columns], kept + added)
+            found = np.array([fingerprint(t, words) for t in batch.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found)], [*kept, "fp"])
 
     return map_arrow(docs, run, schema)
 
@@ -205,10 +192,10 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS
     return map_arrow(_dealt(keyed, ["fp"], piece_rows), _search(radius), "a bigint, b bigint").distinct()
 
 
-def _dealt(keyed: DataFrame, values: list[str], piece_rows: int) -> DataFrame:
+def _dealt(keyed: DataFrame, values: list[str], piece_rows: int, order: tuple[str, ...] = ()) -> DataFrame:
     """Rows (``tab, key`` and values) sorted by bucket; of large buckets, by the pairs of pieces that meet.
 
-    Columns ``tab, key, lo, hi, piece`` and the values: a group is what shares the first four.
+    Columns ``tab, key, lo, hi, piece`` and the values: a group is what shares the first four; its rows stand in ``order``.
     """
     large = known_size(keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > piece_rows)
                        .select("tab", "key", F.ceil(F.col("n") / piece_rows).cast("int").alias("pieces")), "large-buckets")
@@ -216,109 +203,7 @@ def _dealt(keyed: DataFrame, values: list[str], piece_rows: int) -> DataFrame:
            .withColumn("piece", F.pmod(F.xxhash64(*values), F.col("pieces")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
            .select("tab", "key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "piece", *values))
-    return cut.repartition("tab", "key", "lo", "hi").sortWithinPartitions("tab", "key", "lo", "hi")
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """48 bucket keys of each wide fingerprint."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1 << 13):
-            part = batch.slice(start, 1 << 13)
-            words = np.column_stack([part.column(c).to_numpy() for c in _WIDE]).astype(np.int64)
-            bits = np.unpackbits(words.view(np.uint8), axis=1)
-            keys = np.hstack([np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(np.uint16) for order in _ORDERS])
-            n, tables = keys.shape
-            columns = [np.tile(np.arange(tables, dtype=np.int32), n), keys.reshape(-1).astype(np.int64)]
-            columns += [np.repeat(part.column(c).to_numpy(), tables) for c in ("node", *_WIDE)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tab", "key", "node", *_WIDE])
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of linked pairs, those that join what wasn't joined yet."""
-    top: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while top.setdefault(x, x) != x:
-            top[x] = x = top[top[x]]
-        return x
-
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        i, j = find(x), find(y)
-        if i != j:
-            top[i] = j
-            kept.append((x, y))
-    return kept
-
-
-def _wide_links(group: np.ndarray, piece: np.ndarray, cross: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Row pairs that link what is linked within groups of rows (sorted by ``group``)."""
-    sizes = np.bincount(group)[group]
-    small = np.flatnonzero((sizes > 1) & (sizes <= _PAIRWISE))
-    found_a, found_b = [], []
-    for step in range(1, _PAIRWISE):
-        if len(small) <= step:
-            break
-        a, b = small[:-step], small[step:]
-        same = (group[a] == group[b]) & (~cross[a] | (piece[a] != piece[b]))
-        if not (group[a] == group[b]).any():
-            break
-        a, b = a[same], b[same]
-        near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= radius
-        found_a.append(a[near])
-        found_b.append(b[near])
-    links = _forest(np.concatenate(found_a), np.concatenate(found_b)) if found_a else []
-    for g in np.unique(group[sizes > _PAIRWISE]):
-        left = np.flatnonzero(group == g)
-        while len(left):
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                x = queue.pop()
-                rest = left[piece[left] != piece[x]] if cross[x] else left
-                hits = rest[np.bitwise_count(words[rest] ^ words[x]).sum(axis=1) <= radius]
-                if len(hits):
-                    links += [(int(x), int(h)) for h in hits]
-                    queue += hits.tolist()
-                    left = left[~np.isin(left, hits, assume_unique=True)]
-    return links
-
-
-def _search_wide(radius: int):
-    """Like ``_search`` for wide fingerprints; groups arrive sorted, the last one waits for its rest."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            group = np.concatenate(([0], np.cumsum((np.diff(rows[:, :4], axis=0) != 0).any(axis=1))))
-            links = _wide_links(group, rows[:, 4], rows[:, 2] != rows[:, 3], np.ascontiguousarray(rows[:, 6:]).view(np.uint64), radius)
-            if links:
-                a, b = np.array(links).T
-                yield pa.RecordBatch.from_arrays([pa.array(rows[a, 5]), pa.array(rows[b, 5])], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(10)])
-            held.append(rows)
-            if (rows[0, :4] == rows[-1, :4]).all() and (held[0][0, :4] == rows[0, :4]).all():
-                continue
-            rows = np.concatenate(held)
-            last = len(rows) - np.argmax((rows[::-1, :4] != rows[-1, :4]).any(axis=1))
-            yield from done(rows[:last])
-            held = [rows[last:]]
-        if held:
-            yield from done(np.concatenate(held))
-
-    return run
-
-
-def similar_links(marked: DataFrame, radius: int = SIMILAR_RADIUS, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """Links ``a``, ``b`` between values of ``fp`` whose rows (``fp, w0 .. w3``) have equal or near wide fingerprints."""
-    classes = materialize(marked.groupBy(*_WIDE).agg(F.min("fp").alias("node")), "wide-classes")
-    same = marked.select("fp", *_WIDE).distinct().join(classes, _WIDE).filter("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
-    keyed = map_arrow(classes.select("node", *_WIDE), _keys, "tab int, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in _WIDE))
-    near = map_arrow(_dealt(keyed, ["node", *_WIDE], piece_rows), _search_wide(radius), "a bigint, b bigint")
-    return near.union(same).distinct()
+    return cut.repartition("tab", "key", "lo", "hi").sortWithinPartitions("tab", "key", "lo", "hi", *order)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", words: int = SHINGLE_WORDS, radius: int = RADIUS,
@@ -357,6 +242,18 @@ def _parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _long_parity(hashes: np.ndarray) -> bytes:
+    """Parities as in ``_parity``, a power of two of them and at least two per shingle: large sets need more to be told apart."""
+    size = max(512, 1 << int(2 * len(hashes)).bit_length())
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(parity: np.ndarray, size: int) -> np.ndarray:
+    """Fewer parities from more."""
+    return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
+
+
 def _prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The set's first shingles, rare ones before ``common`` ones: sets of similarity 0.8 have one of them in common."""
     n = len(hashes)
@@ -388,48 +285,58 @@ def common_shingles(docs: DataFrame, share: int = COMMON_SHARE) -> tuple[np.ndar
 def _with_sets(docs: DataFrame, words: int, common: np.ndarray, ranks: np.ndarray) -> DataFrame:
     """The rows without ``text``, plus ``fp``, ``node`` (which equal shingle sets share), the set's size ``n``, parities and ``prefix``.
 
-    Of rows of one node in a task the first has the prefix.
+    Of rows of one node in a task the first has the prefix, ``hot`` (those of its shingles that very many texts have) and ``parity``.
     """
     kept = [c for c in docs.columns if c != "text"]
     added = ["fp", "node", "n", *_PARITY]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-                       + [f"{c} bigint" for c in added] + ["prefix array<bigint>"])
+                       + [f"{c} bigint" for c in added] + ["prefix array<bigint>", "hot array<bigint>", "parity binary"])
+    crowded = common[ranks >= HOT_COUNT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
-            numbers, prefixes = np.zeros((len(texts), len(added)), dtype=np.int64), []
+            numbers, prefixes, hot, parities = np.zeros((len(texts), len(added)), dtype=np.int64), [], [], []
             for row, text in zip(numbers, texts, strict=True):
                 found = shingle_set(text)
                 node = _signed(xxhash.xxh3_64_intdigest(found.tobytes())) if len(found) else 0
                 row[:3] = _signed(fingerprint(text, words)), node, len(found)
                 row[3:] = _parity(found)
-                prefixes.append(None if node in seen or not len(found) else _prefix(found, common, ranks).view(np.int64))
+                if node in seen or not len(found):
+                    for column in (prefixes, hot, parities):
+                        column.append(None)
+                    continue
                 seen.add(node)
+                first = _prefix(found, common, ranks)
+                many = np.isin(first, crowded)
+                prefixes.append(first[~many].view(np.int64))
+                hot.append(first[many].view(np.int64))
+                parities.append(_long_parity(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [pa.array(c) for c in numbers.T.copy()] + [pa.array(prefixes, pa.list_(pa.int64()))],
-                [*kept, *added, "prefix"])
+                [batch.column(c) for c in kept] + [pa.array(c) for c in numbers.T.copy()]
+                + [pa.array(c, pa.list_(pa.int64())) for c in (prefixes, hot)] + [pa.array(parities, pa.binary())],
+                [*kept, *added, "prefix", "hot", "parity"])
 
     return map_arrow(docs, run, schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole groups of sorted rows (equal first column) and where each begins; the last one waits for its rest."""
+def _groups(batches: Iterator[pa.RecordBatch], columns: int, keys: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole groups of sorted rows (equal in the first ``keys`` columns) and where each begins; the last one waits for its rest."""
     held: list[np.ndarray] = []
 
     def cut(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return rows, np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]))
+        return rows, np.concatenate(([0], np.flatnonzero((np.diff(rows[:, :keys], axis=0) != 0).any(axis=1)) + 1, [len(rows)]))
 
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(columns)])
         held.append(rows)
-        if rows[0, 0] == rows[-1, 0] == held[0][0, 0]:
+        if (rows[0, :keys] == rows[-1, :keys]).all() and (held[0][0, :keys] == rows[0, :keys]).all():
             continue
         rows = np.concatenate(held)
-        last = len(rows) - np.argmax(rows[::-1, 0] != rows[-1, 0])
+        last = len(rows) - np.argmax((rows[::-1, :keys] != rows[-1, :keys]).any(axis=1))
         yield cut(rows[:last])
         held = [rows[last:]]
     if held:
@@ -479,10 +386,10 @@ def _able_pairs(rows: np.ndarray, forest: bool) -> Iterator[np.ndarray]:
 
 def _search_able(forest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, edges in _groups(batches, 7 + len(_PARITY)):
+        for rows, edges in _groups(batches, 8 + len(_PARITY), 4):
             found, held = [], 0
             for i in np.flatnonzero(np.diff(edges) > 1):
-                for pairs in _able_pairs(rows[edges[i]:edges[i + 1], 1:], forest):
+                for pairs in _able_pairs(rows[edges[i]:edges[i + 1], 2:], forest):
                     found.append(pairs)
                     held += len(pairs)
                     if held > 1 << 16:
@@ -502,24 +409,40 @@ def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
 def _candidates(buckets: DataFrame, sets: DataFrame, roots: DataFrame | None, piece_rows: int) -> DataFrame:
     """Pairs of nodes in one bucket that may be similar: without ``roots`` a forest of them, else all between different roots."""
     values = ["node", "n", "root", *_PARITY]
+    sets = sets.drop("parity")
     rooted = sets.withColumn("root", F.col("node")) if roots is None else (
         sets.join(roots.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     keyed = buckets.join(rooted, "node").select(F.lit(0).alias("tab"), "key", *values)
     if roots is not None:
         mixed = keyed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("key")
         keyed = keyed.join(mixed, "key", "left_semi")
-    dealt = _dealt(materialize(keyed, "similar-buckets"), values, piece_rows)
-    dealt = dealt.withColumn("group", F.xxhash64("tab", "key", "lo", "hi"))
-    return map_arrow(dealt.repartition("group").sortWithinPartitions("group", "node").select("group", "lo", "hi", "piece", *values),
-                     _search_able(roots is None), "a bigint, b bigint").distinct()
+    dealt = _dealt(materialize(keyed, "similar-buckets"), values, piece_rows, ("node",))
+    return map_arrow(dealt, _search_able(roots is None), "a bigint, b bigint").distinct()
+
+
+def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``a, piece, node, parity`` sorted with that of ``a`` first: pairs that the long parities don't rule out."""
+    group, size, centre = None, 0, np.zeros(0, dtype=np.uint64)
+    for batch in batches:
+        found = []
+        for a, piece, node, n, parity in zip(*(batch.column(c).to_pylist() for c in ("a", "piece", "node", "n", "value")), strict=True):
+            own = np.frombuffer(parity, dtype=np.uint64)
+            if (a, piece) != group:
+                group, size, centre = (a, piece), n, own
+                continue
+            width = min(len(own), len(centre))
+            if 9 * int(np.bitwise_count(_folded(own, width) ^ _folded(centre, width)).sum(dtype=np.int64)) <= size + n:
+                found.append((a, node))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``a, piece, node, text`` sorted with the text of ``a`` first: pairs whose shingle sets are similar by 0.8 or more."""
     group, centre = None, np.zeros(0, dtype=np.uint64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "value"):
         found = []
-        for a, piece, node, text in zip(*(batch.column(c).to_pylist() for c in ("a", "piece", "node", "text")), strict=True):
+        for a, piece, node, text in zip(*(batch.column(c).to_pylist() for c in ("a", "piece", "node", "value")), strict=True):
             own = shingle_set(text)
             if (a, piece) != group:
                 group, centre = (a, piece), own
@@ -531,32 +454,48 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """The pairs ``a, b`` whose ``texts`` (``node, text``) have a shingle similarity of 0.8 or more."""
-    pairs = materialize(pairs, "candidate-pairs")
+def _checked(pairs: DataFrame, values: DataFrame, check, piece_rows: int, tag: str) -> DataFrame:
+    """The pairs ``a, b`` that pass ``check``, which sees the value of ``a`` and then those of its partners; written.
+
+    ``values`` has ``node``, ``n``, ``value``.  A node of many partners meets them in pieces.
+    """
     pieces = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / piece_rows).cast("int").alias("pieces"))
     dealt = pairs.join(pieces, "a").select("a", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int").alias("piece"), "b")
     wanted = dealt.select("a", "piece", F.col("b").alias("node")).union(dealt.select("a", "piece", F.col("a").alias("node")).distinct())
-    rows = wanted.join(texts, "node").select("a", "piece", "node", "text").repartition("a", "piece")
-    return materialize(map_arrow(rows.sortWithinPartitions("a", "piece", F.col("node") != F.col("a")), _verify, "a bigint, b bigint"), "similar-pairs")
+    rows = wanted.join(values, "node").select("a", "piece", "node", "n", "value").repartition("a", "piece")
+    return materialize(map_arrow(rows.sortWithinPartitions("a", "piece", F.col("node") != F.col("a")), check, "a bigint, b bigint"), tag)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, tagged: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose texts have a shingle similarity of 0.8 or more.
+
+    Parities, an eighth of a byte or two per shingle, leave few pairs; only the texts of these are fetched.
+    """
+    able = _checked(materialize(pairs, "candidate-pairs"), sets.select("node", "n", F.col("parity").alias("value")), _able, piece_rows, "able-pairs")
+    needed = able.select(F.col("a").alias("node")).union(able.select(F.col("b").alias("node"))).distinct()
+    needed = known_size(classes.join(needed, "node", "left_semi").select("node", "first.key", "first.no", "first.rank"), "needed-texts")
+    texts = tagged.select("key", "no", "rank", "text").join(needed, ["key", "no", "rank"])
+    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("value")).withColumn("n", F.lit(0).cast("long")), "candidate-texts")
+    return _checked(able, texts, _verify, piece_rows, "similar-pairs")
 
 
 def _similar_pairs(tagged: DataFrame, marked: DataFrame, classes: DataFrame, near: DataFrame, piece_rows: int) -> DataFrame:
     """Links that join exactly the nodes whose shingle sets have a similarity of 0.8 or more, directly or by way of others.
 
     ``near`` are further candidates.  A forest of candidates is verified first; then all candidates
-    between what that left apart, so that a family of copies costs no pair of each two.
+    between what that left apart, so that a family of copies costs no pair of each two.  Nodes that share a
+    shingle meet once for all the shingles that just they share; those of a hot shingle meet in pieces.
     """
     near = materialize(near, "near-fingerprints")
-    shared = marked.filter(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("h"), "node")
-    buckets = materialize(map_arrow(shared.repartition("h").sortWithinPartitions("h"), _buckets, "key bigint, node bigint").distinct(), "buckets")
+    shared = marked.select(F.explode("prefix").alias("h"), "node")
+    buckets = map_arrow(shared.repartition("h").sortWithinPartitions("h"), _buckets, "key bigint, node bigint")
+    buckets = materialize(buckets.union(marked.select(F.explode("hot").alias("key"), "node")).distinct(), "buckets")
     needed = buckets.select("node").union(near.select("a")).union(near.select("b")).distinct()
-    needed = known_size(classes.join(needed, "node", "left_semi").select("node", "first.key", "first.no", "first.rank"), "needed-texts")
-    rows = tagged.select("key", "no", "rank", "text").join(needed, ["key", "no", "rank"])
-    texts = materialize(rows.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
-    sets = known_size(marked.select("node", "n", *_PARITY).join(needed.select("node"), "node", "left_semi").distinct(), "candidate-sets")
-    links = verified(_candidates(buckets, sets, None, piece_rows).union(near).distinct(), texts, piece_rows)
-    rest = verified(_candidates(buckets, sets, component_roots(links), piece_rows), texts, piece_rows)
+    sets = marked.filter("parity is not null").join(needed, "node", "left_semi").groupBy("node").agg(
+        *[F.first(c).alias(c) for c in ("n", *_PARITY, "parity")])
+    sets = materialize(sets, "candidate-sets")
+    links = verified(_candidates(buckets, sets, None, piece_rows).union(near).distinct(), sets, classes, tagged, piece_rows)
+    rest = verified(_candidates(buckets, sets, component_roots(links), piece_rows), sets, classes, tagged, piece_rows)
     return links.union(rest)
 
 
