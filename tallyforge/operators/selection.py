@@ -4,20 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.neighbours import knn_topk
 from tallyforge.operators.ordering import hashed_key
-from tallyforge.session import materialize, ship_package
-
-# Distances are compared at this many decimals, then by id, so that the order of
-# equal neighbours does not depend on how the work was cut.
-DISTANCE_DIGITS = 6
-
-_BLOCK_ROWS = 16384
-_MIN_BLOCK_ROWS = 256
+from tallyforge.session import materialize
 
 
 def coverage_select(pairs: DataFrame, k: int, task: str = "task_id", label: str = "label", seed: int = 9,
@@ -56,72 +48,6 @@ def coverage_select(pairs: DataFrame, k: int, task: str = "task_id", label: str
             .select("__p.rank", task, "__p.gain"))
 
 
-def _nearest_in_block(k: int, exclude_self: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def nearest(queries: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []}).astype(
-            {"query_id": "int64", "neighbor_id": "int64", "distance": "float64"})
-        if queries.empty or pool.empty:
-            return empty
-        pool = pool.sort_values("id")
-        ids, points = pool["id"].to_numpy(), np.stack(pool["vector"].to_numpy()).astype("float64")
-        norms = (points ** 2).sum(axis=1)
-        parts = [empty]
-        for start in range(0, len(queries), 256):
-            chunk = queries.iloc[start:start + 256]
-            asked = np.stack(chunk["vector"].to_numpy()).astype("float64")
-            lengths = (asked ** 2).sum(axis=1)
-            squared = np.maximum(lengths[:, None] + norms[None, :] - 2.0 * asked @ points.T, 0.0)
-            if exclude_self:
-                squared[chunk["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            last = min(k, squared.shape[1]) - 1
-            # The product form loses digits: it only preselects, with room for its error and for rounding.
-            error = 1e-12 * (lengths + norms.max())
-            limit = (np.sqrt(np.partition(squared, last, axis=1)[:, last] + error) + 10.0 ** -DISTANCE_DIGITS) ** 2 + error
-            row, col = np.nonzero((squared <= limit[:, None]) & np.isfinite(squared))
-            exact = np.concatenate([np.sqrt(((asked[row[i:i + 65536]] - points[col[i:i + 65536]]) ** 2).sum(axis=1))
-                                    for i in range(0, max(len(row), 1), 65536)])
-            found = pd.DataFrame({"row": row, "neighbor_id": ids[col], "distance": np.round(exact, DISTANCE_DIGITS)})
-            found = found.sort_values(["row", "distance", "neighbor_id"])
-            found = found[found.groupby("row").cumcount() < k]
-            parts.append(pd.DataFrame({
-                "query_id": chunk["id"].to_numpy()[found["row"].to_numpy()],
-                "neighbor_id": found["neighbor_id"].to_numpy(), "distance": found["distance"].to_numpy()}))
-        return pd.concat(parts, ignore_index=True)
-
-    return nearest
-
-
-def knn_topk(queries: DataFrame, pool: DataFrame, k: int, exclude_self: bool = False,
-             block_rows: int = _BLOCK_ROWS) -> DataFrame:
-    """Exact ``k`` nearest pool vectors of every query by Euclidean distance (counts both sides first).
-
-    Both sides have columns ``id, vector``.  They are cut into blocks of bounded size by
-    id hash; every (query block, pool block) pair is one matrix product in one task
-    that returns ``k`` rows per query, so full distance rows never leave a task.
-    """
-    ship_package(queries.sparkSession)
-    tasks = queries.sparkSession.sparkContext.defaultParallelism
-
-    def blocks(rows: int, spread: int) -> int:
-        wanted = max(-(-rows // block_rows), min(spread, rows // _MIN_BLOCK_ROWS))
-        return max(wanted, 1)
-
-    n_query, n_pool = blocks(queries.count(), 1), blocks(pool.count(), tasks)
-
-    def block(count: int) -> Column:
-        return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    asked = queries.select("id", "vector", block(n_query).alias("qb")).withColumn("pb", every(n_pool))
-    points = pool.select("id", "vector", block(n_pool).alias("pb")).withColumn("qb", every(n_query))
-    partial = asked.groupBy("qb", "pb").cogroup(points.groupBy("qb", "pb")).applyInPandas(
-        _nearest_in_block(k, exclude_self), "query_id long, neighbor_id long, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def similarity_select(tasks: DataFrame, examples: DataFrame, shots: int, exclude_self: bool = False) -> DataFrame:
     """The ``shots`` examples nearest to each task, with the columns of the example.
 

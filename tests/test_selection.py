@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import neighbours
 from tallyforge.operators import selection as X
 from tallyforge.operators.ordering import mixed_key
 
@@ -59,6 +60,41 @@ def test_knn_with_fewer_points_than_asked(spark):
     assert {(r.query_id, r.neighbor_id) for r in got} == {(1, 2), (2, 1)}
 
 
+def test_knn_with_its_own_number_for_each_query(spark):
+    rng = np.random.default_rng(5)
+    points = {i: rng.normal(size=4) for i in range(200)}
+    df = spark.createDataFrame([(i, v.tolist(), i % 5) for i, v in points.items()], "id long, vector array<double>, k int")
+    found = {}
+    for r in X.knn_topk(df, df.drop("k"), 3, True, 50, 20).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.distance, r.neighbor_id))
+    want = _brute_knn(points, points, 3, True)
+    assert {q: [(d, i) for _, d, i in sorted(n)] for q, n in found.items()} == {q: n[:min(3, q % 5)] for q, n in want.items() if q % 5}
+
+
+def test_knn_of_empty_sides(spark):
+    some = spark.createDataFrame([(1, [0.0, 1.0])], "id long, vector array<double>")
+    assert X.knn_topk(some, some.limit(0), 2).collect() == [] == X.knn_topk(some.limit(0), some, 2).collect()
+
+
+def test_clouds_meet_few_blocks(spark, monkeypatch):
+    """Exact in clouds too, where a query meets under 30 % of the blocks."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 4
+    points = {i: centres[i % 40] + rng.normal(size=16) * 0.1 for i in range(1200)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in points.items()], "id long, vector array<double>")
+    index = neighbours.cell_index(df, 200, 60)
+    met = []
+    plain = neighbours._met
+    monkeypatch.setattr(neighbours, "_met", lambda index, asked, *more: met.append(asked.count()) or plain(index, asked, *more))
+    got = neighbours.search(index, df, 4, True).collect()
+    blocks = index.rows.select("block").distinct().count()
+    assert blocks > 15 and sum(met) < 0.3 * blocks * len(points)
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.distance, r.neighbor_id))
+    assert found == _brute_knn(points, points, 4, True)
+
+
 def test_similarity_select_carries_example_columns(spark):
     pool = spark.createDataFrame([(1, [0.0, 1.0], "a"), (2, [5.0, 0.0], "b")], "id long, vector array<double>, task string")
     got = X.similarity_select(pool.select("id", "vector"), pool, 1).collect()
