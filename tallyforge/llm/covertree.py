@@ -35,6 +35,7 @@ from tallyforge.session import known_size, materialize
 MIN_COSINE = 0.95
 TOP_ROWS = 2048
 PIECE_ROWS = 8192
+_LEAST_ROWS = 512  # pieces are smaller than asked for, but not smaller than this, if there are fewer of them than cores
 TOP_RADII = (1.0, 0.5)
 NODE_RADIUS = 1 / 32
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625, NODE_RADIUS)
@@ -99,7 +100,7 @@ class CoverTree:
     @staticmethod
     def grow(vectors: np.ndarray, radii: tuple[float, ...], own: np.ndarray | None = None) -> CoverTree:
         own = np.zeros(len(vectors)) if own is None else own
-        sets, centres, owner, reach = [np.arange(len(vectors))], [], [], []
+        sets, centres, owner, reach = [np.arange(len(vectors))] if len(vectors) else [], [], [], []
         for radius in radii:
             next_sets, level = [], []
             for rows in sets:
@@ -325,6 +326,7 @@ class Top:
         tree = CoverTree.grow(u, TOP_RADII)
         lowest = tree.centres[-1]
         self.centres = u[tree.order[np.isin(tree.order, lowest)]]
+        self.apart = distances(self.centres, self.centres) if len(sample) else np.zeros((0, 0))
 
     def fall(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest centre of each vector and all distances."""
@@ -355,6 +357,8 @@ def _with_pieces(rows: DataFrame, reaches: str, piece_rows: int, key: str) -> tu
     The cells come to the driver: at most ``TOP_ROWS``, and one for every odd length.
     """
     found = rows.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr(reaches)).alias("r")).orderBy("dims", "cell").collect()
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    piece_rows = min(piece_rows, max(_LEAST_ROWS, -(-sum(c.n for c in found) // tasks)))
     places, table = {}, []
     for dims in sorted({c.dims for c in found}):
         own = [c for c in found if c.dims == dims]
@@ -383,17 +387,18 @@ def _visits(shared):
                         near = gaps[:, cells] <= reach + own[at][:, None] + radius + _SLACK
                         # Centres of another cell are nearer to its centre than to that of the node's own cell.
                         home = batch.column("cell").to_numpy()[at]
-                        apart = distances(top.centres[home], top.centres[cells])
+                        apart = top.apart[np.ix_(home, cells)]
                         beyond = (gaps[:, cells] ** 2 - gaps[np.arange(len(at)), home][:, None] ** 2) / np.maximum(2 * apart, 1e-12)
                         near &= (beyond <= reach + own[at][:, None] + NODE_RADIUS + _SLACK) | (apart < 1e-6)
                     else:
                         near = np.ones((len(at), len(cells)), dtype=bool)
+                    # Cells of one piece follow each other; a cell in several parts has its pieces for itself.
+                    pieces, starts = np.unique(first, return_index=True)
+                    near = np.logical_or.reduceat(near, starts, axis=1)
                     for part in range(parts.max()):
-                        goes = near & (parts > part) & (first + part > piece[at][:, None])
-                        i, j = np.nonzero(goes)
-                        pairs = np.unique(np.column_stack([at[i], (first + part)[j]]), axis=0)
-                        rows.append(pairs[:, 0])
-                        target.append(pairs[:, 1])
+                        i, j = np.nonzero(near & (parts[starts] > part) & (pieces + part > piece[at][:, None]))
+                        rows.append(at[i])
+                        target.append(pieces[j] + part)
                 rows, target = np.concatenate(rows), np.concatenate(target)
                 home = np.zeros(len(rows), dtype=bool)
                 home[:batch.num_rows] = True
@@ -419,7 +424,7 @@ def link_classes(classes: DataFrame, cosine: float = MIN_COSINE, top_rows: int =
     sized = classes.withColumn("dims", F.size("v"))
     usual = sized.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").first()
     sample = [] if usual is None else sized.filter(F.col("dims") == usual.dims).orderBy(F.xxhash64("class"), "class").limit(top_rows).select("v").collect()
-    top = Top(np.array([r.v for r in sample], dtype=np.float64).reshape(len(sample), -1))
+    top = Top(np.array([r.v for r in sample], dtype=np.float64).reshape(len(sample), -1 if sample else 0))
     celled = map_arrow(sized, _with_cell(context.broadcast(top)), f"class bigint, n bigint, v {value}, dims int, cell int, fall double")
     pieced, _ = _with_pieces(materialize(celled, "cells"), "fall", piece_rows, "class")
     noded = materialize(map_arrow(pieced.select("dims", "piece", "cell", "fall", "class", "n", "v").repartition("dims", "piece").sortWithinPartitions("dims", "piece", "class"),

@@ -189,12 +189,11 @@ def build(docs: DataFrame) -> Manifest:
 def prove(manifest: Manifest) -> DataFrame:
     """One row per leaf: ``doc_id``, ``leaf``, ``subroot``, ``root``, ``changed`` and ``path`` (siblings up to the root)."""
     nothing = manifest.top.roots.select("g", F.array().cast(_STEP).alias("path"))
-    tops = with_paths(manifest.top, nothing).select(F.col("child.part").alias("g"), F.col("child.digest").alias("subroot"), "path")
+    tops = with_paths(manifest.top, nothing).select(F.col("g").alias("top"), F.col("child.part").alias("g"), F.col("child.digest").alias("subroot"), "path")
     tops = known_size(tops, "part-paths")
     rows = with_paths(manifest.parts, tops.select("g", "path"))
-    root = manifest.root
-    heads = known_size(tops.select("g", "subroot").withColumn("one", F.lit(1)).join(root.withColumn("one", F.lit(1)), "one").drop("one"), "part-heads")
-    return rows.join(heads, "g").select("child.doc_id", F.col("child.digest").alias("leaf"), "subroot", "root", "child.changed", "path")
+    heads = known_size(tops.select("top", "g", "subroot").join(manifest.top.roots.select(F.col("g").alias("top"), F.col("digest").alias("root")), "top"), "part-heads")
+    return rows.join(heads.drop("top"), "g").select("child.doc_id", F.col("child.digest").alias("leaf"), "subroot", "root", "child.changed", "path")
 
 
 def verify(docs: DataFrame) -> DataFrame:
