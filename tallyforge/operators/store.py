@@ -1,19 +1,16 @@
-"""The experiment store: errors, results and best parameters as Parquet tables.
+"""The experiment store: errors, results and best parameters as tables.
 
 The functions work on any DataFrame; :class:`ExperimentStore` keeps the three tables
-in one folder, partitioned by experiment.
+in a database of Spark's catalog, partitioned by experiment.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyforge.session import materialize
 from tallyforge.sources.sinks import export_table
@@ -140,171 +137,152 @@ def rerun_plan(requested: DataFrame, stored: DataFrame, errors: DataFrame, phase
         F.when(skip, 0).otherwise(F.col("error_rows")).alias("delete_errors"))
 
 
-# Characters that Spark's partition folders have percent-encoded.
-_ESCAPED = frozenset("\"#%'*/:=?\\\x7f{[]^") | {chr(c) for c in range(1, 32)}
-
-
-def folder_name(experiment: str) -> str:
-    """Folder of an experiment, named as ``partitionBy`` names it."""
-    return "experiment=" + "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in experiment)
-
-
 class ExperimentStore:
-    """Three Parquet tables below one folder, one partition per experiment.
+    """Three tables of Spark's catalog in one database, partitioned by experiment.
 
-    Each partition keeps its schema in a small file, so reads open no data files to find
-    columns.  A rewrite is written once, aside, and then moved into place; if it fails before
-    that, the table is as it was, and between the two moves both forms stand beside each other.
+    The catalog keeps columns and partitions, so an experiment may be empty.  Changes go over all
+    wanted experiments in one job per table, and replace just the partitions that they touch.  How long
+    the tables stay known depends on the session's catalog; their files stay at ``location``.
     """
 
-    _SCHEMA = "_schema.json"
+    def __init__(self, spark: SparkSession, database: str, location: str | None = None):
+        self.spark, self.database = spark, database
+        place = "" if location is None else f" LOCATION '{self._quoted(location)}'"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{place}")
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    @staticmethod
+    def _quoted(text: str) -> str:
+        return text.replace("\\", "\\\\").replace("'", "\\'")
 
-    def _path(self, experiment: str, kind: str) -> str:
+    def _table(self, kind: str) -> str:
         if kind not in KINDS:
             raise ValueError(f"unknown table: {kind}")
-        return f"{self.folder}/{kind}/{folder_name(experiment)}"
-
-    def _target(self, path: str):
-        """Hadoop path (its text taken as it is, percent signs included) and its file system."""
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _fs_exists(self, path: str) -> bool:
-        target, fs = self._target(path)
-        return fs.exists(target)
-
-    def _keep_schema(self, folder: str, schema: T.StructType) -> None:
-        target, fs = self._target(f"{folder}/{self._SCHEMA}")
-        out = fs.create(target, True)
-        out.write(bytearray(schema.json().encode()))
-        out.close()
-
-    def _schema_of(self, folder: str) -> T.StructType:
-        target, fs = self._target(f"{folder}/{self._SCHEMA}")
-        if not fs.exists(target):  # written by someone else: look once
-            return self.spark.read.option("mergeSchema", "true").parquet(folder).schema
-        source = fs.open(target)
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
-        finally:
-            source.close()
-        return T.StructType.fromJson(json.loads(text))
-
-    def _partitions(self, kind: str) -> list[str]:
-        target, fs = self._target(f"{self.folder}/{kind}")
-        return sorted(f"{self.folder}/{kind}/{s.getPath().getName()}" for s in fs.listStatus(target)
-                      if s.getPath().getName().startswith("experiment="))
-
-    def exists(self, experiment: str) -> bool:
-        return any(self._fs_exists(self._path(experiment, k)) for k in KINDS)
+        return f"`{self.database}`.`{kind}`"
+
+    def _has(self, kind: str) -> bool:
+        return self.spark.catalog.tableExists(self._table(kind))
+
+    def _partition(self, kind: str, experiment: str, change: str) -> None:
+        self.spark.sql(f"ALTER TABLE {self._table(kind)} {change} PARTITION (experiment = '{self._quoted(experiment)}')")
+
+    def _fit(self, kind: str, rows: DataFrame) -> DataFrame:
+        """Rows with the table's columns, in its order; the table gets the columns that only the rows have."""
+        table = self.spark.table(self._table(kind))
+        added = [f for f in rows.schema.fields if f.name not in table.columns]
+        if added:
+            names = ", ".join(f"`{f.name}` {'string' if f.dataType.typeName() == 'void' else f.dataType.simpleString()}" for f in added)
+            self.spark.sql(f"ALTER TABLE {self._table(kind)} ADD COLUMNS ({names})")
+            table = self.spark.table(self._table(kind))
+        return rows.select(*[F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+
+    def exists(self, experiment: str, kind: str | None = None) -> bool:
+        return not self.experiments(kind).filter(F.col("experiment") == experiment).isEmpty()
 
     def setup(self, experiment: str, schemas: dict[str, str]) -> None:
-        """Create the empty tables; an existing experiment is an error."""
+        """Create an empty experiment; an existing one is an error."""
         if self.exists(experiment):
             raise FileExistsError(f"experiment '{experiment}' already exists")
         for kind in KINDS:
-            self._write_new(experiment, kind, self.spark.createDataFrame([], schemas[kind]))
+            empty = self.spark.createDataFrame([], schemas[kind]).withColumn("experiment", F.lit(experiment))
+            if self._has(kind):
+                self._fit(kind, empty)
+            else:
+                self.load(kind, empty)
+            self._partition(kind, experiment, "ADD IF NOT EXISTS")
 
     def load(self, kind: str, rows: DataFrame) -> None:
-        """Write a table of several experiments (column ``experiment``) into an empty store."""
-        rows.write.partitionBy("experiment").parquet(f"{self.folder}/{kind}")
-        for folder in self._partitions(kind):
-            self._keep_schema(folder, rows.drop("experiment").schema)
-
-    def _write_new(self, experiment: str, kind: str, rows: DataFrame) -> None:
-        folder = self._path(experiment, kind)
-        rows.drop("experiment").write.mode("errorifexists").parquet(folder)
-        self._keep_schema(folder, rows.drop("experiment").schema)
+        """Write a table of several experiments (column ``experiment``) into a store that hasn't that table."""
+        rows.write.format("parquet").partitionBy("experiment").saveAsTable(self._table(kind))
 
     def read(self, experiment: str, kind: str) -> DataFrame:
-        folder = self._path(experiment, kind)
-        return self.spark.read.schema(self._schema_of(folder)).parquet(folder).withColumn("experiment", F.lit(experiment))
+        return self.read_all(kind).filter(F.col("experiment") == experiment)
 
     def read_all(self, kind: str) -> DataFrame:
         """All experiments of a table; a filter on ``experiment`` prunes partitions."""
-        fields: dict[str, T.StructField] = {}
-        for folder in self._partitions(kind):
-            for f in self._schema_of(folder).fields:
-                fields.setdefault(f.name, f)
-        schema = T.StructType([*fields.values(), T.StructField("experiment", T.StringType())])
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{kind}")
+        return self.spark.table(self._table(kind))
 
     def append(self, experiment: str, kind: str, rows: DataFrame) -> None:
-        folder, fresh = self._path(experiment, kind), rows.drop("experiment")
-        known = self._schema_of(folder) if self._fs_exists(folder) else T.StructType([])
-        added = [f for f in fresh.schema.fields if f.name not in known.names]
-        fresh.write.mode("append").parquet(folder)
-        if added:
-            self._keep_schema(folder, T.StructType([*known.fields, *added]))
-
-    def rewrite(self, experiment: str, kind: str, rows: DataFrame) -> None:
-        """Replace a table by rows that may derive from it."""
-        folder, mark = self._path(experiment, kind), uuid.uuid4().hex
-        aside, before = (f"{self.folder}/{kind}/_{name}-{mark}" for name in ("new", "old"))
-        rows.drop("experiment").write.parquet(aside)
-        self._keep_schema(aside, rows.drop("experiment").schema)
-        (new, fs), (place, _), (old, _) = self._target(aside), self._target(folder), self._target(before)
-        replaced = fs.exists(place)
-        if (replaced and not fs.rename(place, old)) or not fs.rename(new, place):
-            raise OSError(f"{folder} could not be replaced: new rows are in {aside}, old ones in {before} if moved")
-        if replaced:
-            fs.delete(old, True)
-
-    def upsert_best_params(self, experiment: str, rows: DataFrame) -> None:
-        self.rewrite(experiment, "best_params", upsert(
-            self.read(experiment, "best_params").drop("experiment"), rows, ["model_name", "optimizer_metric"]))
+        """Add rows to an experiment; columns that are new to the table are null in all others."""
+        self._fit(kind, rows.withColumn("experiment", F.lit(experiment))).write.insertInto(self._table(kind))
+
+    def rewrite(self, kind: str, rows: DataFrame, experiments: Sequence[str]) -> None:
+        """Replace the partitions of ``experiments`` by rows (column ``experiment``) that may derive from them.
+
+        The rows are written aside first; then one job overwrites the partitions they belong to.
+        """
+        rows = materialize(self._fit(kind, rows), f"store-{kind}")
+        rows.write.option("partitionOverwriteMode", "dynamic").insertInto(self._table(kind), overwrite=True)
+        left = {r["experiment"] for r in rows.select("experiment").distinct().collect()}
+        for emptied in sorted(set(experiments) - left):  # overwriting leaves partitions without new rows as they are
+            self._partition(kind, emptied, "DROP IF EXISTS")
+            self._partition(kind, emptied, "ADD IF NOT EXISTS")
+
+    def _of(self, kind: str, experiment: str | None) -> tuple[DataFrame, list[str]]:
+        """A table's rows of one experiment or of all, and these experiments."""
+        if experiment is not None:
+            return self.read(experiment, kind), [experiment]
+        return self.read_all(kind), [r["experiment"] for r in self.experiments(kind).collect()]
+
+    def upsert_best_params(self, rows: DataFrame, experiment: str | None = None) -> None:
+        """Replace the parameters of the same (experiment, model, optimizer metric), add the others.
+
+        ``rows`` may belong to several experiments (column ``experiment``), or to the one named.
+        """
+        rows = rows if experiment is None else rows.withColumn("experiment", F.lit(experiment))
+        touched = [r["experiment"] for r in rows.select("experiment").distinct().collect()]
+        old = self.read_all("best_params").filter(F.col("experiment").isin(touched))
+        self.rewrite("best_params", upsert(old, rows, ["experiment", "model_name", "optimizer_metric"]), touched)
 
     def set_missing_field(self, field: str, value: Column, experiment: str | None = None) -> None:
-        """Set a field where it is absent, in every table of one experiment or of all."""
-        names = [experiment] if experiment is not None else [r["experiment"] for r in self.experiments().collect()]
-        for name in names:
-            for kind in KINDS:
-                if self._fs_exists(self._path(name, kind)):
-                    self.rewrite(name, kind, set_missing_field(self.read(name, kind), field, value))
+        """Set a field where it is absent, in every table of one experiment or of all: one job per table."""
+        for kind in KINDS:
+            if self._has(kind):
+                rows, touched = self._of(kind, experiment)
+                self.rewrite(kind, set_missing_field(rows, field, value), touched)
 
-    def delete(self, experiment: str, kind: str, condition: Column) -> None:
-        self.rewrite(experiment, kind, delete_docs(self.read(experiment, kind), condition))
+    def delete(self, kind: str, condition: Column, experiment: str | None = None) -> None:
+        rows, touched = self._of(kind, experiment)
+        self.rewrite(kind, delete_docs(rows, condition), touched)
 
-    def clean(self, experiment: str, eval_method: str, ignore_best_params: bool = False) -> None:
+    def clean(self, eval_method: str, experiment: str | None = None, ignore_best_params: bool = False) -> None:
         """Delete what breaks the rules of ``quality_checks``: orphaned errors and results without parameters.
 
         Only models that break a rule lose rows, and only rows of the table the rule is about.
         """
-        tables = {k: self.read(experiment, k) for k in KINDS}
+        tables = {k: self._of(k, experiment)[0] for k in KINDS}
         checked = materialize(quality_checks(tables["errors"], tables["results"], tables["best_params"], eval_method,
                                              ignore_best_params=ignore_best_params).filter(~F.col("passed")), "offenders")
+        keys = ["experiment", "model_name"]
+        offends = checked.select(*keys, *[F.col(r).alias(f"__{r}") for r in ("orphan_validation", "orphan_testing", "results_without_params")])
         method = F.col("eval_method") == eval_method
-        for kind, rule, condition in (("errors", "orphan_validation", F.col("phase") == "validation"),
-                                      ("errors", "orphan_testing", (F.col("phase") == "testing") & method),
-                                      ("results", "results_without_params", method)):
-            models = checked.filter(rule).select("model_name", F.lit(True).alias("__offends"))
-            rows = self.read(experiment, kind).join(models, "model_name", "left")
-            kept = rows.filter(~F.coalesce(F.col("__offends") & condition, F.lit(False)))
-            self.rewrite(experiment, kind, kept.select(*tables[kind].columns))
+        rules = {"errors": (F.col("__orphan_validation") & (F.col("phase") == "validation")) | (F.col("__orphan_testing") & (F.col("phase") == "testing") & method),
+                 "results": F.col("__results_without_params") & method}
+        for kind, broken in rules.items():
+            rows, touched = self._of(kind, experiment)
+            self.rewrite(kind, delete_docs(rows.join(offends, keys, "left"), broken).select(*rows.columns), touched)
 
     def drop(self, experiment: str, kind: str | None = None) -> None:
         """Drop one table of an experiment, or all of it."""
         for each in KINDS if kind is None else (kind,):
-            target, fs = self._target(self._path(experiment, each))
-            fs.delete(target, True)
+            if self._has(each):
+                self._partition(each, experiment, "DROP IF EXISTS")
 
     def copy_errors(self, source: str, target: str) -> bool:
         """Copy the errors of an experiment under another name unless that exists already."""
-        if self._fs_exists(self._path(target, "errors")):
+        if self.exists(target, "errors"):
             return False
-        self._write_new(target, "errors", self.read(source, "errors"))
+        self._partition("errors", target, "ADD IF NOT EXISTS")
+        self.append(target, "errors", self.read(source, "errors").drop("experiment"))
         return True
 
     def experiments(self, kind: str | None = None) -> DataFrame:
-        """Distinct experiment names, read off the partition values."""
-        names = [self.read_all(k).select("experiment").distinct() for k in KINDS
-                 if (kind is None or k == kind) and self._fs_exists(f"{self.folder}/{k}")]
-        if not names:
+        """Distinct experiment names, from the catalog's partitions."""
+        found = [self.spark.sql(f"SHOW PARTITIONS {self._table(k)}") for k in KINDS if (kind is None or k == kind) and self._has(k)]
+        if not found:
             return self.spark.createDataFrame([], "experiment string")
-        return reduce(lambda a, b: a.unionByName(b), names).distinct()
+        # Partition names are percent-encoded, a plus sign isn't.
+        name = F.url_decode(F.replace(F.substring("partition", len("experiment=") + 1, 1 << 30), F.lit("+"), F.lit("%2B")))
+        return reduce(lambda a, b: a.unionByName(b), found).select(name.alias("experiment")).distinct()
 
     def export(self, experiment: str, kind: str, path: str, file_format: str = "json",
                exclude: tuple[str, ...] = ()) -> str:

@@ -12,9 +12,14 @@ SCHEMAS = {"errors": "model_name string, phase string, eval_method string, error
            "best_params": "model_name string, optimizer_metric string, eval_method string, score double"}
 
 
+def new_store(spark):
+    place = scratch_path(spark, "store-test")
+    return T.ExperimentStore(spark, "test_" + place.rsplit("-", 1)[1], place)
+
+
 @pytest.fixture()
 def store(spark):
-    made = T.ExperimentStore(spark, scratch_path(spark, "store-test"))
+    made = new_store(spark)
     made.setup("exp", SCHEMAS)
     made.append("exp", "errors", spark.createDataFrame(
         [("a", "testing", "hold_out", "syntax"), ("a", "validation", "hold_out", None), ("b", "testing", "3_fold", "tests")], SCHEMAS["errors"]))
@@ -30,11 +35,25 @@ def test_setup_and_existence(store):
 
 
 def test_upsert_replaces_the_same_key(spark, store):
-    store.upsert_best_params("exp", spark.createDataFrame([("a", "tests", "hold_out", 0.9), ("b", "tests", "hold_out", 0.1)], SCHEMAS["best_params"]))
+    store.upsert_best_params(spark.createDataFrame([("a", "tests", "hold_out", 0.9), ("b", "tests", "hold_out", 0.1)], SCHEMAS["best_params"]), "exp")
     got = {r.model_name: r.score for r in store.read("exp", "best_params").collect()}
     assert got == {"a": 0.9, "b": 0.1}
 
 
+def test_upsert_into_several_experiments(spark, store):
+    store.setup("more", SCHEMAS)
+    rows = spark.createDataFrame([("a", "tests", "hold_out", 0.7, "exp"), ("a", "tests", "hold_out", 0.8, "more"), ("a", "syntax", "hold_out", 0.9, "new")],
+                                 SCHEMAS["best_params"] + ", experiment string")
+    store.upsert_best_params(rows)
+    assert {(r.experiment, r.optimizer_metric): r.score for r in store.read_all("best_params").collect()} == {
+        ("exp", "tests"): 0.7, ("more", "tests"): 0.8, ("new", "syntax"): 0.9}
+
+
+def test_emptied_experiments_stay(store):
+    store.delete("errors", F.lit(True))
+    assert store.read("exp", "errors").count() == 0 and store.exists("exp", "errors")
+
+
 def test_missing_field_is_set_only_where_absent(store):
     store.set_missing_field("error_type", F.lit("unknown"), "exp")
     store.set_missing_field("version", F.lit(1))
@@ -43,13 +62,13 @@ def test_missing_field_is_set_only_where_absent(store):
 
 
 def test_odd_names_are_one_folder(spark, store):
-    name = "a:b=c/d% e[1]"
+    name = "a:b=c/d% e[1]+'x\\y"
     store.setup(name, SCHEMAS)
     rows = spark.createDataFrame([("a", "testing", "hold_out", "syntax")], SCHEMAS["errors"])
     store.append(name, "errors", rows)
     assert store.read(name, "errors").first().experiment == name
     assert {r.experiment for r in store.read_all("errors").collect()} == {name, "exp"}
-    loaded = T.ExperimentStore(spark, scratch_path(spark, "store-loaded"))
+    loaded = new_store(spark)
     loaded.load("errors", rows.withColumn("experiment", F.lit(name)))
     assert loaded.exists(name) and loaded.read(name, "errors").count() == 1
 
@@ -59,20 +78,20 @@ def test_new_columns_and_failed_rewrites(spark, store):
     assert {r.model_name: r.extra for r in store.read("exp", "errors").collect()} == {"a": None, "b": None, "c": 7}
     broken = store.read("exp", "errors").withColumn("bad", F.raise_error(F.lit("on purpose")).cast("int"))
     with pytest.raises(Exception, match="on purpose"):
-        store.rewrite("exp", "errors", broken)
+        store.rewrite("errors", broken, ["exp"])
     assert store.read("exp", "errors").count() == 4
 
 
 def test_cleaning_removes_what_breaks_a_rule(spark, store):
     store.append("exp", "results", spark.createDataFrame([("d", "hold_out", "tests", 1, 0.5), ("a", "3_fold", "tests", 1, 0.5)], SCHEMAS["results"]))
     store.append("exp", "errors", spark.createDataFrame([("e", "validation", "hold_out", "x")], SCHEMAS["errors"]))
-    store.clean("exp", "hold_out")
+    store.clean("hold_out", "exp")
     assert sorted((r.model_name, r.phase) for r in store.read("exp", "errors").collect()) == [("a", "validation"), ("b", "testing")]
     assert [(r.model_name, r.eval_method) for r in store.read("exp", "results").collect()] == [("a", "3_fold")]
 
 
 def test_delete_keeps_rows_with_null_tests(store):
-    store.delete("exp", "errors", T.matches({"error_type": "syntax"}))
+    store.delete("errors", T.matches({"error_type": "syntax"}), "exp")
     assert sorted(str(r.error_type) for r in store.read("exp", "errors").collect()) == ["None", "tests"]
 
 

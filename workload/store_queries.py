@@ -30,9 +30,14 @@ def _tables(spark, d):
             for kind, sql in (("errors", _ERRORS), ("results", _RESULTS), ("best_params", _PARAMS))}
 
 
+def _new_store(spark) -> T.ExperimentStore:
+    place = scratch_path(spark, "store")
+    return T.ExperimentStore(spark, "tallyforge_" + place.rsplit("-", 1)[1], place)
+
+
 def _store(spark, d) -> T.ExperimentStore:
     """The three tables written into a new store, one partition per experiment."""
-    store = T.ExperimentStore(spark, scratch_path(spark, "store"))
+    store = _new_store(spark)
     for kind, rows in _tables(spark, d).items():
         store.load(kind, rows)
     return store
@@ -83,7 +88,7 @@ def upsert_best_params(spark, d):
     replaced = old.filter(F.col("model_name").isin("m0", "m4"))
     added = old.select("optimizer_metric", "eval_method", "experiment").distinct().withColumn("model_name", F.lit("m9"))
     fresh = replaced.drop("score").unionByName(added).withColumn("score", F.lit(1.5)).drop("experiment")
-    store.upsert_best_params(EXPERIMENTS[0], fresh)
+    store.upsert_best_params(fresh, EXPERIMENTS[0])
     return store.read(EXPERIMENTS[0], "best_params")
 
 
@@ -100,7 +105,7 @@ def set_missing_field(spark, d):
     store = _store(spark, d)
     holes = store.read(EXPERIMENTS[0], "errors").withColumn(
         "error_type", F.when(F.col("event_id") % 2 == 0, F.col("error_type")))
-    store.rewrite(EXPERIMENTS[0], "errors", holes)
+    store.rewrite("errors", holes, EXPERIMENTS[:1])
     store.set_missing_field("error_type", F.lit("unset"))
     store.set_missing_field("version", F.lit("v1"))
     return T.union_experiments([store.read_all(kind) for kind in T.KINDS]).select("event_id", "experiment", "version", "error_type")
@@ -120,7 +125,7 @@ def rename_field(spark, d):
     WHERE experiment = 'signature_5_shot' AND NOT (model_name = 'm0' AND phase = 'testing')""")
 def delete_docs(spark, d):
     store = _store(spark, d)
-    store.delete(EXPERIMENTS[1], "errors", T.matches({"model_name": "m0", "phase": "testing"}))
+    store.delete("errors", T.matches({"model_name": "m0", "phase": "testing"}), EXPERIMENTS[1])
     return store.read(EXPERIMENTS[1], "errors")
 
 
@@ -160,10 +165,9 @@ def quality_checks(spark, d):
     UNION ALL SELECT 'results', experiment, model_name, count(*) FROM results e LEFT JOIN q USING (experiment, model_name)
     WHERE NOT coalesce(results_without_params AND eval_method = 'hold_out', false) GROUP BY 2, 3""")
 def quality_clean(spark, d):
-    """The checks acted upon, in both experiments."""
+    """The checks acted upon, in all experiments at once."""
     store = _store(spark, d)
-    for experiment in EXPERIMENTS:
-        store.clean(experiment, "hold_out")
+    store.clean("hold_out")
     left = T.union_experiments([store.read_all(k).select("experiment", "model_name").withColumn("kind", F.lit(k)) for k in ("errors", "results")])
     return left.groupBy("kind", "experiment", "model_name").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -191,20 +195,20 @@ def experiment_exists(spark, d):
 
 @query("setup", f"""{_TABLES} SELECT event_id, model_name, error_type, 'fresh' AS experiment FROM errors""")
 def setup(spark, d):
-    store = T.ExperimentStore(spark, scratch_path(spark, "store"))
+    store = _new_store(spark)
     store.setup("fresh", {"errors": "event_id long, model_name string, error_type string",
                           "results": "model_name string, mean double", "best_params": "model_name string, score double"})
     store.append("fresh", "errors", _tables(spark, d)["errors"].select("event_id", "model_name", "error_type"))
     return store.read("fresh", "errors")
 
 
-@query("export_all", f"""{_TABLES} SELECT 'errors' AS kind, model_name, count(*) AS rows FROM errors WHERE experiment = 'regular_5_shot' GROUP BY 2
-    UNION ALL SELECT 'results', model_name, count(*) FROM results WHERE experiment = 'regular_5_shot' GROUP BY 2
-    UNION ALL SELECT 'best_params', model_name, count(*) FROM params WHERE experiment = 'regular_5_shot' GROUP BY 2""")
+@query("export_all", f"""{_TABLES} SELECT 'errors' AS kind, model_name, eval_method, event_id, phase, error_type, NULL AS metric, NULL AS k, NULL AS mean,
+        NULL AS optimizer_metric, NULL AS score FROM errors WHERE experiment = 'regular_5_shot'
+    UNION ALL SELECT 'results', model_name, eval_method, NULL, NULL, NULL, metric, k, mean, NULL, NULL FROM results WHERE experiment = 'regular_5_shot'
+    UNION ALL SELECT 'best_params', model_name, eval_method, NULL, NULL, NULL, NULL, NULL, NULL, optimizer_metric, score FROM params WHERE experiment = 'regular_5_shot'""")
 def export_all(spark, d):
     store = _store(spark, d)
     folder = scratch_path(spark, "exports")
     store.export_all(EXPERIMENTS[0], folder)
-    dumped = [spark.read.schema("model_name string").json(f"{folder}/{EXPERIMENTS[0]}_{k}").withColumn("kind", F.lit(k))
-              for k in T.KINDS]
-    return T.union_experiments(dumped).groupBy("kind", "model_name").agg(F.count(F.lit(1)).alias("rows"))
+    dumped = [spark.read.schema(store.read_all(k).drop("experiment").schema).json(f"{folder}/{EXPERIMENTS[0]}_{k}").withColumn("kind", F.lit(k)) for k in T.KINDS]
+    return T.union_experiments(dumped)
