@@ -192,7 +192,8 @@ class ExperimentStore:
 
     def load(self, kind: str, rows: DataFrame) -> None:
         """Write a table of several experiments (column ``experiment``) into a store that hasn't that table."""
-        rows.write.format("parquet").partitionBy("experiment").saveAsTable(self._table(kind))
+        # The table's own option: overwriting replaces just the partitions of the new rows.
+        rows.write.format("parquet").option("partitionOverwriteMode", "dynamic").partitionBy("experiment").saveAsTable(self._table(kind))
 
     def read(self, experiment: str, kind: str) -> DataFrame:
         return self.read_all(kind).filter(F.col("experiment") == experiment)
@@ -211,7 +212,7 @@ class ExperimentStore:
         The rows are written aside first; then one job overwrites the partitions they belong to.
         """
         rows = materialize(self._fit(kind, rows), f"store-{kind}")
-        rows.write.option("partitionOverwriteMode", "dynamic").insertInto(self._table(kind), overwrite=True)
+        rows.write.insertInto(self._table(kind), overwrite=True)
         left = {r["experiment"] for r in rows.select("experiment").distinct().collect()}
         for emptied in sorted(set(experiments) - left):  # overwriting leaves partitions without new rows as they are
             self._partition(kind, emptied, "DROP IF EXISTS")

@@ -49,6 +49,17 @@ def test_upsert_into_several_experiments(spark, store):
         ("exp", "tests"): 0.7, ("more", "tests"): 0.8, ("new", "syntax"): 0.9}
 
 
+def test_changes_leave_other_experiments_alone(spark, store):
+    store.setup("other", SCHEMAS)
+    rows = spark.createDataFrame([("z", "testing", "hold_out", "syntax")], SCHEMAS["errors"])
+    store.append("other", "errors", rows)
+    store.rewrite("errors", store.read("exp", "errors").withColumn("error_type", F.lit("x")), ["exp"])
+    store.delete("errors", F.col("phase") == "validation", "exp")
+    store.append("exp", "errors", rows)
+    assert [r.error_type for r in store.read("other", "errors").collect()] == ["syntax"]
+    assert sorted(r.error_type for r in store.read("exp", "errors").collect()) == ["syntax", "x", "x"]
+
+
 def test_emptied_experiments_stay(store):
     store.delete("errors", F.lit(True))
     assert store.read("exp", "errors").count() == 0 and store.exists("exp", "errors")
