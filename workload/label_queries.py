@@ -209,7 +209,30 @@ def filter_corpus_files(spark, d):
     return X.filter_corpus_files(chunks, ["Src1.md", "SRC7.MD"])
 
 
-@query("pca_2d")
+def _leading(k: int, matrix: str) -> str:
+    """The direction of a covariance matrix's largest eigenvalue: repeated squaring leaves nothing else."""
+    return f"""power{k} AS (
+        SELECT 0 AS step, m FROM {matrix} UNION ALL
+        SELECT step + 1, [[x / trace FOR x IN r] FOR r IN sq] FROM (
+            SELECT step, sq, list_sum([sq[i][i] FOR i IN range(1, len(sq) + 1)]) AS trace FROM (
+                SELECT step, [[list_inner_product(a, b) FOR b IN m] FOR a IN m] AS sq FROM power{k} WHERE step < 16))),
+    column{k} AS (SELECT m[list_position(d, list_max(d))] AS r FROM (SELECT m, [m[i][i] FOR i IN range(1, len(m) + 1)] AS d FROM power{k} WHERE step = 16)),
+    axis{k} AS (SELECT [x / sqrt(list_inner_product(r, r)) FOR x IN r] AS v FROM column{k})"""
+
+
+@query("pca_2d", f"""
+    WITH RECURSIVE long AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    means AS (SELECT i, avg(x) AS mean FROM long GROUP BY i),
+    centred AS (SELECT vec_id, i, x - mean AS x FROM long JOIN means USING (i)),
+    entries AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM centred a JOIN centred b ON a.vec_id = b.vec_id GROUP BY a.i, b.i),
+    cov AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM entries GROUP BY i)),
+    {_leading(1, "cov")},
+    rest AS (SELECT [[m[i][j] - strength * v[i] * v[j] FOR j IN range(1, len(m) + 1)] FOR i IN range(1, len(m) + 1)] AS m FROM (
+        SELECT m, v, list_inner_product(v, [list_inner_product(r, v) FOR r IN m]) AS strength FROM cov, axis1)),
+    {_leading(2, "rest")},
+    rows AS (SELECT vec_id, list(x ORDER BY i) AS e FROM centred GROUP BY vec_id)
+    SELECT vec_id AS id, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS dataset, round(abs(list_inner_product(e, axis1.v)), 4) AS pc1,
+        round(abs(list_inner_product(e, axis2.v)), 4) AS pc2 FROM rows JOIN embeddings USING (vec_id), axis1, axis2""")
 def pca_2d(spark, d):
     named = {"low": vectors(spark, d).filter("label < 5"), "high": vectors(spark, d).filter("label >= 5")}
     projected = X.pca_2d(X.stack_datasets(named).select("id", "dataset", "vector"))
