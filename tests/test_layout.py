@@ -91,3 +91,19 @@ def test_nodes_at_flow_ignores_candidates_without_score(spark):
     df = spark.createDataFrame(rows, "run string, task_id int, layout_score double")
     got = {r.run: r.nodes_at_flow for r in L.nodes_at_flow(df, ["run"]).collect()}
     assert got == {"r": 0.5, "s": 0.0}
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_link_counts_equal_the_pairs(spark, few):
+    """Ordinary programs and one crowded one, with copies and touching edges."""
+    rng = random.Random(12)
+    rows = [(p, rng.choice(["in", "out", "instance", "odd"]), float(rng.randrange(0, w, 5)), float(rng.randrange(0, w, 5)))
+            for p, n, w in ((0, 400, 2500), (1, 7, 400), (2, 1, 10), (3, 30, 60), (None, 5, 300)) for _ in range(n)]
+    rows += [(4, "in", 0.0, 0.0), (4, "in", 100.0, 50.0), (4, "in", 200.1, 0.0), (4, "in", 0.0, 0.0)]
+    want = {}
+    for i, (p, *a) in enumerate(rows):
+        links = sum(q == p and j != i and _overlap(tuple(a), tuple(b)) for j, (q, *b) in enumerate(rows))
+        want[(p, *a)] = (want.get((p, *a), (0,))[0] + 1, links)
+    found = L.overlap_links(spark.createDataFrame(rows, "p long, type string, x double, y double").repartition(5), ["p"], few)
+    assert {(r.p, r.type, r.x, r.y): (r.copies, r.links) for r in found.collect()} == want
+    assert all(r.overlapping == (r.links > 0) for r in found.collect())

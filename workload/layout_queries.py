@@ -46,11 +46,21 @@ def flow_direction_score(spark, d):
     return scored.select("program_id", F.round("flow_score", 6).alias("flow_score"))
 
 
-@query("overlap_pairs", f"""
-    WITH {_FLAGS} SELECT program_id, type, x, y, count(*) AS copies, bool_or(overlapping) AS overlapping
-    FROM flags GROUP BY program_id, type, x, y""", ("placed_nodes",))
+_LINKS = f"""n AS (SELECT *, row_number() OVER (ORDER BY program_id, type, x, y) AS i FROM {{nodes}}),
+    linked AS (SELECT a.i, count(*) AS links FROM n a JOIN n b ON a.program_id = b.program_id AND a.i <> b.i WHERE {_OVERLAP} GROUP BY a.i)
+    SELECT program_id, type, x, y, count(*) AS copies, coalesce(any_value(links), 0) AS links, coalesce(any_value(links), 0) > 0 AS overlapping
+    FROM n LEFT JOIN linked USING (i) GROUP BY program_id, type, x, y"""
+
+
+@query("overlap_pairs", f"WITH {_LINKS.format(nodes='placed_nodes')}", ("placed_nodes",))
 def overlap_pairs(spark, d):
-    return L.overlap_flags(_nodes(spark, d), KEY)
+    return L.overlap_links(_nodes(spark, d), KEY)
+
+
+@query("overlap_pairs_crowded", f"WITH crowded AS (SELECT * REPLACE (program_id % 200 AS program_id) FROM placed_nodes), {_LINKS.format(nodes='crowded')}", ("placed_nodes",))
+def overlap_pairs_crowded(spark, d):
+    """Programs of hundreds of nodes: all nodes of many programs in 200."""
+    return L.overlap_links(_nodes(spark, d).withColumn("program_id", F.col("program_id") % 200), KEY)
 
 
 @query("overlap_score", f"WITH {_FLAGS}, {_OVER} SELECT program_id, nodes, round(overlap_score, 6) AS overlap_score FROM over", ("placed_nodes",))
