@@ -63,33 +63,61 @@ def label_code(label: Column) -> Column:
 
 def multilabel_split(pairs: DataFrame, eval_size: float = 0.4, seed: int = 58, task: str = "task_id",
                      label: str = "label", key: Column | None = None) -> DataFrame:
-    """Split tasks so that every label keeps its share in train, validation and test.
+    """Split tasks so that every label has its share in train, validation and test, to the row where that can be.
 
-    Each task belongs to its rarest label, the label the split can least afford to
-    get wrong.  Within that group tasks are lined up by label set and shuffle key and
-    the held-out ones are taken at even steps, so every label set, and with it every
-    label, is divided in proportion; validation and test take turns.  One pass, no
-    loop over labels, and no group in one task.  Runs a job that writes the task keys.
+    Each label has quotas, how many of its tasks are held out and how many of these are test.  Labels
+    get their turn from the rarest to the most frequent.  A turn settles the tasks that have the label and none before it:
+    what the label's quotas still lack after earlier turns is taken from them at even steps, along their label sets
+    and shuffle keys, so that all other labels are divided in proportion as well.  At least one task of a label
+    stays in training.
+
+    Tasks of one label set are settled by counts: a turn is one job over the label sets of its group, and one row of
+    figures per label is all that comes to the driver.  Tasks get their place from ranks at the end.
     """
     distinct = pairs.select(task, label).filter(F.col(task).isNotNull() & F.col(label).isNotNull()).distinct()
     sizes = distinct.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
     ranked = known_size(numbered_in_order(sizes, ["__size", label], "__rank").select(
-        label, "__rank", label_code(F.col(label)).alias("__code")), "label-ranks")
-    # Written once: four readers follow.
+        label, "__size", "__rank", label_code(F.col(label)).alias("__code")), "label-ranks")
+    # Written once: several readers follow.
     tasks = materialize(distinct.join(ranked, label).groupBy(task).agg(
-        F.min("__rank").alias("__rarest"), F.bit_xor("__code").alias("__set")), "multilabel")
-    keyed = tasks.withColumn("__key", key if key is not None else hashed_key(task, seed))
-    in_set = row_numbers(keyed, ["__rarest", "__set"], ["__key", task], key_bucket(F.col("__key")), "__pos")
-    set_sizes = tasks.groupBy("__rarest", "__set").agg(F.count(F.lit(1)).alias("__n"))
-    starts = running_totals(set_sizes, ["__rarest"], ["__set"], F.shiftright("__set", 40), {"__upto": F.col("__n")})
-    placed = in_set.join(starts.withColumn("__start", F.col("__upto") - F.col("__n")).drop("__upto", "__n"),
-                         ["__rarest", "__set"])
+        F.min("__rank").alias("__rarest"), F.bit_xor("__code").alias("__set"), F.collect_list("__rank").alias("__labels")), "multilabel")
+    in_group = ["__rarest", "__set"]
+    sets = tasks.groupBy(*in_group).agg(F.count(F.lit(1)).alias("__n"), F.first("__labels").alias("__labels"))
+    upto = running_totals(sets, ["__rarest"], ["__set"], F.shiftright("__set", 40), {"__upto": F.col("__n")}, totals=True)
+    placed = materialize(upto.withColumn("__start", F.col("__upto") - F.col("__n")), "label-sets")
+
     share = Fraction(str(eval_size))
+    labels = ranked.select("__rank", "__size").orderBy("__rank").collect()  # one row per label
+    held, test = {r["__rank"]: 0 for r in labels}, {r["__rank"]: 0 for r in labels}
+    groups = {r["__rarest"]: r["n"] for r in placed.groupBy("__rarest").agg(F.max("__upto").alias("n")).collect()}
+    quotas = []
+    for row in labels:
+        rank, size = row["__rank"], row["__size"]
+        if rank not in groups:
+            continue
+        wanted = min(int(size * share + Fraction(1, 2)), size - 1)
+        hold = min(max(wanted - held[rank], 0), groups[rank])
+        tests = min(max(wanted // 2 - test[rank], 0), hold)
+        quotas.append((rank, groups[rank], hold, tests))
+        if hold:
+            own = placed.filter(F.col("__rarest") == rank)
+            taken = [_taken_upto(F.col(c), groups[rank], hold, tests) for c in ("__upto", "__start")]
+            counts = own.select(F.explode("__labels").alias("l"), (taken[0][0] - taken[1][0]).alias("h"), (taken[0][1] - taken[1][1]).alias("t"))
+            for r in counts.groupBy("l").agg(F.sum("h").alias("h"), F.sum("t").alias("t")).collect():
+                held[r["l"]] += r["h"]
+                test[r["l"]] += r["t"]
+    table = known_size(tasks.sparkSession.createDataFrame(quotas, "__rarest long, __of long, __hold long, __tests long"), "label-quotas")
+    keyed = tasks.drop("__labels").withColumn("__key", key if key is not None else hashed_key(task, seed))
+    numbered = row_numbers(keyed, in_group, ["__key", task], key_bucket(F.col("__key")), "__pos")
+    numbered = numbered.join(placed.select(*in_group, "__start"), in_group).join(table, "__rarest")
     position = F.col("__start") + F.col("__pos")
+    now, before = (_taken_upto(p, F.col("__of"), F.col("__hold"), F.col("__tests")) for p in (position, position - 1))
+    split = F.when(now[0] == before[0], "train").when(now[1] == before[1], "validation").otherwise("test")
+    return numbered.select(task, split.alias("split"))
 
-    def held_upto(p: Column) -> Column:
-        return F.floor(p * share.numerator / share.denominator)
 
-    taken, before = held_upto(position), held_upto(position - 1)
-    split = F.when(taken == before, "train").when(taken % 2 == 1, "validation").otherwise("test")
-    return placed.select(task, split.alias("split"))
+def _taken_upto(position: Column, of: int | Column, hold: int | Column, tests: int | Column) -> tuple[Column, Column]:
+    """How many of the first ``position`` tasks of a group are held out, and how many of these are test."""
+    of, hold, tests = (F.lit(x) if isinstance(x, int) else x for x in (of, hold, tests))
+    held = F.floor(position * hold / of)
+    return held, F.floor(held * tests / F.greatest(hold, F.lit(1)))

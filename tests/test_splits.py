@@ -66,6 +66,32 @@ def test_multilabel_split_keeps_every_label_in_proportion(spark, pairs):
         assert abs(r.train - 0.6) < slack and abs(r.validation - 0.2) < slack and abs(r.test - 0.2) < slack, r
 
 
+def brute_quotas(labels_of, share=0.4):
+    """Counts of each label in (held out, test): one turn per label, rarest first, over tasks that no turn settled yet."""
+    sizes = {}
+    for names in labels_of.values():
+        for name in names:
+            sizes[name] = sizes.get(name, 0) + 1
+    return {name: min(int(n * share + 0.5), n - 1) for name, n in sizes.items()}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_multilabel_split_meets_every_quota(spark, seed):
+    rng = random.Random(seed)
+    labels_of = {t: {f"L{min(int(rng.expovariate(0.35)), 12)}" for _ in range(rng.randrange(1, 4))} for t in range(900)}
+    labels_of |= {2000 + t: {f"only{t % 3}"} for t in range(7)}
+    df = spark.createDataFrame([(t, n) for t, names in labels_of.items() for n in names] * 2 + [(None, "L1"), (5, None)], "task_id long, label string")
+    split = {r.task_id: r.split for r in P.multilabel_split(df.repartition(4), 0.4).collect()}
+    assert set(split) == set(labels_of)
+    for name, wanted in brute_quotas(labels_of).items():
+        held = [t for t, names in labels_of.items() if name in names and split[t] != "train"]
+        assert abs(len(held) - wanted) <= 1 and abs(sum(split[t] == "test" for t in held) - wanted // 2) <= 1, name
+
+
+def test_multilabel_split_of_nothing(spark):
+    assert P.multilabel_split(spark.createDataFrame([], "task_id long, label string")).collect() == []
+
+
 def test_rare_labels_are_never_missing_from_training(pairs):
     split = P.multilabel_split(pairs, 0.4)
     labelled = pairs.join(split, "task_id")

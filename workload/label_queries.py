@@ -132,12 +132,27 @@ def random_split(spark, d):
 
 
 @query("multilabel_split", f"""
-    WITH s AS (SELECT label, count(*) AS n FROM task_labels GROUP BY label),
-    t AS (SELECT task_id, min(struct_pack(n := n, label := label)).label AS rarest,
-          bit_xor(('0x' || substr(md5(label), 1, 15))::BIGINT) AS labels FROM task_labels JOIN s USING (label) GROUP BY task_id),
-    p AS (SELECT task_id, row_number() OVER (PARTITION BY rarest ORDER BY labels, {_ORDER_TASK}) AS pos FROM t)
-    SELECT task_id, CASE WHEN pos * 2 // 5 = (pos - 1) * 2 // 5 THEN 'train'
-        WHEN pos * 2 // 5 % 2 = 1 THEN 'validation' ELSE 'test' END AS split FROM p""", ("task_labels",))
+    WITH RECURSIVE s AS (SELECT label, count(*) AS size, row_number() OVER (ORDER BY count(*), label) AS rank FROM task_labels GROUP BY label),
+    t AS (SELECT task_id, min(rank) AS rarest, bit_xor(('0x' || substr(md5(label), 1, 15))::BIGINT) AS code, list(rank) AS labels
+          FROM task_labels JOIN s USING (label) GROUP BY task_id),
+    p AS (SELECT *, row_number() OVER (PARTITION BY rarest ORDER BY code, {_ORDER_TASK}) AS pos, count(*) OVER (PARTITION BY rarest) AS grp FROM t),
+    sets AS (SELECT rarest, grp, min(pos) - 1 AS start, max(pos) AS upto, unnest(any_value(labels)) AS rank FROM p GROUP BY rarest, grp, code),
+    wanted AS (SELECT rank, least((size * 4 + 5) // 10, size - 1) AS wanted, coalesce(grp, 0) AS grp
+               FROM s LEFT JOIN (SELECT DISTINCT rarest AS rank, grp FROM p) USING (rank)),
+    turns AS (
+        SELECT 0 AS turn, rank, 0::BIGINT AS held, 0::BIGINT AS test, 0::BIGINT AS hold, 0::BIGINT AS tests FROM s
+        UNION ALL
+        SELECT turn + 1, own.rank, held + coalesce(sum(upto * hold // grp - start * hold // grp), 0)::BIGINT,
+               test + coalesce(sum((upto * hold // grp) * tests // greatest(hold, 1) - (start * hold // grp) * tests // greatest(hold, 1)), 0)::BIGINT, hold, tests
+        FROM (SELECT turn, rank, held, test, hold, least(greatest(max(CASE WHEN rank = turn + 1 THEN wanted // 2 - test END) OVER (), 0), hold) AS tests
+              FROM (SELECT turn, rank, held, test, wanted, least(greatest(max(CASE WHEN rank = turn + 1 THEN wanted - held END) OVER (), 0),
+                           max(CASE WHEN rank = turn + 1 THEN grp END) OVER ()) AS hold FROM turns JOIN wanted USING (rank))) own
+        LEFT JOIN sets ON sets.rarest = turn + 1 AND sets.rank = own.rank WHERE turn < (SELECT max(rank) FROM s)
+        GROUP BY turn, own.rank, held, test, hold, tests),
+    q AS (SELECT DISTINCT turn AS rarest, hold, tests FROM turns WHERE turn > 0)
+    SELECT task_id, CASE WHEN pos * hold // grp = (pos - 1) * hold // grp THEN 'train'
+        WHEN (pos * hold // grp) * tests // greatest(hold, 1) = ((pos - 1) * hold // grp) * tests // greatest(hold, 1) THEN 'validation' ELSE 'test' END AS split
+    FROM p JOIN q USING (rarest)""", ("task_labels",))
 def multilabel_split(spark, d):
     return P.multilabel_split(V.task_labels(spark, d), 0.4, key=mixed_key("task_id"))
 

@@ -73,6 +73,8 @@ def with_views(sql: str, *names: str) -> str:
         return sql
     views = ",\n".join(f"{n} AS ({_SQL_VIEWS[n]})" for n in ordered)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"
