@@ -187,3 +187,85 @@ def parsed_assertion(assertion: Column) -> Column:
 def parsed_assertions(assertions: Column) -> Column:
     """Parsed forms of an array of assertions in order, non-matching ones dropped."""
     return F.filter(F.transform(assertions, parsed_assertion), lambda a: a.isNotNull())
+
+
+# Pieces of a literal: strings (a run of text without a closing quote is one too), brackets and commas, and what lies between.
+_LITERAL_PIECES = r"""(?s)"(?:[^"\\]|\\.)*"?|'(?:[^'\\]|\\.)*'?|[\[\](){},]|[^"'\[\](){},]+"""
+
+
+def _json_string(piece: Column) -> Column:
+    """A quoted string in JSON's form; escapes that JSON doesn't know stay and make it unreadable."""
+    inner = F.substr(piece, F.lit(2), F.length(piece) - 2)
+    plain = F.regexp_replace(F.replace(inner, F.lit("\\'"), F.lit("'")), r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+    quoted = F.regexp_replace(plain, r'(?<!\\)((?:\\\\)*)"', r'$1\\"')
+    return F.concat(F.lit('"'), F.when(piece.startswith("'"), quoted).otherwise(plain), F.lit('"'))
+
+
+def literal_json(text: Column) -> Column:
+    """JSON text of a Python literal: tuples become arrays, names and numbers get JSON's form.
+
+    A pair of parentheses around one value is no tuple.  What JSON can't express (sets, keys that aren't
+    strings, expressions) gives text that isn't JSON.
+    """
+    def word(piece: Column) -> Column:
+        for name, value in (("True", "true"), ("False", "false"), ("None", "null")):
+            piece = F.regexp_replace(piece, rf"\b{name}\b", value)
+        piece = F.regexp_replace(piece, r"(?<![\w.])\.(\d)", "0.$1")
+        return F.regexp_replace(piece, r"(?<![\w.])(\d+)\.(?!\d)", "$1.0")
+
+    # The fold keeps what is written so far and, for each open bracket, where it stands and whether a comma is directly in it.
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<struct<at:int,comma:boolean>>").alias("open"))
+
+    def set_at(items: Column, at: Column, value: Column) -> Column:
+        return F.transform(items, lambda x, i: F.when(i == at, value).otherwise(x))
+
+    def step(state: Column, raw: Column) -> Column:
+        out, opened = state["out"], state["open"]
+        piece = F.btrim(raw, F.lit(_SPACE))
+        top = F.get(opened, F.size(opened) - 1)
+        last = F.get(out, F.size(out) - 1)
+        # A trailing comma goes.
+        kept = F.when(last == ",", F.slice(out, 1, F.size(out) - 1)).otherwise(out)
+        tuple_ = top["comma"] | (F.size(out) - 1 == top["at"])
+        closing = (F.when(piece != ")", F.concat(kept, F.array(piece)))
+                   .when(tuple_, F.concat(set_at(kept, top["at"], F.lit("[")), F.array(F.lit("]"))))
+                   .otherwise(set_at(kept, top["at"], F.lit(""))))
+        shut = F.slice(opened, 1, F.greatest(F.size(opened) - 1, F.lit(0)))
+        commas = F.transform(opened, lambda o, i: F.struct(o["at"].alias("at"), (o["comma"] | (i == F.size(opened) - 1)).alias("comma")))
+        value = F.when(piece.startswith('"') | piece.startswith("'"), _json_string(piece)).otherwise(word(piece))
+        fresh = F.array(F.struct(F.size(out).alias("at"), F.lit(False).alias("comma")))
+        return (F.when(piece == "", state)
+                .when(piece.isin("(", "[", "{"), F.struct(F.concat(out, F.array(piece)).alias("out"), F.concat(opened, fresh).alias("open")))
+                .when(piece.isin(")", "]", "}"), F.struct(F.when(top.isNull(), F.concat(out, F.array(piece))).otherwise(closing).alias("out"), shut.alias("open")))
+                .when(piece == ",", F.struct(F.concat(out, F.array(piece)).alias("out"), commas.alias("open")))
+                .otherwise(F.struct(F.concat(out, F.array(value)).alias("out"), opened.alias("open"))))
+
+    pieces = F.regexp_extract_all(text, F.lit(_LITERAL_PIECES), F.lit(0))
+    return F.array_join(F.aggregate(pieces, start, step)["out"], "")
+
+
+def literal_value(text: Column) -> Column:
+    """VARIANT of a Python literal, null if it can't be read."""
+    # In an array: the parser would take the beginning of a text for the whole.
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), literal_json(text), F.lit("]"))), "$[0]", "variant")
+
+
+def typed_case(assertion: Column) -> Column:
+    """``struct<function, input, expected_output>`` with both values as VARIANT, or null when the text does not match.
+
+    One argument is the input itself, several are an array.  An input that can't be read is an array of its text, such an
+    expected value is its text without quotes.
+    """
+    arguments, expected = (F.regexp_extract(assertion, ASSERTION, i) for i in (2, 3))
+    inputs = F.coalesce(literal_value(F.concat(F.lit("("), arguments, F.lit(")"))), F.parse_json(F.to_json(F.array(strip(arguments)))))
+    text = F.btrim(expected, F.lit('"'))
+    quoted = F.element_at(F.split(F.to_json(F.named_struct(F.lit("v"), text)), '"v":', 2), 2)
+    value = F.coalesce(literal_value(expected),
+                       F.parse_json(F.substr(quoted, F.lit(1), F.length(quoted) - 1)))
+    return F.when(assertion.rlike(ASSERTION), F.struct(
+        F.regexp_extract(assertion, ASSERTION, 1).alias("function"), inputs.alias("input"), value.alias("expected_output")))
+
+
+def typed_cases(assertions: Column) -> Column:
+    """Test cases of an array of assertions in order, non-matching ones dropped."""
+    return F.filter(F.transform(assertions, typed_case), lambda c: c.isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,39 +14,56 @@ from tallyforge.session import materialize
 
 
 def coverage_select(pairs: DataFrame, k: int, task: str = "task_id", label: str = "label", seed: int = 9,
-                    key: Callable[[str], Column] | None = None) -> DataFrame:
-    """Greedy choice of ``k`` tasks that together cover the most labels (runs ``k`` jobs).
+                    key: Callable[[str], Column] | None = None, front: int = 10_000) -> DataFrame:
+    """Greedy choice of ``k`` tasks that together cover the most labels.
 
-    Each round takes the task with the most labels not covered yet; ties go by shuffle
-    key.  Once nothing new can be covered, the rest is filled in shuffle order.  The
-    label set of each task is written once; a round is then one scan without a
-    shuffle, and only the chosen id returns to the driver.
+    Each pick is the task with the most labels not covered yet; ties go by shuffle key.  Once
+    nothing new can be covered, the rest is filled in shuffle order.
+
+    Of tasks with equal label sets only the first in shuffle order can ever be picked, so one scan leaves
+    a row per label set.  The ``front`` largest sets come to the driver, as bits.  There the greedy choice is
+    lazy: what a set would have gained earlier, its size at first, is an upper bound, and only sets whose bound
+    reaches the best gain found are looked at again.  The sets behind the front are asked in Spark
+    if a pick gains no more than the largest of them has labels, which costs a scan of the sets, not of the tasks.
     """
     order = key or (lambda c: hashed_key(c, seed))
-    sets = pairs.groupBy(task).agg(F.collect_set(label).alias("__labels"))
-    pool = materialize(sets.withColumn("__key", order(task)), "coverage")
-    chosen: list[tuple[int, int]] = []
+    own = pairs.groupBy(task).agg(F.sort_array(F.collect_set(label)).alias("labels"))
+    first = F.min(F.struct(order(task).alias("key"), F.col(task).alias("id")))
+    sets = materialize(own.groupBy("labels").agg(first.alias("first")).withColumn("size", F.size("labels")), "label-sets")
+    held = sets.filter("size > 0").orderBy(F.desc("size"), "first").limit(front + 1).collect()
+    behind = held[front] if len(held) > front else None
+    numbers: dict[str, int] = {}
+    rows = [(r["first"], sum(1 << numbers.setdefault(name, len(numbers)) for name in r["labels"])) for r in held[:front]]
+    heap = [(-bits.bit_count(), tuple(at), bits) for at, bits in rows]
+    heapq.heapify(heap)
+    covered, names, chosen = 0, set(), []
     while len(chosen) < k:
-        ids = [i for i, _ in chosen]
-        left, gain = pool, F.size("__labels")
-        if ids:
-            covered = pool.filter(F.col(task).isin(ids)).select(F.explode("__labels").alias("l")).agg(
-                F.collect_set("l")).scalar()
-            left, gain = pool.filter(~F.col(task).isin(ids)), F.size(F.array_except("__labels", covered))
-        gains = left.select(task, "__key", gain.alias("gain"))
-        best = gains.agg(F.min(F.struct((-F.col("gain")).alias("loss"), "__key", F.col(task).alias("id")))).first()[0]
-        if best is None or best["loss"] >= 0:
+        while heap and (gain := (heap[0][2] & ~covered).bit_count()) < -heap[0][0]:
+            heapq.heapreplace(heap, (-gain, *heap[0][1:]))
+        best = (-heap[0][0], heap[0][1]) if heap else (0, None)
+        labels = None
+        if behind is not None and best[0] <= behind["size"]:
+            gains = sets.filter((F.col("size") >= best[0]) & ((F.col("size") < behind["size"]) | (
+                (F.col("size") == behind["size"]) & (F.col("first") >= F.struct(F.lit(behind["first"]["key"]).alias("key"), F.lit(behind["first"]["id"]).alias("id"))))))
+            gain = F.size(F.array_except("labels", F.lit(sorted(names)).cast("array<string>"))) if names else F.col("size")
+            found = gains.agg(F.min(F.struct((-gain).alias("loss"), "first", "labels"))).first()[0]
+            if found is not None and (found["loss"], tuple(found["first"])) < (-best[0], best[1] or ()):
+                best, labels = (-found["loss"], tuple(found["first"])), found["labels"]
+        if best[0] <= 0:
             break
-        chosen.append((best["id"], -best["loss"]))
+        if labels is None:
+            bits = heapq.heappop(heap)[2]
+            labels = [name for name, n in numbers.items() if bits >> n & 1]
+        chosen.append((best[1][1], best[0]))
+        names.update(labels)
+        covered |= sum(1 << numbers.setdefault(name, len(numbers)) for name in labels)
     if len(chosen) < k:
-        ids = [i for i, _ in chosen]
-        rest = pool.filter(~F.col(task).isin(ids)) if ids else pool
-        chosen += [(r[0], 0) for r in rest.orderBy("__key", task).limit(k - len(chosen)).select(task).collect()]
-    picks = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(i).alias("id"), F.lit(gain).cast("long").alias("gain"))
-                      for rank, (i, gain) in enumerate(chosen, 1)])
-    rows = pool.filter(F.col(task).isin([i for i, _ in chosen])).select(task)
-    return (rows.select(task, F.explode(picks).alias("__p")).filter(F.col("__p.id") == F.col(task))
-            .select("__p.rank", task, "__p.gain"))
+        picked = {i for i, _ in chosen}
+        rest = pairs.select(task).distinct().select(order(task).alias("key"), F.col(task).alias("id")).orderBy("key", "id").limit(k).collect()
+        chosen += [(r["id"], 0) for r in rest if r["id"] not in picked][:k - len(chosen)]
+    kind = pairs.schema[task].dataType.simpleString()
+    ranked = [(rank, i, gain) for rank, (i, gain) in enumerate(chosen, 1)]
+    return pairs.sparkSession.createDataFrame(ranked, f"rank int, `{task}` {kind}, gain long")
 
 
 def similarity_select(tasks: DataFrame, examples: DataFrame, shots: int, exclude_self: bool = False) -> DataFrame:

@@ -25,15 +25,19 @@ def _greedy(sets, k):
     return chosen
 
 
-@pytest.mark.parametrize("labels,k", [(30, 5), (4, 6)])
-def test_coverage_is_greedy_and_then_fills(spark, labels, k):
+@pytest.mark.parametrize("labels,k,front", [(30, 5, 10_000), (4, 6, 10_000), (30, 12, 3), (12, 9, 1), (4, 90, 2)])
+def test_coverage_is_greedy_and_then_fills(spark, labels, k, front):
     rng = random.Random(labels)
     sets = {t: {f"L{rng.randrange(labels)}" for _ in range(rng.randrange(1, 6))} for t in range(80)}
     rows = [(t, name) for t, names in sets.items() for name in names] * 2
-    got = X.coverage_select(spark.createDataFrame(rows, "task_id long, label string"), k, key=mixed_key)
+    got = X.coverage_select(spark.createDataFrame(rows, "task_id long, label string"), k, key=mixed_key, front=front)
     assert [(r.task_id, r.gain) for r in got.orderBy("rank").collect()] == _greedy(sets, k)
 
 
+def test_coverage_of_nothing(spark):
+    assert X.coverage_select(spark.createDataFrame([], "task_id long, label string"), 3).collect() == []
+
+
 def _brute_knn(queries, pool, k, exclude):
     out = {}
     for q, v in queries.items():

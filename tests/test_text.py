@@ -1,5 +1,7 @@
 """Text columns on hand-made rows."""
 
+import ast
+import json
 import re
 
 import pytest
@@ -94,6 +96,30 @@ def test_assertions(spark):
         ("f", "([1, 2])", "list", "[3, [4]"), ("f", "()", "bool", "false")]
 
 
+LITERALS = ["(1,-2)", "(1)", "()", "(1,)", "((1))", "([1, 2],)", "('a', \"b c\")", "([1, (2, 3), [4, (5,)]], None, True)", "('it\\'s', \"say 'hi'\")", "('quote \"x\"')",
+            "({'a': [1, 2.5], \"b\": {'c': False}},)", "('True, (x) [y]', .5, 5., -1e3)", "([[1, 2, ], []], 'ü😀\\n\\t\\\\')", "('\\x41', \"\")", "(' a , b ')", "(  1 ,  2  )"]
+
+
+def test_literals_have_their_values(spark):
+    found = _apply(spark, LITERALS, lambda c: F.to_json(X.literal_value(c)))
+    as_json = lambda v: json.loads(json.dumps(v))
+    assert [json.loads(f) for f in found] == [as_json(ast.literal_eval(t)) for t in LITERALS]
+
+
+def test_unreadable_literals_are_null(spark):
+    texts = ["({1, 2})", "({1: 2})", "(x)", "(1 + 2)", "('open)", "([1, 2)", "(f(1))", "('a' 'b')", "('\\q')", "(1))"]
+    assert _apply(spark, texts, lambda c: F.to_json(X.literal_value(c))) == [None] * len(texts)
+
+
+def test_typed_cases_in_order(spark):
+    texts = ["assert f(1,-2) == True", "no test", "assert f([10, 20, 1]) == 45", 'assert g("a", (1, 2)) == "x y"', "assert f(x + 1) == [3, 'b']", "assert f() == False",
+             "assert f(' a') == [1, x]", 'assert h(None) == "say \\"']
+    rows = _apply(spark, [texts], lambda c: F.transform(X.typed_cases(c), lambda t: F.struct(t["function"], F.to_json(t["input"]), F.to_json(t["expected_output"]))), "array<string>")[0]
+    assert [(r[0], json.loads(r[1]), json.loads(r[2])) for r in rows] == [
+        ("f", [1, -2], True), ("f", [10, 20, 1], 45), ("g", ["a", [1, 2]], "x y"), ("f", ["x + 1"], [3, "b"]), ("f", [], False),
+        ("f", " a", "[1, x]"), ("h", None, "say \\")]
+
+
 def test_error_lines(spark):
     assert _apply(spark, ["ok\n \x1b[1mError: a\nfine\nsome errors ", "", None], X.error_lines) == [["Error: a", "some errors"], [], []]
 

@@ -213,16 +213,37 @@ def drop_nested_field(spark, d):
 _ASSERTION = r"""^assert\s+(\w+)\((.*?)\)\s*==\s*(True|False|\d+|\[.*?\]|".*?")"""
 
 
-@query("parse_assertions", rf"""
-    WITH a AS (SELECT task_id, regexp_extract(assertion, '{_ASSERTION}', 1) AS function,
+_CASES = rf"""a AS (SELECT task_id, regexp_extract(assertion, '{_ASSERTION}', 1) AS function,
         concat('(', regexp_extract(assertion, '{_ASSERTION}', 2), ')') AS input, regexp_extract(assertion, '{_ASSERTION}', 3) AS e
-        FROM assertion_rows WHERE regexp_matches(assertion, '{_ASSERTION}'))
-    SELECT task_id, function, input, CASE WHEN e IN ('True', 'False') THEN 'bool' WHEN e[1] = '[' THEN 'list'
+        FROM assertion_rows WHERE regexp_matches(assertion, '{_ASSERTION}')),
+    typed AS (SELECT *, replace(replace(replace(input, '(', '['), ')', ']'), ' ', '') AS input_value,
+        CASE WHEN e IN ('True', 'False') THEN lower(e) ELSE replace(e, ' ', '') END AS expected_value FROM a)"""
+
+
+@query("parse_assertions", f"""
+    WITH {_CASES} SELECT task_id, function, input, CASE WHEN e IN ('True', 'False') THEN 'bool' WHEN e[1] = '[' THEN 'list'
         WHEN e[1] = '"' THEN 'string' ELSE 'int' END AS kind,
-        CASE WHEN e IN ('True', 'False') THEN lower(e) ELSE trim(e, '"') END AS expected FROM a""", ("assertion_rows",))
+        CASE WHEN e IN ('True', 'False') THEN lower(e) ELSE trim(e, '"') END AS expected, input_value, expected_value,
+        CASE WHEN e IN ('True', 'False') THEN 'BOOLEAN' WHEN e[1] = '[' THEN 'ARRAY<BIGINT>' WHEN e[1] = '"' THEN 'STRING' ELSE 'BIGINT' END AS expected_type
+    FROM typed""", ("assertion_rows",))
 def parse_assertions(spark, d):
     rows = V.view(spark, d, "assertion_rows").select("task_id", F.array("assertion").alias("tests"))
-    return rows.select("task_id", F.explode(X.parsed_assertions(F.col("tests"))).alias("p")).select("task_id", "p.*")
+    parsed = rows.select("task_id", F.explode(F.arrays_zip(X.parsed_assertions(F.col("tests")).alias("p"), X.typed_cases(F.col("tests")).alias("t"))).alias("z"))
+    return parsed.select("task_id", "z.p.*", F.to_json("z.t.input").alias("input_value"), F.to_json("z.t.expected_output").alias("expected_value"),
+                         F.schema_of_variant("z.t.expected_output").alias("expected_type"))
+
+
+@query("assertion_cases", f"""
+    WITH {_CASES} SELECT task_id % 1000 AS group_id, count(*) AS cases, string_agg(concat(function, ' ', input_value, ' ', expected_value), chr(10) ORDER BY task_id) AS test_cases
+    FROM typed GROUP BY task_id % 1000""", ("assertion_rows",))
+def assertion_cases(spark, d):
+    """The test cases of a task, collected in order."""
+    rows = V.view(spark, d, "assertion_rows")
+    lists = rows.groupBy(F.expr("task_id % 1000").alias("group_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("task_id", "assertion"))), lambda r: r["assertion"]).alias("tests"))
+    cases = lists.select("group_id", X.typed_cases(F.col("tests")).alias("cases"))
+    written = F.transform("cases", lambda c: F.concat_ws(" ", c["function"], F.to_json(c["input"]), F.to_json(c["expected_output"])))
+    return cases.select("group_id", F.size("cases").cast("long").alias("cases"), F.array_join(written, "\n").alias("test_cases"))
 
 
 @query("catalog_text", """
