@@ -6,17 +6,65 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import strip
+from tallyforge.operators.ordering import running_totals
+from tallyforge.session import known_size, materialize
 
 # Fixed value: what a task without a program file shows.
 FILE_NOT_FOUND = "File not found"
 
 
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Files cut behind every closing brace, wherever it stands (written): files are split among tasks like lines.
+
+    ``file, start, place`` order the pieces of a file.  ``quotes`` are its unescaped ones; ``outside`` and ``inside`` tell for a
+    piece that begins outside and inside of a string by how much braces open and close in it.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    quotes = F.regexp_count(plain, F.lit('"'))
+
+    def braces(text: Column, ends_inside: Column) -> Column:
+        bare = F.regexp_replace(text, r'"[^"]*("|$)', "")
+        return F.regexp_count(bare, F.lit(r"\{")) - F.when(ends_inside, 0).otherwise(1)
+
+    odd = quotes % 2 == 1
+    return materialize(raw.select(
+        "*", quotes.alias("quotes"), braces(plain, odd).alias("outside"), braces(F.concat(F.lit('"'), plain), ~odd).alias("inside")), "pieces")
+
+
+def _array_files(pieces: DataFrame) -> DataFrame:
+    """Files whose first character, blanks aside, opens an array."""
+    first = pieces.groupBy("file").agg(F.min_by(F.substr(F.ltrim(F.col("value"), F.lit(" \t\r\n\ufeff")), F.lit(1), F.lit(1)), F.struct("start", "place")).alias("first"))
+    return known_size(first.filter("first = '['").select("file"), "array-files")
+
+
+def _records(pieces: DataFrame, schema: str) -> DataFrame:
+    """Records of files that each hold one array of objects: ``file``, ``record`` (from 0) and ``row``.
+
+    Running sums over the pieces tell whether a piece begins in a string and how deep it ends; a record
+    ends where the depth comes back to zero.  Only numbers are summed, texts join last.
+    """
+    order, at = ["start", "place"], ["file", "start", "place"]
+    numbers = pieces.select(*at, F.col("quotes").cast("long").alias("quotes"), "outside", "inside")
+    counted = running_totals(numbers, ["file"], order, F.col("start"), {"q": F.col("quotes")})
+    change = F.when((F.col("q") - F.col("quotes")) % 2 == 0, F.col("outside")).otherwise(F.col("inside")).cast("long")
+    closes = F.when((F.col("q") % 2 == 0) & (F.col("depth") == 0), 1).otherwise(0).cast("long")
+    deep = running_totals(counted.select(*at, "q", change.alias("change")), ["file"], order, F.col("start"), {"depth": F.col("change")})
+    ended = running_totals(deep.select(*at, closes.alias("end"), "depth"), ["file"], order, F.col("start"), {"ends": F.col("end")})
+    owned = ended.filter("depth >= 0").select(*at, (F.col("ends") - F.col("end")).alias("record"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("start", "place", "value"))), lambda p: p["value"])
+    texts = pieces.select(*at, "value").join(owned, at).groupBy("file", "record").agg(F.concat(F.array_join(whole, "}"), F.lit("}")).alias("text"))
+    row = F.from_json(F.regexp_replace("text", r"^[^{]*", ""), schema)
+    return texts.select("file", "record", row.alias("row"))
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files that each hold one JSON array of records.
+    """Files that each hold one JSON array of objects; large files are split among tasks (runs a job).
 
-    One file is one task, so large data should come as many files.
+    A file may be one line.  A record that can't be read has null fields.
     """
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return _records(_pieces(spark, path), schema).select("row.*")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,16 +85,24 @@ def distinct_task_ids(tasks: DataFrame, position: Column, id_col: str = "task_id
     return placed.groupBy("task_id").agg(F.min("__pos").alias("first_pos"))
 
 
-def read_task_ids(spark: SparkSession, path: str, json_array: bool) -> DataFrame:
-    """Distinct task ids of JSON array files or of JSONL files, in order of first appearance.
+def read_task_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct task ids of files that are JSON arrays or JSON lines, in order of first appearance.
 
-    ``json_array`` says which form the files have; a folder holds one form.  The order is kept in
-    ``first_pos`` as (file, start of its part, place in the part), whatever way files are packed into tasks.
+    A file's form is told by its first character; a folder may hold both.  The order is kept in ``first_pos`` as
+    (file, start of its part, place in the part), whatever way files are packed into tasks.
     """
-    rows = spark.read.schema("task_id string").json(path, multiLine=json_array)
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                     F.monotonically_increasing_id().alias("place"))
-    return distinct_task_ids(rows.select("task_id", place.alias("place")).filter(F.col("task_id").isNotNull()), F.col("place"))
+    def place(start: Column, at: Column) -> Column:
+        return F.struct("file", start.alias("start"), at.alias("place"))
+
+    pieces = _pieces(spark, path)
+    arrays = _array_files(pieces)
+    of_arrays = _records(pieces.join(arrays, "file", "left_semi"), "task_id string").select(
+        F.col("row.task_id").alias("task_id"), place(F.lit(0).cast("long"), F.col("record")).alias("place"))
+    lines = spark.read.schema("task_id string").json(path).select("task_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                                                 F.monotonically_increasing_id().alias("id"))
+    of_lines = lines.join(arrays, "file", "left_anti").select("task_id", place(F.col("start"), F.col("id")).alias("place"))
+    rows = of_arrays.union(of_lines).filter(F.col("task_id").isNotNull())
+    return distinct_task_ids(rows, F.col("place"))
 
 
 def read_code_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Readers, run files, sinks and the catalog on hand-made files."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators.catalog import extract_catalog
@@ -23,12 +25,40 @@ def test_task_ids_of_both_file_forms(spark, tmp_path):
     array.write_text(json.dumps([{"task_id": "7"}, {"task_id": 3}, {"task_id": 7}, {"task_id": 1}], indent=2))
     lines.write_text('{"task_id": 7}\n\n{"task_id": "3"}\n{"task_id": 7}\n{"task_id": 1}\n')
     for path in (array, lines):
-        assert [r.task_id for r in R.read_task_ids(spark, str(path), path is array).orderBy("first_pos").collect()] == [7, 3, 1]
+        assert [r.task_id for r in R.read_task_ids(spark, str(path)).orderBy("first_pos").collect()] == [7, 3, 1]
     many = tmp_path / "many"
     many.mkdir()
-    (many / "a.jsonl").write_text('{"task_id": 9}\n')
+    (many / "a.json").write_text('\n [{"task_id": 9}]')
     (many / "b.jsonl").write_text("\n" + "".join(f'{{"task_id": {i}, "pad": "{"x" * 900}"}}\n' for i in range(50, 0, -1)))
-    assert [r.task_id for r in R.read_task_ids(spark, str(many), False).orderBy("first_pos").collect()] == [9, *[i for i in range(50, 0, -1) if i != 9]]
+    assert [r.task_id for r in R.read_task_ids(spark, str(many)).orderBy("first_pos").collect()] == [9, *[i for i in range(50, 0, -1) if i != 9]]
+
+
+def awkward_records(n):
+    rng = random.Random(n)
+    parts = ["}", "{", '"', "\\", "]", "[", ",", "\n", "é", "{}", '"}', "\\\\", "x" * 50]
+    return [{"id": i, "text": "".join(rng.choices(parts, k=rng.randrange(8))), "list": [{"a": "}"}, {"a": rng.choice(parts)}][:rng.randrange(3)]} for i in range(n)]
+
+
+@pytest.mark.parametrize("indent,ascii_only", [(None, True), (2, False)])
+def test_large_arrays_are_read_by_many_tasks(spark, tmp_path, indent, ascii_only):
+    """Strings full of braces and quotes, cut anywhere."""
+    records = awkward_records(3000)
+    (tmp_path / "a.json").write_text(json.dumps(records, indent=indent, ensure_ascii=ascii_only))
+    (tmp_path / "b.json").write_text(" []\n")
+    (tmp_path / "c.json").write_text(json.dumps(records[:2]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        pieces = R._pieces(spark, str(tmp_path))
+        tasks = pieces.filter(F.col("file").endswith("a.json")).select("start").distinct().count()
+        rows = R.read_json_array(spark, str(tmp_path), "id int, text string, list array<struct<a:string>>").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert tasks > 5
+    found = sorted(json.dumps({"id": r.id, "text": r.text, "list": [{"a": x.a} for x in r.list]}) for r in rows)
+    assert found == sorted(map(json.dumps, records + records[:2]))
 
 
 def test_nested_tasks(spark, tmp_path):

@@ -10,7 +10,7 @@ from tallyforge.operators import context as C
 from tallyforge.operators import layout as L
 from tallyforge.operators import samples as M
 from tallyforge.operators import splits as P
-from tallyforge.operators.ordering import id_bucket, mixed_key
+from tallyforge.operators.ordering import id_bucket, mixed_key, numbered_in_order
 from tallyforge.session import scratch_path
 from tallyforge.sources import readers as R
 from tallyforge.sources import runs as U
@@ -266,14 +266,18 @@ def _orders(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+def _write_array(rows, order: str, separator: str, path: str) -> None:
+    """One file with one array: that a file is large is what its reader is for, so one task writes it."""
+    made = rows.repartitionByRange(1, order).sortWithinPartitions(order).select(F.to_json(F.struct("*")).alias("json"), F.monotonically_increasing_id().alias("i"))
+    first = made.select(F.concat(F.when(F.col("i") == 0, F.lit("[")).otherwise(F.lit(separator)), "json").alias("value"))
+    first.union(rows.sparkSession.range(1).select(F.lit("]"))).coalesce(1).write.option("lineSep", " ").text(path)
+
+
 @query("scan_json_array", _ORDERS)
 def scan_json_array(spark, d):
     path = scratch_path(spark, "json-array")
-    # At most 4096 orders per file, as each file is one array.
-    arrays = _orders(spark, d).groupBy(id_bucket("o_orderkey", 12).alias("part")).agg(
-        F.to_json(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))).alias("value"))
-    arrays.write.partitionBy("part").text(path)
-    return R.read_json_array(spark, f"{path}/*", _ORDERS_DDL)
+    _write_array(_orders(spark, d), "o_orderkey", ",", path)
+    return R.read_json_array(spark, path, _ORDERS_DDL)
 
 
 @query("scan_jsonl", "SELECT source AS file, cast(doc_id AS string) AS chunk_id, text AS content FROM documents")
@@ -284,9 +288,16 @@ def scan_jsonl(spark, d):
     return R.read_jsonl(spark, path, H.CHUNKS)
 
 
-@query("distinct_task_ids", "SELECT user_id AS task_id, min(event_id) AS first_pos FROM events GROUP BY user_id")
+@query("distinct_task_ids", """
+    SELECT user_id AS task_id, row_number() OVER (ORDER BY min(struct_pack(form := event_id % 2, event := event_id))) AS place FROM events GROUP BY user_id""")
 def distinct_task_ids(spark, d):
-    return R.distinct_task_ids(V.table(spark, d, "events"), F.col("event_id"), "user_id").orderBy("first_pos")
+    """A folder of both forms: an array of the even events, then lines of the odd ones."""
+    path = scratch_path(spark, "task-ids")
+    events = V.table(spark, d, "events").select("event_id", F.col("user_id").alias("task_id"))
+    _write_array(events.filter("event_id % 2 = 0"), "event_id", ",\n", f"{path}/form=0")
+    events.filter("event_id % 2 = 1").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select("task_id").write.json(f"{path}/form=1")
+    found = R.read_task_ids(spark, path)
+    return numbered_in_order(found, ["first_pos"], "place").select("task_id", "place")
 
 
 @query("scan_code_files", """
