@@ -48,6 +48,7 @@ BLOCKS = 6
 SEED = 42
 SIMILAR_WORDS = 5
 _PARITY = [f"p{i}" for i in range(8)]
+_MARK_BITS = 1 << 25  # 4 MB
 COMMON_SHARE = 64  # one of so many texts tells which shingles are common
 COMMON_MOST = 1 << 16
 HOT_COUNT = 32  # texts of that part with a shingle, from which on its texts are never gathered in one task
@@ -466,15 +467,31 @@ def _checked(pairs: DataFrame, values: DataFrame, check, piece_rows: int, tag: s
     return materialize(map_arrow(rows.sortWithinPartitions("a", "piece", F.col("node") != F.col("a")), check, "a bigint, b bigint"), tag)
 
 
+def _marks(rows: DataFrame) -> DataFrame:
+    """A bitmap of the ranks of ``rows``: at most ``_MARK_BITS`` bits, in rows of 4 kB."""
+    at = F.pmod(F.col("rank"), F.lit(_MARK_BITS))
+    return materialize(rows.groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(32767)).alias("bits")), "marks")
+
+
+def _with_mark(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``marked``: whether a row's rank is in the bitmap, which may be by chance but is never missed.  No row is exchanged."""
+    at = F.pmod(F.col("rank"), F.lit(_MARK_BITS))
+    found = rows.withColumn("bucket", F.shiftright(at, 15)).join(F.broadcast(marks), "bucket", "left")  # at most _MARK_BITS bits
+    byte = F.conv(F.hex(F.substr("bits", F.shiftright(at.bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), at.bitwiseAND(7)).cast("int")) != 0
+    return found.withColumn("marked", F.coalesce(bit, F.lit(False))).drop("bucket", "bits")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, tagged: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """The pairs ``a, b`` of nodes whose texts have a shingle similarity of 0.8 or more.
 
-    Parities, an eighth of a byte or two per shingle, leave few pairs; only the texts of these are fetched.
+    Parities, two to four bits per shingle, leave few pairs; only the texts of these are exchanged.
     """
     able = _checked(materialize(pairs, "candidate-pairs"), sets.select("node", "n", F.col("parity").alias("value")), _able, piece_rows, "able-pairs")
     needed = able.select(F.col("a").alias("node")).union(able.select(F.col("b").alias("node"))).distinct()
     needed = known_size(classes.join(needed, "node", "left_semi").select("node", "first.key", "first.no", "first.rank"), "needed-texts")
-    texts = tagged.select("key", "no", "rank", "text").join(needed, ["key", "no", "rank"])
+    able_rows = _with_mark(tagged.select("key", "no", "rank", "text"), _marks(needed)).filter("marked").drop("marked")
+    texts = able_rows.join(needed, ["key", "no", "rank"])
     texts = materialize(texts.groupBy("node").agg(F.first("text").alias("value")).withColumn("n", F.lit(0).cast("long")), "candidate-texts")
     return _checked(able, texts, _verify, piece_rows, "similar-pairs")
 
@@ -526,9 +543,14 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", words: int = SHINGLE
     rooted = classes.join(roots, classes["node"] == roots["a"], "left").select("first", F.coalesce("root", "node").alias("root"))
     winners = known_size(rooted.groupBy("root").agg(F.min("first").alias("first"))
                          .select("first.key", "first.no", "first.rank"), "winners")
+    # Only rows that aren't alone are exchanged: those of a node with several rows or with links.
+    several = marked.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("node")
+    together = several.union(roots.select("a")).union(roots.select("root")).distinct()
+    whole = _with_mark(tagged.select("row", "key", "no", "rank"), _marks(marked.select("node", "rank").join(together, "node", "left_semi")))
     # Fully equal rows share (key, no, rank): one of them is taken, on the join's own partitioning.
-    kept = tagged.select("row", "key", "no", "rank").join(winners, ["key", "no", "rank"], "left_semi")
-    return kept.groupBy("key", "no", "rank").agg(F.first("row").alias("row")).select("row.*")
+    kept = whole.filter("marked").drop("marked").join(winners, ["key", "no", "rank"], "left_semi")
+    kept = kept.groupBy("key", "no", "rank").agg(F.first("row").alias("row"))
+    return whole.filter("not marked").select("row.*").union(kept.select("row.*"))
 
 
 def _has_map(df: DataFrame, column: str) -> bool:
