@@ -278,6 +278,35 @@ def token_count(spark, d):
     return V.table(spark, d, "documents").select("doc_id", C.token_count(F.col("text")).alias("tokens"))
 
 
+# Two models with vocabularies, one of words, their beginnings and their ends, one of names of nations and regions, and one without.
+_VOCABULARIES = """SELECT 'm0' AS model, lower(w) AS token FROM (SELECT {each}({split}(p_name, ' ')) AS w FROM {part}) x
+    UNION SELECT 'm0', lower(left(w, 3)) FROM (SELECT {each}({split}(p_name, ' ')) AS w FROM {part}) x
+    UNION SELECT 'm0', lower(right(w, 2)) FROM (SELECT {each}({split}(p_name, ' ')) AS w FROM {part}) x
+    UNION SELECT 'm1', lower(left(n_name, 2)) FROM {nation} UNION SELECT 'm1', lower(substr(n_name, 2, 3)) FROM {nation}
+    UNION SELECT 'm1', lower(left(r_name, 1)) FROM {region}"""
+
+
+@query("token_count_by_model", f"""
+    WITH RECURSIVE vocabulary AS ({_VOCABULARIES.format(each='unnest', split='string_split', part='part', nation='nation', region='region')}),
+    rows AS (SELECT doc_id, concat('m', doc_id % 3) AS model, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\r\\f]')) AS word FROM documents),
+    words AS (SELECT DISTINCT model, word FROM rows),
+    walk AS (
+        SELECT model, word, 1::BIGINT AS place, 0::BIGINT AS tokens FROM words WHERE model <> 'm2'
+        UNION ALL
+        SELECT t.model, word, place + coalesce(max(length(v.token)), 1), tokens + 1
+        FROM (SELECT model, word, place, tokens, unnest(range(1, least(20, length(word) - place + 1) + 1)) AS width FROM walk WHERE place <= length(word)) t
+        LEFT JOIN vocabulary v ON v.model = t.model AND v.token = substr(word, place, width) GROUP BY t.model, word, place, tokens),
+    cut AS (SELECT model, word, max(tokens) AS tokens FROM walk GROUP BY model, word)
+    SELECT d.doc_id, coalesce(sum(coalesce(tokens, CASE WHEN word IS NULL THEN 0 ELSE 1 END)), 0)::BIGINT AS tokens
+    FROM documents d LEFT JOIN rows r ON r.doc_id = d.doc_id LEFT JOIN cut USING (model, word) GROUP BY d.doc_id""")
+def token_count_by_model(spark, d):
+    for name in ("part", "nation", "region"):
+        V.table(spark, d, name).createOrReplaceTempView(f"tallyforge_{name}")
+    vocabularies = spark.sql(_VOCABULARIES.format(each="explode", split="split", part="tallyforge_part", nation="tallyforge_nation", region="tallyforge_region"))
+    texts = V.table(spark, d, "documents").selectExpr("doc_id", "concat('m', doc_id % 3) AS model", "text")
+    return C.token_count_by_model(texts, vocabularies, "doc_id")
+
+
 @query("compile_ready", r"""
     SELECT task_id, CASE WHEN trim(response, concat(' ', chr(9), chr(10), chr(13))) = '' THEN false ELSE regexp_matches(
         regexp_extract(response, '[^ \t\n\r\f]+'),
