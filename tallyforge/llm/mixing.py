@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
                         F.least(F.coalesce("share", F.lit(0.0)) * F.col("weight"), F.col("most").cast("double")).alias("target"))
 
 
-def _segments(points: tuple[tuple[float, float], ...]) -> list[tuple[float, float, float, float, float]]:
+def schedule_pieces(points: tuple[tuple[float, float], ...]) -> list[tuple[float, float, float, float, float]]:
     """(start, strength there, slope, demand before, demand after) of each piece, with integral 1."""
     if points[0][0] != 0 or points[-1][0] != 1 or any(v < 0 for _, v in points):
         raise ValueError("a schedule runs from time 0 to 1 and is never negative")
@@ -69,7 +69,7 @@ def _segments(points: tuple[tuple[float, float], ...]) -> list[tuple[float, floa
 def demand_time(share: Column, points: tuple[tuple[float, float], ...]) -> Column:
     """The moment at which the integrated schedule reaches ``share`` (0 to 1) of the whole demand."""
     found = F.lit(1.0)
-    for start, strength, slope, before, after in reversed(_segments(points)):
+    for start, strength, slope, before, after in reversed(schedule_pieces(points)):
         due = share - before
         # strength * x + slope / 2 * x^2 = due, in the form that also holds for slope 0
         root = F.sqrt(F.greatest(F.lit(strength * strength) + due * (2 * slope), F.lit(0.0)))

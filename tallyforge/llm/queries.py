@@ -59,7 +59,20 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return shards.assign(read(spark, folder, "documents"))
 
 
-OP6_SQL = """
+def _demand_time_sql(share: str) -> str:
+    """The time at which each kind of schedule has brought ``share`` of its demand."""
+    kinds = []
+    for k, points in enumerate(mixing.SCHEDULES):
+        pieces = mixing.schedule_pieces(points)
+        cases = " ".join(
+            f"WHEN {share} <= {after!r}::DOUBLE THEN {start!r}::DOUBLE + CASE WHEN {share} - {before!r}::DOUBLE <= 0 THEN 0 ELSE 2 * ({share} - {before!r}::DOUBLE) / ("
+            f"{strength!r}::DOUBLE + sqrt(greatest({strength * strength!r}::DOUBLE + ({share} - {before!r}::DOUBLE) * {2 * slope!r}::DOUBLE, 0))) END"
+            for start, strength, slope, before, after in pieces)
+        kinds.append(f"WHEN {k} THEN CASE {cases} ELSE 1 END")
+    return f"CASE n % {len(mixing.SCHEDULES)} {' '.join(kinds)} END"
+
+
+OP6_SQL = f"""
 WITH docs AS (
     SELECT doc_id, text, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size,
            md5(coalesce(cast(doc_id AS varchar), text, '')) AS key FROM documents),
@@ -70,20 +83,26 @@ levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER w, 0)):
                      / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
            FROM weighted WINDOW w AS (ORDER BY most / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 share AS (SELECT arg_min(level, (most / weight, n)) AS share FROM levels WHERE level <= most / weight),
-targets AS (SELECT source, source_size, least(share * weight, most::double) AS target FROM levels, share),
-placed AS (SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::bigint AS due,
+targets AS (SELECT source, n, source_size, least(share * weight, most::double) AS target FROM levels, share),
+placed AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.n, round(t.target)::bigint AS due,
                   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS first
-           FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+           FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+counted AS (SELECT *, len([p FOR p IN [0, 1, 2, 3] IF greatest(0, least(size, due - first - source_size * p)) > 0]) AS passes FROM placed),
+shares AS (SELECT *, first / due AS early, (first + source_size * (passes - 1)) / due AS late FROM counted)
 SELECT doc_id, size, source_size, target,
-       list_sum([greatest(0, least(size, due - first - source_size * p)) FOR p IN [0, 1, 2, 3]])::bigint AS taken FROM placed"""
+       list_sum([greatest(0, least(size, due - first - source_size * p)) FOR p IN [0, 1, 2, 3]])::bigint AS taken, passes::int AS passes,
+       CASE WHEN passes > 0 THEN round({_demand_time_sql("early")}, 9) END AS first_position,
+       CASE WHEN passes > 0 THEN round({_demand_time_sql("late")}, 9) END AS last_position FROM shares"""
 
 
 @query("op6_curriculum_mix", OP6_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.with_passes(read(spark, folder, "documents"), carry=["doc_id"])
     ordered = mixed.orderBy(F.get("passes", F.lit(0))["position"].asc_nulls_last(), "row.doc_id")
-    return ordered.select("row.doc_id", "size", "source_size", "target", "taken")
+    position = [F.round(F.get("passes", at)["position"], 9) for at in (F.lit(0), F.size("passes") - 1)]
+    return ordered.select("row.doc_id", "size", "source_size", "target", "taken", F.size("passes").alias("passes"),
+                          position[0].alias("first_position"), position[1].alias("last_position"))
 
 
 @query("op8_line_crf_quality")
