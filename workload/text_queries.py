@@ -234,8 +234,9 @@ def parse_assertions(spark, d):
 
 
 @query("assertion_cases", f"""
-    WITH {_CASES} SELECT task_id % 1000 AS group_id, count(*) AS cases, string_agg(concat(function, ' ', input_value, ' ', expected_value), chr(10) ORDER BY task_id) AS test_cases
-    FROM typed GROUP BY task_id % 1000""", ("assertion_rows",))
+    WITH {_CASES} SELECT r.task_id % 1000 AS group_id, count(function) AS cases,
+        coalesce(string_agg(function || ' ' || input_value || ' ' || expected_value, chr(10) ORDER BY r.task_id), '') AS test_cases
+    FROM assertion_rows r LEFT JOIN typed t ON t.task_id = r.task_id GROUP BY r.task_id % 1000""", ("assertion_rows",))
 def assertion_cases(spark, d):
     """The test cases of a task, collected in order."""
     rows = V.view(spark, d, "assertion_rows")
