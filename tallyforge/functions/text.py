@@ -241,7 +241,21 @@ def literal_json(text: Column) -> Column:
                 .otherwise(F.struct(F.concat(out, F.array(value)).alias("out"), opened.alias("open"))))
 
     pieces = F.regexp_extract_all(text, F.lit(_LITERAL_PIECES), F.lit(0))
-    return F.array_join(F.aggregate(pieces, start, step)["out"], "")
+    folded = F.array_join(F.aggregate(pieces, start, step)["out"], "")
+
+    # Most literals need no fold: numbers, names and lists, plain strings, and such arguments in one pair of parentheses.
+    def flat(value: Column) -> Column:
+        return word(F.regexp_replace(value, r",\s*\]", "]"))
+
+    inner = F.substr(text, F.lit(2), F.length(text) - 2)
+    outside = F.regexp_replace(inner, r"\[[^\[\]]*\]", "")
+    arguments = (F.when(F.btrim(inner, F.lit(_SPACE)) == "", "[]")
+                 .when(F.contains(outside, F.lit(",")), F.concat(F.lit("["), flat(F.regexp_replace(inner, r",\s*$", "")), F.lit("]")))
+                 .otherwise(flat(inner)))
+    return (F.when(text.rlike(r"""^[^"'(){}]*$"""), flat(text))
+            .when(text.rlike(r'^"[^"\\]*"$'), text)
+            .when(text.rlike(r"""^\([^"'(){}]*\)$""") & ~outside.rlike(r"[\[\]]"), arguments)
+            .otherwise(folded))
 
 
 def literal_value(text: Column) -> Column:
