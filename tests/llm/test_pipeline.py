@@ -78,3 +78,32 @@ def test_stage_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "SimHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
     assert tokens.END_ID == 2
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row string, score int, key string, first long, position double, words int, rank string, marked int"
+
+
+def test_stages_keep_columns_of_any_name_and_repeated_ids(spark, folder):
+    """Clashing names, repeated and null ids, fully equal rows, null and blank texts: each stage but the last returns the columns it got."""
+    path, _ = folder
+    extra = ("r", 1, "k", 2, 0.5, 3, "x", 1)
+    texts = [f"A plain sentence number {i} about rivers and {i * 7} quiet hills, which ends here." for i in range(12)]
+    rows = [(i % 9 if i % 5 else None, t, "en", "src0" if i % 3 else None, len(t), *extra) for i, t in enumerate(texts)]
+    rows += [rows[1], rows[1], (50, None, None, None, None, *extra), (50, "", "en", "src1", 0, *extra), (None, " \n", "en", "src1", 2, *extra)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        found = [tuple(r) for r in out.collect()]
+        assert set(found) <= set(rows), name
+    single = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, path).collect()]
+    assert len(single) == len(set(single)) and sum(1 for r in single if not (r[1] or "").strip()) == 1
+    written = corpus_pipeline.write_tokens(spark, docs, path)
+    assert sorted(str(r.doc_id) for r in written.collect()) == sorted(str(r[0]) for r in rows)
+
+
+def test_stages_of_empty_tables(spark, folder):
+    path, _ = folder
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, path).collect() == [], name
