@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_arrow, slices
+from tallyforge.llm.common import kept, map_arrow, slices
 from tallyforge.session import known_size, materialize
 
 FREQUENT = 1 << 20  # 13 bytes each
@@ -188,7 +188,7 @@ class Aligner:
         return pa.int32() if self.pairs < 1 << 31 else pa.int64()
 
 
-_ALIGNERS: dict[tuple[int, int], Aligner] = {}
+_ALIGNERS: dict[tuple[int, int], Aligner] = kept(__name__)
 
 
 def aligner(definition: str, model: bytes) -> Aligner:

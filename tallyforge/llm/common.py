@@ -68,9 +68,32 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("path", "content"))
 
 
+# What worker processes keep from task to task, by module.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """A dictionary that outlives tasks in a worker process, until the worker gets a task of another module's."""
+    return _KEPT.setdefault(owner, {})
+
+
+def make_room(owner: str) -> None:
+    """Drop what other modules keep in this process."""
+    for name, held in _KEPT.items():
+        if name != owner:
+            held.clear()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` on workers that can import this package."""
+    """``mapInArrow`` on workers that can import this package; a task begins without what other modules kept and returns unused memory."""
     from tallyforge.session import ship_package
 
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    owner = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(owner)
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_arrow, read_raw, slices, write_raw
+from tallyforge.llm.common import kept, map_arrow, read_raw, slices, write_raw
 from tallyforge.session import materialize
 
 END_ID = 2
@@ -130,7 +130,7 @@ class Encoder:
                 gc.enable()
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[int, Encoder] = kept(__name__)
 
 
 def encoder(definition: str) -> Encoder:

@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallyforge.llm import tokens
+from tallyforge.llm import common, tokens
 from tallyforge.llm.queries import tokenizer_definition
 
 DEFINITION = tokenizer_definition()
@@ -76,3 +77,25 @@ def test_files_hold_every_document(spark):
 def test_empty_table(spark):
     folder = tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), DEFINITION)
     assert tokens.read_documents(spark, folder).collect() == []
+
+
+def test_workers_drop_what_other_operators_kept(spark):
+    """A worker keeps its encoder between tasks of this operator, not in front of another's."""
+    def encode(batches):
+        for batch in batches:
+            tokens.encoder(DEFINITION)
+            yield batch.select(["n"])
+
+    def look(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens._ENCODERS)] * batch.num_rows, pa.int64())], ["n"])
+
+    encode.__module__ = tokens.__name__
+    rows = spark.range(8, numPartitions=4).withColumnRenamed("id", "n")
+    assert common.map_arrow(rows, encode, "n long").count() == 8
+    assert {r.n for r in common.map_arrow(rows, look, "n long").collect()} == {0}
+    common.kept("other")["x"] = 1
+    common.make_room("other")
+    assert common.kept("other") == {"x": 1}
+    common.make_room("another")
+    assert common.kept("other") == {}
