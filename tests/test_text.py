@@ -96,7 +96,7 @@ def test_assertions(spark):
         ("f", "([1, 2])", "list", "[3, [4]"), ("f", "()", "bool", "false")]
 
 
-LITERALS = ["(1,-2)", "[1, [2, 3,], ]", "[True, None]", "(,)"[:1] + "[1, 2], [3],)", "([], )", "( )", "12", '"plain"', "(None, [False])", "([[1], 2], 3)", "(1)", "()", "(1,)", "((1))", "([1, 2],)", "('a', \"b c\")", "([1, (2, 3), [4, (5,)]], None, True)", "('it\\'s', \"say 'hi'\")", "('quote \"x\"')",
+LITERALS = ["(1,-2)", "[1, [2, 3,], ]", "[True, None]", "([1, 2], [3],)", "([], )", "( )", "12", '"plain"', "(None, [False])", "([[1], 2], 3)", "(1)", "()", "(1,)", "((1))", "([1, 2],)", "('a', \"b c\")", "([1, (2, 3), [4, (5,)]], None, True)", "('it\\'s', \"say 'hi'\")", "('quote \"x\"')",
             "({'a': [1, 2.5], \"b\": {'c': False}},)", "('True, (x) [y]', .5, 5., -1e3)", "([[1, 2, ], []], 'ü😀\\n\\t\\\\')", "('\\x41', \"\")", "(' a , b ')", "(  1 ,  2  )"]
 
 
