@@ -50,7 +50,10 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Chord lengths between rows of unit vectors."""
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
+    found = a @ b.T  # one matrix, changed in place
+    found *= -2.0
+    found += 2.0
+    return np.sqrt(np.maximum(found, 0.0, out=found), out=found)
 
 
 def reach_of(cosine: float) -> float:
@@ -59,10 +62,10 @@ def reach_of(cosine: float) -> float:
 
 # ---- trees ----
 
-def cover(vectors: np.ndarray, rows: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def cover(vectors: np.ndarray, rows: np.ndarray, radius: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """Centres among ``rows`` (the first one always) such that each row has one within ``radius``, and each row's number of it.
 
-    Candidates are taken a block at a time; one that an earlier centre covers is none.
+    Candidates are taken a block at a time; one that an earlier centre covers is none.  More than ``most`` centres are none at all.
     """
     owner = np.full(len(rows), -1)
     centres: list[int] = []
@@ -80,6 +83,8 @@ def cover(vectors: np.ndarray, rows: np.ndarray, radius: float) -> tuple[np.ndar
                 centres.append(int(rows[block[i]]))
                 open_ &= ~hit
         left = left[open_]
+        if most is not None and len(centres) > most:
+            return None
     return np.array(centres, dtype=np.int64), owner
 
 
@@ -98,7 +103,8 @@ class CoverTree:
     radius: list[np.ndarray]
 
     @staticmethod
-    def grow(vectors: np.ndarray, radii: tuple[float, ...], own: np.ndarray | None = None) -> CoverTree:
+    def grow(vectors: np.ndarray, radii: tuple[float, ...], own: np.ndarray | None = None, most: int | None = None) -> CoverTree:
+        """With ``most``, the tree ends above the first level that has more centres."""
         own = np.zeros(len(vectors)) if own is None else own
         sets, centres, owner, reach = [np.arange(len(vectors))] if len(vectors) else [], [], [], []
         for radius in radii:
@@ -108,11 +114,16 @@ class CoverTree:
                     next_sets.append(rows)
                     level.append(rows)
                     continue
-                found, part = cover(vectors, rows, radius)
+                covered = cover(vectors, rows, radius, None if most is None else most - len(next_sets))
+                if covered is None:
+                    break
+                found, part = covered
                 by_part = np.split(rows[np.argsort(part, kind="stable")], np.cumsum(np.bincount(part, minlength=len(found)))[:-1])
                 # The centre comes first, so it stays one on all levels below.
                 next_sets += [np.concatenate(([c], r[r != c])) for c, r in zip(found, by_part, strict=True)]
                 level.append(found)
+            if sum(map(len, next_sets)) < len(vectors):
+                break
             sets = next_sets
             centres.append(np.concatenate(level) if level else np.zeros(0, np.int64))
             mine = np.empty(len(vectors), dtype=np.int64)
@@ -135,7 +146,7 @@ def node_pairs(a: CoverTree, own_a: np.ndarray, b: CoverTree, own_b: np.ndarray,
     are all that the next one looks at.  Levels that hardly have fewer centres than the next one are skipped.
     """
     alive, above = None, None
-    for k in range(len(a.centres)):
+    for k in range(min(len(a.centres), len(b.centres))):
         small = 4 * max(len(a.centres[k]), len(b.centres[k]))
         if small > max(len(a.vectors), len(b.vectors)) or len(a.centres[k]) * len(b.centres[k]) > 1 << 22:
             break
@@ -151,9 +162,11 @@ def node_pairs(a: CoverTree, own_a: np.ndarray, b: CoverTree, own_b: np.ndarray,
         if not len(columns):
             continue
         gaps = distances(a.vectors[rows], b.vectors[columns])
-        i, j = np.nonzero(gaps <= reach + own_a[rows][:, None] + own_b[columns][None, :] + _SLACK)
-        if len(i):
-            yield rows[i], columns[j], gaps[i, j]
+        i, j = np.nonzero(gaps <= reach + own_a[rows].max() + own_b[columns].max() + _SLACK)
+        gaps, i, j = gaps[i, j], rows[i], columns[j]
+        near = gaps <= reach + own_a[i] + own_b[j] + _SLACK
+        if near.any():
+            yield i[near], j[near], gaps[near]
 
 
 def _linked(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, gaps: np.ndarray, cosine: float) -> np.ndarray:
@@ -209,22 +222,20 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dims)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups of sorted rows; a group may span batches."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
+    """Whole groups of sorted rows; a group may span batches.  With ``most``, those whose last key is false come in parts of at most so many rows."""
     held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = np.column_stack([batch.column(k).to_numpy() for k in keys])
+    last, size, step = None, 0, min(2048, most or 2048)
+    for batch in (whole.slice(start, step) for whole in batches for start in range(0, whole.num_rows, step)):
+        values = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
         edges = np.concatenate(([0], np.flatnonzero((np.diff(values, axis=0) != 0).any(axis=1)) + 1, [len(values)]))
         for s, e in zip(edges, edges[1:], strict=False):
             key = tuple(values[s])
-            if held and key != last:
+            if held and (key != last or (most and not key[-1] and size + e - s > most)):
                 yield pa.Table.from_batches(held)
-                held = []
+                held, size = [], 0
             held.append(batch.slice(s, e - s))
-            last = key
+            last, size = key, size + e - s
     if held:
         yield pa.Table.from_batches(held)
 
@@ -247,44 +258,52 @@ def _nodes_of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             ["dims", "cell", "fall", "class", "n", "v", "node", "gap"])
 
 
-def _traverse(reach: float, cosine: float):
+def _traverse(reach: float, cosine: float, visitor_rows: int = PIECE_ROWS):
+    """A piece's own nodes come first and stay; its visitors stream by, ``visitor_rows`` at a time, however many they are."""
+    def decide(here: tuple, there: tuple, inside: bool) -> Iterator[pa.RecordBatch]:
+        (tree, ids, own, n), (other, their_ids, their_own, their_n) = here, there
+        u, v = tree.vectors, other.vectors
+        forest, linked, open_pairs = Forest(), np.zeros(len(u), dtype=np.int64), []
+        theirs = linked if inside else np.zeros(len(v), dtype=np.int64)
+        for x, y, gaps in node_pairs(tree, own, other, their_own, reach):
+            if inside:
+                keep = x < y
+                x, y, gaps = x[keep], y[keep], gaps[keep]
+            spread = own[x] + their_own[y]
+            single = spread == 0
+            sure = gaps <= reach - spread - _SLACK
+            if single.any():
+                sure[single] = _linked(u, v, x[single], y[single], gaps[single], cosine)
+            np.add.at(linked, x[sure], their_n[y[sure]])
+            np.add.at(theirs, y[sure], n[x[sure]])
+            forest.add(ids[x[sure]], their_ids[y[sure]])
+            unsure = ~sure & ~single
+            open_pairs.append(np.column_stack([ids[x[unsure]], their_ids[y[unsure]]]))
+        sums = [(ids, linked)] if inside else [(ids, linked), (their_ids, theirs)]
+        touched = np.concatenate([i[s > 0] for i, s in sums])
+        a, b = (np.array(forest.links, dtype=np.int64).reshape(-1, 2)).T
+        undecided = np.concatenate(open_pairs) if open_pairs else np.zeros((0, 2), np.int64)
+        kinds = np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(touched), len(a), len(undecided)])
+        left = np.concatenate([touched, a, undecided[:, 0]])
+        right = np.concatenate([*[s[s > 0] for _, s in sums], b, undecided[:, 1]])
+        for s in range(0, len(kinds), 1 << 16):
+            e = s + (1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[s:e]), pa.array(left[s:e]), pa.array(right[s:e])], ["kind", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ["dims", "piece"]):
-            u = unit(_matrix(_column(rows, "v"), rows["dims"][0].as_py()))
-            ids, own, n, home = (_column(rows, c).to_numpy(zero_copy_only=False) for c in ("node", "radius", "n", "home"))
-            forest, linked, open_pairs = Forest(), np.zeros(len(u), dtype=np.int64), []
-            here = np.flatnonzero(home)
-            tree = CoverTree.grow(u[here], RADII, own[here])
-            sides = [(here, tree)]
-            if len(here) < len(u):
-                there = np.flatnonzero(~home)
-                sides.append((there, CoverTree.grow(u[there], RADII, own[there])))
-            for places, other in sides:
-                inside = other is tree
-                for i, j, gaps in node_pairs(tree, own[here], other, own[places], reach):
-                    x, y = here[i], places[j]
-                    if inside:
-                        keep = x < y
-                        x, y, gaps = x[keep], y[keep], gaps[keep]
-                    spread = own[x] + own[y]
-                    single = spread == 0
-                    sure = gaps <= reach - spread - _SLACK
-                    if single.any():
-                        sure[single] = _linked(u, u, x[single], y[single], gaps[single], cosine)
-                    np.add.at(linked, x[sure], n[y[sure]])
-                    np.add.at(linked, y[sure], n[x[sure]])
-                    forest.add(ids[x[sure]], ids[y[sure]])
-                    unsure = ~sure & ~single
-                    open_pairs.append(np.column_stack([ids[x[unsure]], ids[y[unsure]]]))
-            touched = np.flatnonzero(linked)
-            a, b = (np.array(forest.links, dtype=np.int64).reshape(-1, 2)).T
-            undecided = np.concatenate(open_pairs) if open_pairs else np.zeros((0, 2), np.int64)
-            kinds = np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(touched), len(a), len(undecided)])
-            for s in range(0, len(kinds), 1 << 16):
-                e = s + (1 << 16)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds[s:e]), pa.array(np.concatenate([ids[touched], a, undecided[:, 0]])[s:e]),
-                     pa.array(np.concatenate([linked[touched], b, undecided[:, 1]])[s:e])], ["kind", "a", "b"])
+        home, piece = None, None
+        for rows in _groups(batches, ["dims", "piece", "home"], visitor_rows):
+            dims, key = rows["dims"][0].as_py(), (rows["dims"][0].as_py(), rows["piece"][0].as_py())
+            inside = rows["home"][0].as_py()
+            if not inside and key != piece:
+                continue  # no node of its own
+            u = unit(_matrix(_column(rows, "v"), dims))
+            ids, own, n = (_column(rows, c).to_numpy(zero_copy_only=False) for c in ("node", "radius", "n"))
+            # Levels with more centres than a quarter of the larger side's nodes aren't looked at.
+            met = (CoverTree.grow(u, RADII, own, max(len(u), visitor_rows if inside else len(home[1])) // 4), ids, own, n)
+            if inside:
+                home, piece = met, key
+            yield from decide(home, met, inside)
 
     return run
 

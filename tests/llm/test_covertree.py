@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyforge.llm import covertree
@@ -111,3 +112,28 @@ def test_cosine_too_high_for_the_nodes(spark):
 def test_empty_table_and_no_vector(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None), (2, [0.0])]) == brute([(1, None), (2, [0.0])], 0.95)
+
+
+def test_visitors_of_a_piece_stream_by(monkeypatch):
+    """A task holds its piece and a bounded number of visitors, however many come."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 8))
+    v[1000:1040] = v[:40] + 1e-3
+    v[2000:2020] = v[1000:1020] + 1e-3
+    home = np.arange(3000) < 60
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(np.full(3000, 8, np.int32)), pa.array(np.zeros(3000, np.int32)), pa.array(home), pa.array(np.arange(3000)), pa.array(np.zeros(3000)),
+         pa.array(np.ones(3000, np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), 8).cast(pa.list_(pa.float64()))],
+        ["dims", "piece", "home", "node", "radius", "n", "v"])
+    held, plain = [], covertree.unit
+    monkeypatch.setattr(covertree, "unit", lambda x: held.append(len(x)) or plain(x))
+    out = pa.Table.from_batches(covertree._traverse(covertree.reach_of(0.95), 0.95, visitor_rows=100)(iter([rows]))).to_pydict()
+    links = np.zeros(3000, dtype=np.int64)
+    for kind, a, b in zip(out["kind"], out["a"], out["b"], strict=True):
+        assert kind < 2
+        if kind == 0:
+            links[a] += b
+    u = plain(v)
+    near = (u @ u.T >= 0.95) & ~np.eye(3000, dtype=bool) & (home[:, None] | home[None, :])
+    assert links.tolist() == near.sum(axis=1).tolist() and links.sum() >= 120
+    assert max(held) <= 100 and sum(held) == 3000
