@@ -95,8 +95,16 @@ def label_matrix(pairs: DataFrame, labels: Sequence[str], task: str = "task_id")
     The labels are an argument, as columns have to be known; ``label_matrix_entries``
     gives the same matrix sparsely for any label set.
     """
-    return (pairs.groupBy(task).pivot("label", list(labels)).agg(F.max(F.lit(1)))
-            .na.fill(0, list(labels)))
+    labels, width = list(labels), 62
+    place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1
+
+    def marks(word: int) -> Column:
+        """The labels of one word of bits: a group is a few numbers, however many columns come of it."""
+        mine = F.floor(place / width) == word
+        return F.coalesce(F.bit_or(F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(width)).cast("int")))), F.lit(0).cast("long"))
+
+    words = pairs.groupBy(task).agg(*[marks(w).alias(f"__w{w}") for w in range(-(-len(labels) // width))])
+    return words.select(task, *[F.shiftrightunsigned(f"__w{i // width}", i % width).bitwiseAND(F.lit(1)).cast("int").alias(label) for i, label in enumerate(labels)])
 
 
 def label_matrix_entries(pairs: DataFrame, task: str = "task_id") -> DataFrame:

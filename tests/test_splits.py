@@ -121,3 +121,16 @@ def test_lookup_takes_the_first_entry(spark):
     predicted = spark.createDataFrame([(" A\n",), ("B",)], "node string")
     got = {r.node: r.doc for r in M.lookup_node_doc(predicted, catalog, "pos").collect()}
     assert got == {" A\n": "first", "B": "No doc"}
+
+
+def test_label_matrix_keeps_bits_per_group(spark):
+    """A group is a number for every 62 labels, not one for each label."""
+    names = [f"N{i}" for i in range(130)]
+    rows = [(t, f"N{(t * 37 + j * j) % 140}") for t in range(20) for j in range(9)] + [(None, "N61"), (None, "N62"), (50, None), (51, "other"), (3, "N129"), (3, "N129")]
+    wide = M.label_matrix(spark.createDataFrame(rows, "task_id long, label string"), names)
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_or(") == 3 and "pivot" not in plan.lower()
+    have = {(t, x) for t, x in rows}
+    assert wide.columns == ["task_id", *names] and {t for _, t in wide.dtypes[1:]} == {"int"}
+    got = {r[0]: list(r[1:]) for r in wide.collect()}
+    assert got == {t: [int((t, n) in have) for n in names] for t in {t for t, _ in rows}}
