@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import strip
@@ -11,6 +11,7 @@ from tallyforge.session import known_size, materialize
 
 # Fixed value: what a task without a program file shows.
 FILE_NOT_FOUND = "File not found"
+_STRETCH_BITS = 14  # pieces that are summed in one go, as a power of two
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -43,20 +44,25 @@ def _records(pieces: DataFrame, schema: str) -> DataFrame:
     """Records of files that each hold one array of objects: ``file``, ``record`` (from 0) and ``row``.
 
     Running sums over the pieces tell whether a piece begins in a string and how deep it ends; a record
-    ends where the depth comes back to zero.  Only numbers are summed, texts join last.
+    ends where the depth comes back to zero.  Only numbers are summed, texts join last.  Files go by
+    numbers: a path beside every piece would be most of what is moved and sorted.
     """
+    files = known_size(pieces.select("file").distinct().withColumn("no", F.row_number().over(Window.orderBy("file"))), "file-numbers")
+    paths, pieces = files.select(F.col("file").alias("path"), F.col("no").alias("file")), pieces.join(files, "file").drop("file").withColumnRenamed("no", "file")
     order, at = ["start", "place"], ["file", "start", "place"]
     numbers = pieces.select(*at, F.col("quotes").cast("long").alias("quotes"), "outside", "inside")
-    counted = running_totals(numbers, ["file"], order, F.col("start"), {"q": F.col("quotes")})
+    # Stretches of a file's part: as a part is no shorter than its pieces are many, its last stretch is numbered below the next part's first.
+    stretch = F.col("start") + F.shiftright(F.pmod("place", F.lit(1 << 33)), _STRETCH_BITS)
+    counted = running_totals(numbers, ["file"], order, stretch, {"q": F.col("quotes")})
     change = F.when((F.col("q") - F.col("quotes")) % 2 == 0, F.col("outside")).otherwise(F.col("inside")).cast("long")
     closes = F.when((F.col("q") % 2 == 0) & (F.col("depth") == 0), 1).otherwise(0).cast("long")
-    deep = running_totals(counted.select(*at, "q", change.alias("change")), ["file"], order, F.col("start"), {"depth": F.col("change")})
-    ended = running_totals(deep.select(*at, closes.alias("end"), "depth"), ["file"], order, F.col("start"), {"ends": F.col("end")})
+    deep = running_totals(counted.select(*at, "q", change.alias("change")), ["file"], order, stretch, {"depth": F.col("change")})
+    ended = running_totals(deep.select(*at, closes.alias("end"), "depth"), ["file"], order, stretch, {"ends": F.col("end")})
     owned = ended.filter("depth >= 0").select(*at, (F.col("ends") - F.col("end")).alias("record"))
     whole = F.transform(F.array_sort(F.collect_list(F.struct("start", "place", "value"))), lambda p: p["value"])
     texts = pieces.select(*at, "value").join(owned, at).groupBy("file", "record").agg(F.concat(F.array_join(whole, "}"), F.lit("}")).alias("text"))
     row = F.from_json(F.regexp_replace("text", r"^[^{]*", ""), schema)
-    return texts.select("file", "record", row.alias("row"))
+    return texts.join(paths, "file").select(F.col("path").alias("file"), "record", row.alias("row"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

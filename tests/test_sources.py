@@ -156,3 +156,26 @@ def test_catalog_of_many_files(spark):
         F.col("id").cast("string").alias("path"), F.lit("module M {\nfunc F {\n}\n}").alias("text"))
     got = extract_catalog(files)
     assert got.count() == 500 and got.select("function_name").distinct().collect()[0][0] == "M.F"
+
+
+def test_array_is_written_without_sorting_it(spark, tmp_path):
+    """The one task that writes a large array streams it unless an order is asked for."""
+    from workload.text_queries import _write_array
+
+    rows = spark.range(500).selectExpr("id", "concat('x', id) AS s").repartition(7)
+    _write_array(rows, None, ",", str(tmp_path / "a"))
+    texts = [p.read_text() for p in (tmp_path / "a").glob("part-*") if p.stat().st_size]
+    assert len(texts) == 1 and sorted(r["id"] for r in json.loads(texts[0])) == list(range(500))
+    found = R.read_json_array(spark, str(tmp_path / "a"), "id long, s string")
+    assert sorted(map(tuple, found.collect())) == [(i, f"x{i}") for i in range(500)]
+
+
+def test_pieces_are_summed_in_stretches(spark, tmp_path, monkeypatch):
+    """A file's part is many stretches; their number changes nothing about the records."""
+    rows = [{"id": i, "s": "{}\"" * (i % 4) + "x"} for i in range(300)]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "one.json").write_text(json.dumps(rows))
+    (tmp_path / "b" / "two.json").write_text(json.dumps(rows[::-1], indent=1))
+    monkeypatch.setattr(R, "_STRETCH_BITS", 3)
+    found = R.read_json_array(spark, str(tmp_path / "b"), "id long, s string")
+    assert sorted(map(tuple, found.collect())) == sorted(2 * [(r["id"], r["s"]) for r in rows])
