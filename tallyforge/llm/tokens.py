@@ -59,7 +59,7 @@ _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-ö
 # How byte-level tokenizers write bytes: printable ones of Latin-1 as themselves, the others as characters from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
-_WORDS_KEPT, _PIECES_KEPT = 350_000, 400_000
+_WORDS_KEPT, _PIECES_KEPT = 120_000, 120_000
 
 
 class Encoder:
@@ -85,8 +85,8 @@ class Encoder:
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that the tokenizer would not cut any further: straight from its model."""
         tokenize = self.tokenizer.model.tokenize
-        return [np.array([t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARACTERS))],
-                         dtype="<u4").tobytes() for p in pieces]
+        found = [[t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARACTERS))] for p in pieces]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of unknown words; kept while there is room, so that the frequent ones, which come early, stay."""
@@ -122,9 +122,13 @@ class Encoder:
         collecting = gc.isenabled()
         gc.disable()  # many small lists in front of a large memory, and no cycles
         try:
-            known = self._learn(set().union(*cut) - self.words.keys())
-            get, seen = known.get, self.words.get
-            return [b"".join([seen(w) or get(w, b"") for w in words]) for words in cut]
+            distinct = set().union(*cut)
+            known = self._learn(distinct - self.words.keys())
+            words = self.words
+            if not known.keys() <= words.keys():  # there was no room left
+                words = {w: known[w] if w in known else words[w] for w in distinct}
+            ids = words.__getitem__
+            return [b"".join(map(ids, text)) for text in cut]
         finally:
             if collecting:
                 gc.enable()

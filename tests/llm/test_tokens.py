@@ -99,3 +99,17 @@ def test_workers_drop_what_other_operators_kept(spark):
     assert common.kept("other") == {"x": 1}
     common.make_room("another")
     assert common.kept("other") == {}
+
+
+def test_encoder_keeps_no_more_than_there_is_room_for(monkeypatch):
+    """What a worker keeps is small, and ids don't depend on what was kept."""
+    assert tokens._WORDS_KEPT <= 120_000 and tokens._PIECES_KEPT <= 120_000
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeé'7?") for _ in range(rng.randint(1, 9))) for _ in range(60)) for _ in range(20)] + ["", "  ", "a  b\n c<|endoftext|>"]
+    monkeypatch.setattr(tokens, "_WORDS_KEPT", 50)
+    monkeypatch.setattr(tokens, "_PIECES_KEPT", 40)
+    own = tokens.Encoder(DEFINITION)
+    assert own.by_word
+    for _ in range(2):
+        assert own.encode(texts[:9]) == own._encode(texts[:9]) and own.encode(texts) == own._encode(texts)
+    assert len(own.words) < 9 * 60 + 1  # nothing of the second batch
