@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.operators.ordering import number_bucket, running_totals
+from tallyforge.operators.rectangles import BLOCK_ROWS, boxes_met
+from tallyforge.session import known_size, materialize
 
 # Node sizes (width, height) by type, the size of other types, and weights.
 NODE_SIZES = {
@@ -158,67 +160,42 @@ def _links_in_lists(spots: DataFrame, keys: Sequence[str]) -> DataFrame:
     lists = spots.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("__all"))
     each = lists.select(*keys, "__all", F.explode("__all").alias("s"))
     near = F.filter("__all", lambda o: ~(apart(o, "x", "__w") | apart(o, "y", "__h")))
-    return each.select(*keys, "s.type", "s.x", "s.y", F.aggregate(near, F.lit(-1).cast("long"), lambda n, o: n + o["copies"]).alias("links"))
+    return each.select(*keys, "s.type", "s.x", "s.y", F.col("s.copies").alias("copies"),
+                       F.aggregate(near, F.lit(-1).cast("long"), lambda n, o: n + o["copies"]).alias("links"))
 
 
-def _links_by_rank(spots: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Links of spots in crowded programs by two-dimensional range counting.
+def _links_by_rank(spots: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
+    """Links of spots in crowded programs (``__g`` numbers them) by counting in rectangles."""
+    sizes = sorted({*NODE_SIZES.values(), OTHER_SIZE})
+    kind = reduce(lambda e, i: F.when((F.col("__w") == sizes[i][0]) & (F.col("__h") == sizes[i][1]), i).otherwise(e), range(1, len(sizes)), F.lit(0))
 
-    A node overlaps those of one size that lie in a rectangle.  First the rectangle's sides become ranks in the order
-    of y, by running counts over nodes and sides.  The nodes below a rank are blocks of that order, one
-    per binary digit of the rank, and in each block running sums in the order of x count those up to either
-    end of the rectangle.  Every node is in one block per digit, every rectangle asks one, so the work is the number of
-    nodes times its logarithm; the running sums cut groups of any size.
-    """
-    own, other = [*keys, "type", "x", "y"], ["__bw", "__bh"]
-    order = ["__v", "__o", "y", "x", "type", "__w", "__h", "__sign"]
-
-    def events(rows: DataFrame, position: str, size: str, weight: Column) -> DataFrame:
-        """Nodes by both of their ends (``__o`` 1), and the rectangles' lower (0) and upper (2) sides."""
-        at, half = F.col(position), F.col(size) / 2
-        node, side = F.col("__is_node"), ~F.col("__is_node")
-        kinds = F.array(*[F.struct(when.alias("of"), v.alias("v"), F.lit(o).alias("o"), a.alias("a"), b.alias("b")) for when, v, o, a, b in (
-            (node, at - half, 1, weight, F.lit(0).cast("long")), (node, at + half, 1, F.lit(0).cast("long"), weight),
-            (side, at - half, 0, F.lit(0).cast("long"), F.lit(0).cast("long")), (side, at + half, 2, F.lit(0).cast("long"), F.lit(0).cast("long")))])
-        return rows.withColumn("__e", F.explode(F.filter(kinds, lambda k: k["of"]))).select(
-            "*", F.col("__e.v").alias("__v"), F.col("__e.o").alias("__o"), F.col("__e.a").alias("__wa"), F.col("__e.b").alias("__wb")).drop("__e")
+    def place(position: str) -> Column:
+        """Null stands before all numbers, NaN behind them."""
+        at = F.col(position).cast("double")
+        return F.when(F.isnan(at), float("inf")).otherwise(F.coalesce(at, F.lit(-float("inf")))) + F.lit(0.0)
 
-    sizes = sorted({*NODE_SIZES.values(), OTHER_SIZE})
-    every = F.explode(F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(float(h)).alias("h")) for w, h in sizes]))
-    nodes = spots.select(*own, "copies", "__w", "__h", F.col("__w").alias("__bw"), F.col("__h").alias("__bh"), F.lit(True).alias("__is_node"), F.lit(1).alias("__sign"))
-    sides = spots.withColumn("__b", every).select(*own, "copies", "__w", "__h", F.col("__b.w").alias("__bw"), F.col("__b.h").alias("__bh"),
-                                                  F.lit(False).alias("__is_node"), F.lit(1).alias("__sign"))
-    one = F.lit(1).cast("long")
-    ranked = running_totals(events(nodes.union(sides), "y", "__h", one), [*keys, *other], order, number_bucket("__v"),
-                            {"__a": F.col("__wa"), "__b": F.col("__wb")}, totals=True)
-    ranked = ranked.filter(~F.col("__is_node") | (F.col("__wa") == 1))
-    rank = F.when(F.col("__is_node"), F.col("__a") - 1).when(F.col("__o") == 2, F.col("__a")).otherwise(F.col("__b"))
-    ranked = ranked.withColumn("__rank", rank).withColumn("__sign", F.when(F.col("__o") == 0, -1).otherwise(1))
-    digits = F.sequence(F.lit(0), F.floor(F.log2(F.greatest("__a_total", F.lit(1)))).cast("int"))
-    leveled = ranked.withColumn("__digit", F.explode(digits)).withColumn("__block", F.expr("shiftright(__rank, __digit)"))
-    odd = F.col("__block") % 2 == 1
-    leveled = leveled.filter(odd != F.col("__is_node")).withColumn("__block", F.when(odd, F.col("__block") - 1).otherwise(F.col("__block")))
-    asked = leveled.select(*own, "copies", "__w", "__h", *other, "__is_node", "__sign", "__digit", "__block")
-    counted = running_totals(events(asked, "x", "__w", F.col("copies")), [*keys, *other, "__digit", "__block"], order, number_bucket("__v"),
-                             {"__a": F.col("__wa"), "__b": F.col("__wb")}).filter(~F.col("__is_node"))
-    found = F.col("__sign") * F.when(F.col("__o") == 2, F.col("__a")).otherwise(-F.col("__b"))
-    return counted.groupBy(*own).agg((F.sum(found) - 1).alias("links"))
-
-
-def overlap_links(nodes: DataFrame, keys: Sequence[str], few: int = 64) -> DataFrame:
-    """Distinct placed nodes with their number of copies and of ``links``, the other nodes that each copy overlaps.
+    placed = materialize(spots.select(*keys, "type", "x", "y", "copies", F.col("__g").alias("g"), kind.alias("c"), place("x").alias("__x"), place("y").alias("__y")),
+                         "crowded-spots")
+    points = materialize(placed.groupBy("g", "c", F.col("__x").alias("x"), F.col("__y").alias("y")).agg(F.sum("copies").alias("copies")), "crowded-points")
+    met = boxes_met(points, sizes, block_rows).select("g", "c", F.col("x").alias("__x"), F.col("y").alias("__y"), "met")
+    return placed.join(met, ["g", "c", "__x", "__y"]).select(*keys, "type", "x", "y", "copies", (F.col("met") - 1).alias("links"))
+
+
+def overlap_links(nodes: DataFrame, keys: Sequence[str], few: int = 64, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Distinct placed nodes with their number of copies and of ``links``, the other nodes that each copy overlaps (runs jobs).
 
     Touching edges overlap, copies do too.  No pair of nodes is listed: programs of at most ``few`` distinct nodes
-    are a row each, larger ones go through range counting.
+    are a row each, larger ones are counted in blocks of ``block_rows`` nodes or more (see ``rectangles``).
     """
     spots = nodes.groupBy(*keys, "type", "x", "y").agg(F.count(F.lit(1)).alias("copies")).withColumns(
         {"__w": _size(F.col("type"), 0), "__h": _size(F.col("type"), 1)})
-    crowds = spots.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > few).select(*keys)
+    crowds = spots.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > few)
+    crowds = known_size(crowds.select(*keys, F.monotonically_increasing_id().alias("__g")), "crowded-programs")
     left, right = spots.alias("l"), crowds.alias("r")
-    links = _links_in_lists(left.join(right, _same(keys), "left_anti"), keys).unionByName(
-        _links_by_rank(left.join(right, _same(keys), "left_semi"), keys))
-    same = _same([*keys, "type", "x", "y"])
-    return left.join(links.alias("r"), same).select("l.*", "r.links").drop("__w", "__h").withColumn("overlapping", F.col("links") > 0)
+    links = _links_in_lists(left.join(right, _same(keys), "left_anti"), keys)
+    if not crowds.isEmpty():
+        links = links.unionByName(_links_by_rank(left.join(right, _same(keys)).select("l.*", "r.__g"), keys, block_rows))
+    return links.withColumn("overlapping", F.col("links") > 0)
 
 
 def overlap_score(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:

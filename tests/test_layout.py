@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import layout as L
+from tallyforge.operators import rectangles as R
 
 TYPES = ["in", "out", "instance", "data_instance", "setter", "getter", "waypoint", "strange"]
 
@@ -107,3 +109,34 @@ def test_link_counts_equal_the_pairs(spark, few):
     found = L.overlap_links(spark.createDataFrame(rows, "p long, type string, x double, y double").repartition(5), ["p"], few)
     assert {(r.p, r.type, r.x, r.y): (r.copies, r.links) for r in found.collect()} == want
     assert all(r.overlapping == (r.links > 0) for r in found.collect())
+
+
+@pytest.mark.parametrize(("block_rows", "rows"), [(16, 700), (64, 3000), (1 << 15, 3000)])
+def test_link_counts_in_blocks_equal_the_pairs(spark, block_rows, rows):
+    """Crowds that fill many blocks, points of equal x or y, and programs that share a block."""
+    rng = random.Random(3)
+    made = [(p, rng.choice(["in", "out", "instance", "odd"]), float(rng.choice(xs)), float(rng.choice(ys)))
+            for p, n, xs, ys in ((0, rows, range(0, 900, 3), range(0, 500, 7)), (1, 90, range(300), range(300)), (None, 90, range(300), [2, 3]),
+                                 (2, rows // 4, [5], range(0, 1500)), (3, rows // 4, range(0, 1500), [-5.5])) for _ in range(n)]
+    want = {}
+    for p in (0, 1, None, 2, 3):
+        of = [a for a in made if a[0] == p]
+        x, y = (np.array([a[i] for a in of]) for i in (2, 3))
+        w, h = (np.array([_size(a[1])[i] for a in of], dtype=float) for i in (0, 1))
+        apart = [((x[i] + w[i] / 2 < x - w / 2) | (x[i] - w[i] / 2 > x + w / 2) | (y[i] + h[i] / 2 < y - h / 2) | (y[i] - h[i] / 2 > y + h / 2)) for i in range(len(of))]
+        want |= {a: int((~v).sum()) - 1 for a, v in zip(of, apart, strict=True)}
+    found = L.overlap_links(spark.createDataFrame(made, "p long, type string, x double, y double").repartition(5), ["p"], block_rows=block_rows)
+    assert {(r.p, r.type, r.x, r.y): r.links for r in found.collect()} == want
+
+
+def test_a_crowd_is_moved_a_few_times_per_node(spark, tmp_path):
+    """Digits of ranks made a hundred rows of a node; blocks get it once or twice per node size."""
+    n = 20000
+    nodes = spark.range(n).select(F.lit(1).alias("p"), F.lit("in").alias("type"), (F.col("id") * 7 % 1000 * 1.0).alias("x"), (F.col("id") * 11 % 503 * 1.0).alias("y"))
+    points = nodes.select(F.lit(0).cast("long").alias("g"), F.lit(0).alias("c"), "x", "y", F.lit(1).cast("long").alias("copies")).distinct()
+    points.write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    sizes = np.array([100.0])
+    cuts = R.Cuts("x", sizes, np.zeros(10, dtype=np.int64), np.zeros(10, dtype=np.int64), np.arange(10) * 100.0)
+    sent = points.withColumn("part", F.floor(F.col("x") / 100).cast("int")).mapInArrow(R._send(cuts, None, np.ones(10, dtype=np.int64), "part"), R._SCHEMA)
+    assert sent.count() <= 3 * n
