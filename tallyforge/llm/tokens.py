@@ -23,7 +23,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +53,31 @@ DOCUMENTS = "part int, seq int, doc_id long, local_start long, n_tokens long, id
 # The shape for which words between blanks encode independently of each other.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-# Words of these characters only can be cut here as the tokenizer would cut them.
-_SIMPLE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Texts of these characters only can be cut here as the tokenizer would cut them: letters stand first as they begin no other piece.
+_CUT = re.compile("[a-zß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^ \n\t\ra-z0-9ß-öø-ÿ]+")
+_SIMPLE_TEXT = re.compile("[ \n\t\r\x21-\x7eÀ-ÖØ-öø-ÿ]*")
 # How byte-level tokenizers write bytes: printable ones of Latin-1 as themselves, the others as characters from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
-_WORDS_KEPT, _PIECES_KEPT = 120_000, 120_000
+_WORDS_KEPT, _PIECES_KEPT = 120_000, 120_000  # of both together: pieces are nearly all
+
+
+class _Known(dict):
+    """Ids by piece; an unknown one is encoded when asked for, and kept while there is room: frequent ones, which come early, stay."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(self) < _WORDS_KEPT + _PIECES_KEPT:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """Ids of texts; for tokenizers that drop blanks, words and word pieces are remembered."""
+    """Ids of texts; for tokenizers that drop blanks, word pieces are remembered (and words that aren't cut here)."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,60 +89,40 @@ class Encoder:
         self.by_word = ((shape.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
                         and cut[0].get("pattern") == {"Regex": _PIECES} and cut[0].get("behavior") == "Removed"
                         and cut[0].get("invert") is True)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = _Known(self._encode_piece)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that the tokenizer would not cut any further: straight from its model."""
-        tokenize = self.tokenizer.model.tokenize
-        found = [[t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARACTERS))] for p in pieces]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of unknown words; kept while there is room, so that the frequent ones, which come early, stay."""
-        known, cut, other, new = {}, {}, [], set()
-        pieces = self.pieces
-        for w in words:
-            low = w.lower()
-            found = pieces.get(low) if w.isalpha() else None
-            if found is not None and _SIMPLE.fullmatch(w):
-                known[w] = found
-            elif _SIMPLE.fullmatch(w) and "<|" not in w:
-                cut[w] = parts = _CUT.findall(low)
-                new.update(parts)
+    def _encode_piece(self, piece: str) -> bytes:
+        """Ids of what ``_cut`` gives: pieces, which the tokenizer would not cut any further, straight from its model."""
+        if "<|" in piece or not _SIMPLE_TEXT.fullmatch(piece):
+            return self._encode([piece])[0]
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces that encode by themselves: those of simple words, other words as a whole (no piece has their characters)."""
+        if "<|" not in text and _SIMPLE_TEXT.fullmatch(text):
+            return _CUT.findall(text.lower())
+        parts: list[str] = []
+        for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+            if "<|" not in w and _SIMPLE_TEXT.fullmatch(w):
+                parts += _CUT.findall(w.lower())
             else:
-                other.append(w)
-        new -= pieces.keys()
-        order = list(new)
-        fresh = dict(zip(order, self._encode_pieces(order), strict=True))
-        for w, parts in cut.items():
-            known[w] = b"".join([fresh[p] if p in fresh else pieces[p] for p in parts])
-        known.update(zip(other, self._encode(other), strict=True))
-        if len(pieces) < _PIECES_KEPT:
-            pieces.update(fresh)
-        if len(self.words) < _WORDS_KEPT:
-            self.words.update(known)
-        return known
+                parts.append(w)
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._encode(texts)
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         collecting = gc.isenabled()
         gc.disable()  # many small lists in front of a large memory, and no cycles
         try:
-            distinct = set().union(*cut)
-            known = self._learn(distinct - self.words.keys())
-            words = self.words
-            if not known.keys() <= words.keys():  # there was no room left
-                words = {w: known[w] if w in known else words[w] for w in distinct}
-            ids = words.__getitem__
-            return [b"".join(map(ids, text)) for text in cut]
+            ids = self.words.__getitem__
+            return [b"".join(map(ids, self._cut(text))) for text in texts]
         finally:
             if collecting:
                 gc.enable()

@@ -113,3 +113,11 @@ def test_encoder_keeps_no_more_than_there_is_room_for(monkeypatch):
     for _ in range(2):
         assert own.encode(texts[:9]) == own._encode(texts[:9]) and own.encode(texts) == own._encode(texts)
     assert len(own.words) < 9 * 60 + 1  # nothing of the second batch
+
+
+def test_words_that_share_pieces_share_memory():
+    """Words with signs around them are no entries of their own."""
+    own = tokens.Encoder(DEFINITION)
+    texts = [f"{a}token{b}" for a in "(<'\"" for b in ".,;:!?)>"]
+    assert own.encode(texts) == own._encode(texts)
+    assert len(own.words) < len(texts)
