@@ -138,3 +138,23 @@ def test_stacked_datasets_keep_their_name(spark):
     a = spark.createDataFrame([(1, "x")], "id int, extra string")
     stacked = X.stack_datasets({"one": a, "two": a.drop("extra")}).collect()
     assert [(r.dataset, r.extra) for r in stacked] == [("one", "x"), ("two", None)]
+
+
+def test_a_worker_holds_few_distances_and_queries_are_written_once(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from tallyforge.operators import neighbours as N
+
+    sizes, nearest = [], N._nearest
+    monkeypatch.setattr(N, "_nearest", lambda ids, asked, most, pool, points, own: sizes.append(len(asked) * len(points)) or nearest(ids, asked, most, pool, points, own))
+    n = 6000
+    rows = pa.table({"block": [0] * n, "chunk": [0] * n, "kind": [0] * 5000 + [1] * 1000, "id": range(n), "vector": [[i * 0.5, i % 7] for i in range(n)], "k": [3] * n})
+    found = sum(b.num_rows for b in N._meet(True)(iter(rows.to_batches())))
+    assert found == 3000 and max(sizes) <= 1 << 20
+
+    written = []
+    kept = N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, tag: written.append((tag, df.count())) or kept(df, tag))
+    points = spark.range(1500).selectExpr("id", "array(double(id * 37 % 1009), double(id * 11 % 503)) AS vector")
+    assert N.knn_topk(points, points, 2, exclude_self=True, block_rows=64, cells=32).count() == 3000
+    assert all(count <= 1500 for tag, count in written if tag not in ("near", "far"))
