@@ -38,6 +38,7 @@ END_ID = 2
 BLOCK_IDS = 1024
 PERCENTILE = 0.9
 FILE_IDS = 1 << 22
+RUN_BLOCKS, RUN_IDS = 128, 1 << 17  # what a worker packs and unpacks at once
 
 MAGIC = b"PFORTOK1"
 HEAD = struct.Struct("<8sIII")
@@ -84,9 +85,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        shape = json.loads(definition)
-        cut = (shape.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_word = ((shape.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        # Asked of the tokenizer: the definition parsed once more would hold its whole vocabulary a second time.
+        normalizer, cutter = ({} if part is None else json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        cut = cutter.get("pretokenizers") or [{}]
+        self.by_word = (normalizer.get("normalizers") == _NORMALIZERS
                         and cut[0].get("pattern") == {"Regex": _PIECES} and cut[0].get("behavior") == "Removed"
                         and cut[0].get("invert") is True)
         self.words = _Known(self._encode_piece)
@@ -219,21 +221,41 @@ def decode_blocks(data: bytes, starts: np.ndarray, block_ids: int) -> np.ndarray
 def build_file(part: int, seq: int, docs: list[tuple[int | None, bytes]], block_ids: int = BLOCK_IDS,
                percentile: float = PERCENTILE) -> bytes:
     """A whole file but for its last byte, from (document, ids as bytes)."""
-    ids = np.frombuffer(b"".join([d[1] for d in docs]), dtype="<u4")
-    pieces, starts, at = [HEAD.pack(MAGIC, part, seq, block_ids)], [], HEAD.size
-    for first in range(0, len(ids), block_ids * 1024):  # bounded memory for any length
-        for block in encode_blocks(ids[first:first + block_ids * 1024], block_ids, percentile):
+    pieces, starts, at, n_ids = [HEAD.pack(MAGIC, part, seq, block_ids)], [], HEAD.size, 0
+    for ids in _runs(docs, block_ids * RUN_BLOCKS):  # bounded memory for any length
+        for block in encode_blocks(ids, block_ids, percentile):
             pieces.append(block)
             starts.append(at)
             at += len(block)
+        n_ids += len(ids)
     index_at = at
     pieces.append(np.array(starts, dtype="<u8").tobytes())
     docs_at = at + 8 * len(starts)
     pieces.append(np.array([d[0] or 0 for d in docs], dtype="<i8").tobytes())
     pieces.append(np.array([d[0] is not None for d in docs], dtype=np.uint8).tobytes())
     pieces.append(np.array([len(d[1]) // 4 for d in docs], dtype="<u8").tobytes())
-    body = b"".join(pieces)
-    return body + FOOTER.pack(index_at, docs_at, len(starts), len(docs), len(ids), zlib.crc32(body), MAGIC)
+    check = 0
+    for piece in pieces:
+        check = zlib.crc32(piece, check)
+    pieces.append(FOOTER.pack(index_at, docs_at, len(starts), len(docs), n_ids, check, MAGIC))
+    return b"".join(pieces)
+
+
+def _runs(docs: list[tuple[int | None, bytes]], size: int) -> Iterator[np.ndarray]:
+    """The ids of all documents, one behind another, ``size`` at a time."""
+    held: list[bytes] = []
+    n = 0
+    for _, ids in docs:
+        at = 0
+        while at < len(ids):
+            held.append(ids[at:at + 4 * (size - n)])
+            at += len(held[-1])
+            n += len(held[-1]) // 4
+            if n == size:
+                yield np.frombuffer(b"".join(held), dtype="<u4")
+                held, n = [], 0
+    if held:
+        yield np.frombuffer(b"".join(held), dtype="<u4")
 
 
 class TokenFile:
@@ -275,18 +297,22 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int = END_ID, block_i
         own, part, seq = encoder(shared.value), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
+
+        def file() -> pa.RecordBatch:
+            content = build_file(part, seq, held, block_ids, percentile)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
+
         for batch in slices(batches, "text", 2 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(texts), strict=True):
                 held.append((doc, ids + end))
                 size += len(ids) // 4 + 1
                 if size >= file_ids:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([build_file(part, seq, held, block_ids, percentile)], pa.binary())], ["content"])
-                    held, size, seq = [], 0, seq + 1
+                    yield file()
+                    size, seq = 0, seq + 1
         if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([build_file(part, seq, held, block_ids, percentile)], pa.binary())], ["content"])
+            yield file()
 
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h"))
                .repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text"))
@@ -300,8 +326,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, first = np.zeros(0, dtype=np.uint32), 0
             crcs = []
             for start, length in zip(f.doc_starts.tolist(), f.lengths.tolist(), strict=True):
-                if start + length > first + len(ids):  # unpack on, about a million ids at a time
-                    first, ids = start, f.ids(start, min(f.n_ids, max(start + length, start + (1 << 20))))
+                if start + length > first + len(ids):  # unpack on, RUN_IDS at a time
+                    first, ids = start, f.ids(start, min(f.n_ids, max(start + length, start + RUN_IDS)))
                 crcs.append(zlib.crc32(ids[start - first:start - first + length].astype("<u4").tobytes()))
             n = len(crcs)
             yield pa.RecordBatch.from_arrays(

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -121,3 +122,27 @@ def test_words_that_share_pieces_share_memory():
     texts = [f"{a}token{b}" for a in "(<'\"" for b in ".,;:!?)>"]
     assert own.encode(texts) == own._encode(texts)
     assert len(own.words) < len(texts)
+
+
+def test_files_are_built_and_read_in_bounded_memory():
+    """Ids are packed and unpacked a run at a time, beside the documents and the file there is little."""
+    rng = np.random.default_rng(5)
+    docs = [(i, rng.integers(0, 49_000, 1000).astype("<u4").tobytes()) for i in range(2500)]
+    tracemalloc.start()
+    try:
+        content = tokens.build_file(0, 0, docs)
+        built = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert built < 2 * len(content) + (8 << 20)
+    f = tokens.TokenFile(content + b"\n")
+    assert f.ids(0, f.n_ids).tobytes() == b"".join(ids for _, ids in docs)
+    rows = pa.RecordBatch.from_arrays([pa.array([content + b"\n"], pa.binary())], ["content"])
+    tracemalloc.start()
+    try:
+        read = list(tokens._read(iter([rows])))
+        grown = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert grown < len(content) + (16 << 20)
+    assert read[0].column("ids_crc32").to_pylist() == [zlib.crc32(ids) for _, ids in docs]
