@@ -2,15 +2,16 @@
 
 Pages are cut into text lines, one per block.  Each page is paired with the page of the
 same host whose URL path is nearest (its neighbour in path order with which it shares most path
-segments), both pages' lines are aligned by a longest common subsequence, and shared lines
+segments), all lines of both are aligned by a longest common subsequence, and shared lines
 are deleted: templates repeat from page to page, articles don't.
 
 Differencing alone can't give the main text: a menu or footer that differs from page to
 page survives it, and an article that was copied to a nearby page would be deleted with it.
-So what a page declares counts as well: lines in an ``article`` or ``main`` element are never deleted,
-lines in menus, headers, footers, side bars, forms and the like never stay, and of the rest
-those stay that differencing leaves, if the page declares no article.  A page all of
-whose undeclared lines are shared is a copy of its neighbour and keeps them.
+So what it leaves is checked against the page's structure (``main_lines``): lines in menus, headers,
+footers, side bars, forms and the like never stay; an ``article`` or ``main`` element of which it leaves
+a line is whole again, one that it deletes is a template and goes; undeclared lines that it leaves stay
+if they are more text than those elements, or the page declares nothing.  Where it leaves nothing, the page
+is a copy of its neighbour and keeps its elements, or its undeclared lines if it has none.
 """
 
 from __future__ import annotations
@@ -82,16 +83,21 @@ def _zone(name: str, attributes: str, parent: int) -> int:
 
 def page_lines(page: str | None) -> list[tuple[int, str]]:
     """(zone, text) of each non-empty block, in page order; null and empty pages have none."""
+    return [(zone, text) for zone, _, text in placed_lines(page)]
+
+
+def placed_lines(page: str | None) -> list[tuple[int, int, str]]:
+    """As ``page_lines``, with the number of the outermost ``article`` or ``main`` element (from 1) of a line in one."""
     page = page or ""
-    lines: list[tuple[int, str]] = []
+    lines: list[tuple[int, int, str]] = []
     stack: list[tuple[str, int]] = []
-    zone, held, at = _FREE, [], 0
+    zone, held, at, elements = _FREE, [], 0, 0
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                lines.append((zone, text))
+                lines.append((zone, elements if zone == _MAIN else 0, text))
             held.clear()
 
     def pop(names: frozenset[str], within: frozenset[str] = frozenset()) -> None:
@@ -147,6 +153,7 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
         own = _zone(name, found[3], zone)
         if own != zone and not block:
             flush()
+        elements += own == _MAIN and zone != _MAIN  # while one is open no other begins
         stack.append((name, own))
         zone = own
     flush()
@@ -155,7 +162,7 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
 
 # ---- longest common subsequence ----
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """Positions in ``a`` of one longest common subsequence of ``a`` and ``b``.
 
     Bit-parallel: a row of the table is one long integer.  Common ends are cut off
@@ -194,8 +201,8 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def _rows(a: list[str], b: list[str]) -> Iterator[int]:
-    places: dict[str, int] = {}
+def _rows(a: list, b: list) -> Iterator[int]:
+    places: dict = {}
     for n, line in enumerate(b):
         places[line] = places.get(line, 0) | 1 << n
     full = (1 << len(b)) - 1
@@ -207,7 +214,7 @@ def _rows(a: list[str], b: list[str]) -> Iterator[int]:
         yield row
 
 
-def _lengths(a: list[str], b: list[str]) -> list[int]:
+def _lengths(a: list, b: list) -> list[int]:
     """Length of the longest common subsequence of ``a`` with each prefix of ``b``."""
     row = 0
     for row in _rows(a, b):
@@ -250,27 +257,35 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "html"):
-        texts, outside = [], []
-        for page in batch.column("html").to_pylist():
-            lines = page_lines(page)
-            declared = any(z == _MAIN for z, _ in lines)
-            texts.append(" ".join([t for z, t in lines if z == _MAIN]) if declared else None)
-            outside.append([{"free": z == _FREE and not declared, "line": t} for z, t in lines if z != _MAIN])
+        lines = [[{"place": -1 if z == _OUT else n, "line": t} for z, n, t in placed_lines(page)] for page in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("key"), pa.array(texts, pa.string()),
-             pa.array(outside, pa.list_(pa.struct([("free", pa.bool_()), ("line", pa.string())])))],
-            ["page_id", "url", "key", "declared", "outside"])
+            [batch.column("page_id"), batch.column("url"), batch.column("key"),
+             pa.array(lines, pa.list_(pa.struct([("place", pa.int32()), ("line", pa.string())])))],
+            ["page_id", "url", "key", "lines"])
+
+
+def main_lines(places: list[int], sizes: list[int], shared: set[int] | None) -> list[int]:
+    """Positions of the lines that stay, from where they stand (below 0: menus and the like, 0: undeclared, else the number of the
+    declared element), their lengths and which of them the page shares with its partner (None: it has no partner)."""
+    left = [i for i, place in enumerate(places) if place >= 0 and i not in (shared or ())]
+    elements, free = {places[i] for i in left if places[i]}, [i for i in left if not places[i]]
+    own = [i for i, place in enumerate(places) if place in elements]
+    kept = own or [i for i, place in enumerate(places) if place > 0]
+    if shared is not None and sum(sizes[i] for i in free) > sum(sizes[i] for i in kept):
+        return sorted(own + free)
+    return kept or free or [i for i, place in enumerate(places) if not place]
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines that stay: free ones not shared with the partner; all free ones if all are shared."""
+    """Positions of each page's lines that stay, where these aren't just its declared elements; lines are compared by their 64-bit marks."""
     for batch in batches:
-        kept = []
-        for own, other in zip(batch.column("outside").to_pylist(), batch.column("other").to_pylist(), strict=True):
-            shared = shared_lines([x["line"] for x in own], [x["line"] for x in other or []])
-            left = [x["line"] for i, x in enumerate(own) if x["free"] and i not in shared]
-            kept.append(" ".join(left or [x["line"] for x in own if x["free"]]))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(kept, pa.string())], ["key", "kept"])
+        keys, kept = [], []
+        for key, places, sizes, own, other in zip(*(batch.column(c).to_pylist() for c in ("key", "places", "sizes", "marks", "other")), strict=True):
+            found = main_lines(places, sizes, None if other is None else shared_lines(own, other))
+            if found != [i for i, place in enumerate(places) if place > 0]:
+                keys.append(key)
+                kept.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kept, pa.list_(pa.int32()))], ["key", "kept"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -284,16 +299,21 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.select("page_id", "url", "html", whole.alias("key"))
     kind = pages.schema["page_id"].dataType.simpleString()
     path = scratch_path(pages.sparkSession, "page-lines")
-    map_arrow(keyed, _parse, f"page_id {kind}, url string, key long, declared string, outside array<struct<free:boolean,line:string>>") \
+    map_arrow(keyed, _parse, f"page_id {kind}, url string, key long, lines array<struct<place:int,line:string>>") \
         .write.option("compression", "zstd").parquet(path)
     parsed = pages.sparkSession.read.parquet(path)
     address = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
     places = parsed.select("key", F.lower(F.regexp_extract(address, r"^[^/]*", 0)).alias("host"), F.regexp_extract(address, r"^[^/]*(.*)$", 1).alias("path"))
-    lines = parsed.select("key", "outside").filter(F.size("outside") > 0).groupBy("key").agg(F.first("outside").alias("outside"))
+    # Pages meet by marks of their lines, the texts stay where they are until it is known which of them are needed.
+    marked = F.struct(F.transform("lines", lambda x: x["place"]).alias("places"), F.transform("lines", lambda x: F.char_length(x["line"])).alias("sizes"),
+                      F.transform("lines", lambda x: F.xxhash64(x["line"])).alias("marks"))
+    lines = parsed.select("key", marked.alias("m")).filter(F.size("m.marks") > 0).groupBy("key").agg(F.first("m").alias("m")).select("key", "m.*")
     paired = lines.join(nearest_pages(places), "key", "left")
-    other = lines.select(F.col("key").alias("partner"), F.col("outside").alias("other"))
-    differing = map_arrow(paired.join(other, "partner", "left").select("key", "outside", "other"), _difference, "key long, kept string")
-    kept = known_size(differing.filter(F.col("kept") != ""), "kept-lines")
-    text = F.coalesce("declared", "kept", F.lit(""))
-    return parsed.select("page_id", "url", "key", "declared").join(kept, "key", "left").select(
-        "page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    other = lines.select(F.col("key").alias("partner"), F.col("marks").alias("other"))
+    met = paired.join(other, "partner", "left")  # an empty partner tells as much as none
+    kept = known_size(map_arrow(met.select("key", "places", "sizes", "marks", "other"), _difference, "key long, kept array<int>"), "kept-lines")
+    # Texts move only if many pages keep other lines than their declared elements.
+    declared = F.transform(F.filter("lines", lambda x: x["place"] > 0), lambda x: x["line"])
+    stay = F.when(F.col("kept").isNull(), declared).otherwise(F.transform("kept", lambda i: F.get("lines", i)["line"]))
+    return (parsed.join(kept, "key", "left").select("page_id", "url", F.array_join(stay, " ").alias("text"))
+            .withColumn("n_chars", F.char_length("text").cast("long")))

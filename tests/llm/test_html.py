@@ -99,3 +99,20 @@ def test_pairs_share_most_segments(spark):
             others = [j for j in of if j != key and of[j][0] == of[key][0]]
             assert partner in others and shared(key, partner) == max(shared(key, j) for j in others)
     assert seen[0] == seen[1] and seen[0][901] == 903
+
+
+def test_differencing_decides_on_pages_that_declare_articles(spark):
+    """A declared element that the nearest page has too is a template, one with a line of its own is whole, and a page's text may lie outside of all."""
+    card, menu = "<article class='card'><h2>Our shop</h2><p>Buy two</p></article>", "<div>Home</div>"
+    rows = [(1, "http://h/a/1", f"{menu}<article><p>One.</p><p>Told by all.</p></article>{card}"),
+            (2, "http://h/a/2", f"{menu}<article><p>Two.</p><p>Told by all.</p></article>{card}"),
+            (3, "http://t/b/1", f"{menu}{card}<div>A long story that no element declares.</div>"),
+            (4, "http://t/b/2", f"{menu}{card}<div>Another long story without an element.</div><div class='sidebar'>Side</div>"),
+            (5, "http://c/1", f"{menu}<main><p>Copied.</p></main>"), (6, "http://c/2", f"{menu}<main><p>Copied.</p></main>"),
+            (7, "http://alone/1", f"<div>A menu of many words and no partner</div>{card}"),
+            (8, "http://e/1", f"<div>A text of many words beside an empty page</div>{card}"), (9, "http://e/2", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert texts == {1: "One. Told by all.", 2: "Two. Told by all.", 3: "A long story that no element declares.",
+                     4: "Another long story without an element.", 5: "Copied.", 6: "Copied.", 7: "Our shop Buy two",
+                     8: "Our shop Buy two", 9: ""}
