@@ -20,7 +20,9 @@ takes fingerprints for candidates only, and links texts whose sets of five-word
 similar by 0.8 or more, counted from the texts.  The candidates it would miss come from an exact
 join: sets that similar share a shingle among the first fifth of each, in any fixed order of all
 shingles (``_similar_pairs``).  Parities of a set's hashes rule pairs out, as many as the set has
-shingles or more: those of two sets differ in at most as many places as the sets in shingles.
+shingles or more: those of two sets differ in at most as many places as the sets in shingles.  They
+do so within a bucket already, so that long texts that share a passage aren't written as pairs, and
+sets that share many buckets are a pair in one of them.
 
 Only distinct fingerprints are searched (copies share one), buckets of many rows are cut
 into pieces that meet pairwise in tasks of bounded size, and a task returns a forest of
@@ -48,6 +50,8 @@ BLOCKS = 6
 SEED = 42
 SIMILAR_WORDS = 5
 _PARITY = [f"p{i}" for i in range(8)]
+_BUCKET_BITS = 1 << 15  # most parities of a set that go to its buckets, 4 kB
+_KEYS = [f"k{i}" for i in range(8)]  # the smallest of a set's buckets, by which two sets agree where they meet
 _MARK_BITS = 1 << 25  # 4 MB
 COMMON_SHARE = 64  # one of so many texts tells which shingles are common
 COMMON_MOST = 1 << 16
@@ -250,6 +254,12 @@ def _long_parity(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _bucket_parity(parity: bytes, size: int) -> bytes | None:
+    """Of a set of ``size`` shingles as many parities or more, at most ``_BUCKET_BITS``; none where the 512 of ``_parity`` are as many."""
+    words = min(1 << max(size - 1, 0).bit_length(), _BUCKET_BITS) // 64
+    return _folded(np.frombuffer(parity, dtype=np.uint64), words).tobytes() if words > len(_PARITY) else None
+
+
 def _folded(parity: np.ndarray, size: int) -> np.ndarray:
     """Fewer parities from more."""
     return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
@@ -286,26 +296,26 @@ def common_shingles(docs: DataFrame, share: int = COMMON_SHARE) -> tuple[np.ndar
 def _with_sets(docs: DataFrame, words: int, common: np.ndarray, ranks: np.ndarray) -> DataFrame:
     """The rows without ``text``, plus ``fp``, ``node`` (which equal shingle sets share), the set's size ``n``, parities and ``prefix``.
 
-    Of rows of one node in a task the first has the prefix, ``hot`` (those of its shingles that very many texts have) and ``parity``.
+    Of rows of one node in a task the first has the prefix, ``hot`` (those of its shingles that very many texts have), ``parity`` and ``within``.
     """
     kept = [c for c in docs.columns if c != "text"]
     added = ["fp", "node", "n", *_PARITY]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-                       + [f"{c} bigint" for c in added] + ["prefix array<bigint>", "hot array<bigint>", "parity binary"])
+                       + [f"{c} bigint" for c in added] + ["prefix array<bigint>", "hot array<bigint>", "parity binary", "within binary"])
     crowded = common[ranks >= HOT_COUNT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
-            numbers, prefixes, hot, parities = np.zeros((len(texts), len(added)), dtype=np.int64), [], [], []
+            numbers, prefixes, hot, parities, within = np.zeros((len(texts), len(added)), dtype=np.int64), [], [], [], []
             for row, text in zip(numbers, texts, strict=True):
                 found = shingle_set(text)
                 node = _signed(xxhash.xxh3_64_intdigest(found.tobytes())) if len(found) else 0
                 row[:3] = _signed(fingerprint(text, words)), node, len(found)
                 row[3:] = _parity(found)
                 if node in seen or not len(found):
-                    for column in (prefixes, hot, parities):
+                    for column in (prefixes, hot, parities, within):
                         column.append(None)
                     continue
                 seen.add(node)
@@ -314,17 +324,22 @@ def _with_sets(docs: DataFrame, words: int, common: np.ndarray, ranks: np.ndarra
                 prefixes.append(first[~many].view(np.int64))
                 hot.append(first[many].view(np.int64))
                 parities.append(_long_parity(found))
+                within.append(_bucket_parity(parities[-1], len(found)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(c) for c in numbers.T.copy()]
-                + [pa.array(c, pa.list_(pa.int64())) for c in (prefixes, hot)] + [pa.array(parities, pa.binary())],
-                [*kept, *added, "prefix", "hot", "parity"])
+                + [pa.array(c, pa.list_(pa.int64())) for c in (prefixes, hot)] + [pa.array(c, pa.binary()) for c in (parities, within)],
+                [*kept, *added, "prefix", "hot", "parity", "within"])
 
     return map_arrow(docs, run, schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: int, keys: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole groups of sorted rows (equal in the first ``keys`` columns) and where each begins; the last one waits for its rest."""
+def _groups(batches: Iterator[pa.RecordBatch], columns: int, keys: int = 1, extra: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole groups of sorted rows (equal in the first ``keys`` columns) and where each begins; the last one waits for its rest.
+
+    ``extra``, if given, holds the next column's values of the rows last given out.
+    """
     held: list[np.ndarray] = []
+    waiting: list = []
 
     def cut(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return rows, np.concatenate(([0], np.flatnonzero((np.diff(rows[:, :keys], axis=0) != 0).any(axis=1)) + 1, [len(rows)]))
@@ -334,13 +349,19 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int, keys: int = 1) -> I
             continue
         rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(columns)])
         held.append(rows)
+        if extra is not None:
+            waiting += batch.column(columns).to_pylist()
         if (rows[0, :keys] == rows[-1, :keys]).all() and (held[0][0, :keys] == rows[0, :keys]).all():
             continue
         rows = np.concatenate(held)
         last = len(rows) - np.argmax((rows[::-1, :keys] != rows[-1, :keys]).any(axis=1))
+        if extra is not None:
+            extra[:], waiting = waiting[:last], waiting[last:]
         yield cut(rows[:last])
         held = [rows[last:]]
     if held:
+        if extra is not None:
+            extra[:] = waiting
         yield cut(np.concatenate(held))
 
 
@@ -357,18 +378,49 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(list(found.values())))], ["key", "node"])
 
 
-def _able_pairs(rows: np.ndarray, forest: bool) -> Iterator[np.ndarray]:
-    """Pairs of nodes of one bucket (``lo, hi, piece, node, n, root`` and parities) that sizes and parities don't rule out.
+def _by_width(within: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Parities of a bucket's nodes: how many words each has (0: none), its place among those of as many, and these by width."""
+    width = np.array([len(w) // 8 if w else 0 for w in within], dtype=np.int64)
+    place, parities = np.zeros(len(width), dtype=np.int64), {}
+    for w in np.unique(width[width > 0]).tolist():
+        at = np.flatnonzero(width == w)
+        place[at] = np.arange(len(at))
+        parities[w] = np.frombuffer(b"".join([within[i] for i in at]), dtype=np.uint64).reshape(-1, w)
+    return width, place, parities
+
+
+def _able_pairs(rows: np.ndarray, within: list[bytes | None] | None) -> Iterator[np.ndarray]:
+    """Pairs of nodes of one bucket (``key, lo, hi, piece, node, n, root``, parities) that sizes and parities don't rule out.
 
-    Only nodes of different roots meet.  With ``forest``, pairs that join what all of them would.
+    Only nodes of different roots meet.  Without ``within``, a forest: pairs that join what all of them would.
+    ``within`` are further parities of nodes of more than 512 shingles; then rows have ``_KEYS`` too, and a pair with
+    some of these in common is given in the smallest such bucket alone.
     """
-    size, root, piece, words = rows[:, 4], rows[:, 5], rows[:, 2], np.ascontiguousarray(rows[:, 6:]).view(np.uint64)
-    cross = rows[0, 0] != rows[0, 1]
+    size, root, piece, words = rows[:, 5], rows[:, 6], rows[:, 3], np.ascontiguousarray(rows[:, 7:7 + len(_PARITY)]).view(np.uint64)
+    cross, forest = rows[0, 1] != rows[0, 2], within is None
+    keys = rows[:, 7 + len(_PARITY):]
+    width, place, parities = (np.zeros(len(rows), dtype=np.int64), None, {}) if forest else _by_width(within)
 
     def able(x: int, rest: np.ndarray) -> np.ndarray:
         rest = rest[(root[rest] != root[x]) & (5 * np.minimum(size[rest], size[x]) >= 4 * np.maximum(size[rest], size[x]))]
         rest = rest[piece[rest] != piece[x]] if cross else rest
-        return rest[9 * np.bitwise_count(words[rest] ^ words[x]).sum(axis=1, dtype=np.int64) <= size[rest] + size[x]]
+        rest = rest[9 * np.bitwise_count(words[rest] ^ words[x]).sum(axis=1, dtype=np.int64) <= size[rest] + size[x]]
+        return rest if forest or not len(rest) else alike(x, here(x, rest))
+
+    def here(x: int, rest: np.ndarray) -> np.ndarray:
+        least = np.where(np.isin(keys[rest], keys[x]), keys[rest], np.iinfo(np.int64).max).min(axis=1)
+        return rest[(least == rows[0, 0]) | (least == np.iinfo(np.int64).max)]
+
+    def alike(x: int, rest: np.ndarray) -> np.ndarray:
+        fits = np.ones(len(rest), dtype=bool)
+        for w, of_width in parities.items() if width[x] else ():
+            at = np.flatnonzero(width[rest] == w)
+            if len(at):
+                least = min(w, width[x])
+                other = np.bitwise_xor.reduce(of_width[place[rest[at]]].reshape(len(at), -1, least), axis=1)
+                differing = np.bitwise_count(other ^ _folded(parities[width[x]][place[x]], least)).sum(axis=1, dtype=np.int64)
+                fits[at] = 9 * differing <= size[rest[at]] + size[x]
+        return rest[fits]
 
     left = np.arange(len(rows))
     queue: list[int] = []
@@ -379,7 +431,7 @@ def _able_pairs(rows: np.ndarray, forest: bool) -> Iterator[np.ndarray]:
             x, left = int(left[0]), left[1:]
         hits = able(x, left)
         if len(hits):
-            yield np.column_stack([np.full(len(hits), rows[x, 3]), rows[hits, 3]])
+            yield np.column_stack([np.full(len(hits), rows[x, 4]), rows[hits, 4]])
             if forest:
                 queue += hits.tolist()
                 left = left[~np.isin(left, hits, assume_unique=True)]
@@ -387,10 +439,12 @@ def _able_pairs(rows: np.ndarray, forest: bool) -> Iterator[np.ndarray]:
 
 def _search_able(forest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, edges in _groups(batches, 8 + len(_PARITY), 4):
+        within: list[bytes | None] | None = None if forest else []
+        for rows, edges in _groups(batches, 8 + len(_PARITY) + (0 if forest else len(_KEYS)), 4, within):
             found, held = [], 0
             for i in np.flatnonzero(np.diff(edges) > 1):
-                for pairs in _able_pairs(rows[edges[i]:edges[i + 1], 2:], forest):
+                start, end = edges[i], edges[i + 1]
+                for pairs in _able_pairs(rows[start:end, 1:], None if forest else within[start:end]):
                     found.append(pairs)
                     held += len(pairs)
                     if held > 1 << 16:
@@ -410,13 +464,17 @@ def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
 def _candidates(buckets: DataFrame, sets: DataFrame, roots: DataFrame | None, piece_rows: int) -> DataFrame:
     """Pairs of nodes in one bucket that may be similar: without ``roots`` a forest of them, else all between different roots."""
     values = ["node", "n", "root", *_PARITY]
-    sets = sets.drop("parity")
-    rooted = sets.withColumn("root", F.col("node")) if roots is None else (
-        sets.join(roots.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    keyed = buckets.join(rooted, "node").select(F.lit(0).alias("tab"), "key", *values)
-    if roots is not None:
-        mixed = keyed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("key")
-        keyed = keyed.join(mixed, "key", "left_semi")
+    if roots is None:
+        keyed = buckets.join(sets.withColumn("root", F.col("node")), "node")
+    else:
+        rooted = sets.select("node").join(roots.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = buckets.join(rooted, "node")
+        mixed = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("key")
+        placed = materialize(placed.join(mixed, "key", "left_semi"), "mixed-buckets")
+        keys = placed.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, len(_KEYS)).alias("keys"))
+        keys = keys.select("node", *[F.coalesce(F.get("keys", F.lit(i)), F.get("keys", F.lit(0))).alias(k) for i, k in enumerate(_KEYS)])
+        keyed, values = placed.join(sets.join(keys, "node"), "node"), [*values, *_KEYS, "within"]
+    keyed = keyed.select(F.lit(0).alias("tab"), "key", *values)
     dealt = _dealt(materialize(keyed, "similar-buckets"), values, piece_rows, ("node",))
     return map_arrow(dealt, _search_able(roots is None), "a bigint, b bigint").distinct()
 
@@ -509,7 +567,7 @@ def _similar_pairs(tagged: DataFrame, marked: DataFrame, classes: DataFrame, nea
     buckets = materialize(buckets.union(marked.select(F.explode("hot").alias("key"), "node")).distinct(), "buckets")
     needed = buckets.select("node").union(near.select("a")).union(near.select("b")).distinct()
     sets = marked.filter("parity is not null").join(needed, "node", "left_semi").groupBy("node").agg(
-        *[F.first(c).alias(c) for c in ("n", *_PARITY, "parity")])
+        *[F.first(c).alias(c) for c in ("n", *_PARITY, "parity", "within")])
     sets = materialize(sets, "candidate-sets")
     links = verified(_candidates(buckets, sets, None, piece_rows).union(near).distinct(), sets, classes, tagged, piece_rows)
     rest = verified(_candidates(buckets, sets, component_roots(links), piece_rows), sets, classes, tagged, piece_rows)

@@ -221,3 +221,27 @@ def test_long_texts_that_share_passages_are_not_compared(spark, monkeypatch):
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(12))
     assert sum(n for tag, n in compared if tag == "similar-pairs") <= 4 < sum(n for tag, n in compared if tag == "able-pairs")
+
+
+def test_long_texts_that_share_passages_are_few_pairs(spark, monkeypatch):
+    """Long texts that share passages aren't given as pairs, and similar ones that meet in many buckets are given about once."""
+    rng = random.Random(35)
+    passage = [f"p{i}" for i in range(900)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10 ** 6)}" for _ in range(3000)])) for i in range(40)]
+    base = [f"b{i}" for i in range(2000)]  # each two of this family share three quarters of their shingles
+    rows += [(100 + i, " ".join(f"c{i}-{j}" if j % 50 == 3 * i else w for j, w in enumerate(base))) for i in range(12)]
+    rows += [(200, rows[0][1] + " end"), (201, rows[45][1] + " another end")]
+    plain = simhash._search_able
+
+    def counted(forest):
+        def run(batches):
+            for batch in plain(forest)(batches):
+                total.add(0 if forest else batch.num_rows)
+                yield batch
+        return run
+
+    total = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(simhash, "_search_able", counted)
+    kept = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [*range(40), *range(100, 112)]
+    assert total.value <= 150
