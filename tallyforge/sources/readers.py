@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from tallyforge.session import known_size, materialize
 # Fixed value: what a task without a program file shows.
 FILE_NOT_FOUND = "File not found"
 _STRETCH_BITS = 14  # pieces that are summed in one go, as a power of two
+LISTING_TASKS = 4  # tasks that list folders, for each core
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -111,9 +115,23 @@ def read_task_ids(spark: SparkSession, path: str) -> DataFrame:
     return distinct_task_ids(rows, F.col("place"))
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile folders are listed by ``LISTING_TASKS`` for each core, many in a task; by itself Spark takes a task a folder, up to ten thousand."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), LISTING_TASKS * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_code_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole program files as (task_id, code); the id is read off the path, ``task_id_7`` or ``task_id=7``."""
-    files = spark.read.text(path, wholetext=True).select(
+    with _few_listing_tasks(spark):
+        raw = spark.read.text(path, wholetext=True)
+    files = raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"task_id[_=](\d+)", 1).alias("id"),
         strip(F.col("value")).alias("code"))
     return files.select(F.col("id").try_cast("long").alias("task_id"), "code").filter(F.col("task_id").isNotNull())

@@ -77,6 +77,22 @@ def test_code_files_by_task(spark, tmp_path):
     assert got == {4: "code {\n}", 5: "File not found"}
 
 
+def test_many_code_folders_are_written_and_listed_by_shared_tasks(spark, tmp_path, monkeypatch):
+    from workload import text_queries
+
+    spark.range(90).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "double(id % 3) AS s_acctbal").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(text_queries, "scratch_path", lambda spark, tag: str(tmp_path / tag))
+    spark.sparkContext.setJobGroup("code-files", "")
+    got = {r.task_id: r.code for r in text_queries.scan_code_files(spark, str(tmp_path)).collect()}
+    spark.sparkContext.setJobGroup("", "")
+    assert got == {i: f"func() f{i} {{\n  S{i}\n}}" if i % 3 else "File not found" for i in range(90)}
+    writers = {f.name[:10] for f in (tmp_path / "code-files").glob("*/part-*")}
+    assert len(writers) > 4   # 1 before
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("code-files") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism < 60   # 60, one a folder, before
+
+
 def test_runs_count_candidates_from_one(spark, tmp_path):
     run = {"experiment_name": "e", "seed": 3, "model": "m", "task_candidates": {"8": ["a", "b"], "9": []}}
     (tmp_path / "r.json").write_text(json.dumps([run]))

@@ -313,7 +313,8 @@ def scan_code_files(spark, d):
     suppliers = V.table(spark, d, "supplier")
     programs = suppliers.filter("s_acctbal > 0").selectExpr(
         "s_suppkey AS task_id", "concat('\\n func() f', s_suppkey, ' {\\n  ', s_name, '\\n}\\n ') AS value")
-    programs.write.partitionBy("task_id").text(path)
+    # Files take long to make, so their programs are dealt to many tasks, however few the table's are.
+    programs.repartition(4 * spark.sparkContext.defaultParallelism, "task_id").write.partitionBy("task_id").text(path)
     return R.code_by_task(suppliers.select(F.col("s_suppkey").alias("task_id")), R.read_code_files(spark, f"{path}/*"))
 
 
