@@ -158,3 +158,87 @@ def test_a_worker_holds_few_distances_and_queries_are_written_once(spark, tmp_pa
     points = spark.range(1500).selectExpr("id", "array(double(id * 37 % 1009), double(id * 11 % 503)) AS vector")
     assert N.knn_topk(points, points, 2, exclude_self=True, block_rows=64, cells=32).count() == 3000
     assert all(count <= 1500 for tag, count in written if tag not in ("near", "far"))
+
+
+def _spied(monkeypatch):
+    written, kept = {}, neighbours.materialize
+
+    def spy(df, tag):
+        written[tag] = kept(df, tag)
+        return written[tag]
+
+    monkeypatch.setattr(neighbours, "materialize", spy)
+    return written
+
+
+def test_further_blocks_give_a_query_no_more_than_it_asks_for(spark, monkeypatch):
+    """Bounds fall from block to block, so that no block gives its own nearest ones (14,000 rows before)."""
+    rng = np.random.default_rng(8)
+    points = {i: rng.normal(size=12) for i in range(900)}
+    df = spark.createDataFrame([(i, v.tolist(), 1 + i % 4) for i, v in points.items()], "id long, vector array<double>, k int")
+    written = _spied(monkeypatch)
+    found = {}
+    for r in neighbours.search(neighbours.cell_index(df, 40, 64), df, 4, True).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).append((r.distance, r.neighbor_id))
+    assert found == {q: n[:1 + q % 4] for q, n in _brute_knn(points, points, 4, True).items()}
+    assert 0 < written["far"].count() <= sum(1 + i % 4 for i in points)
+
+
+def test_in_clouds_few_further_blocks_are_asked(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 4
+    df = spark.createDataFrame([(i, (centres[i % 40] + rng.normal(size=16) * 0.1).tolist()) for i in range(1200)], "id long, vector array<double>")
+    index, written = neighbours.cell_index(df, 200, 60), _spied(monkeypatch)
+    neighbours.search(index, df, 4, True).collect()
+    asked = sum(bin(byte).count("1") for r in written["far-queries"].collect() for byte in r.blocks)
+    assert asked < 0.3 * index.rows.select("block").distinct().count() * 1200
+
+
+@pytest.mark.parametrize("scale,offset", [(1.0, 0.0), (1e-3, 1e3), (1e20, 0.0), (1e-3, 1e18), (1e-12, 0.0)])
+def test_knn_is_exact_where_single_precision_is_not(spark, scale, offset):
+    rng = np.random.default_rng(9)
+    points = {i: rng.normal(size=5) * scale + offset for i in range(400)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in points.items()], "id long, vector array<double>")
+    found = {}
+    for r in X.knn_topk(df, df, 6, True, 64).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).append(r.neighbor_id)
+    want = {q: sorted((round(float(np.sqrt(((v - w) ** 2).sum())), 6), i) for i, w in points.items() if i != q)[:6] for q, v in points.items()}
+    assert found == {q: [i for _, i in n] for q, n in want.items()}
+
+
+def test_single_precision_vectors_stay_so_and_meet_doubles(spark):
+    rng = np.random.default_rng(10)
+    points = {i: rng.normal(size=7).astype(np.float32).astype(float) for i in range(300)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in points.items()], "id long, vector array<float>")
+    assert neighbours.cell_index(df, 20, 64).rows.schema["vector"].dataType.simpleString() == "array<float>"
+    for queries in (df, df.withColumn("vector", F.col("vector").cast("array<double>"))):
+        found = {}
+        for r in X.knn_topk(queries, df, 3, True, 64).orderBy("rank").collect():
+            found.setdefault(r.query_id, []).append((r.distance, r.neighbor_id))
+        assert found == _brute_knn(points, points, 3, True)
+
+
+def test_points_pass_by_groups_a_few_distances_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    rng, n, q = np.random.default_rng(11), 5000, 1500
+    vectors, sizes, compare = rng.normal(size=(q + n, 6)), [], neighbours._Group._compare
+    monkeypatch.setattr(neighbours._Group, "_compare", lambda self, asking, ids, points: sizes.append(len(asking) * len(ids)) or compare(self, asking, ids, points))
+    rows = pa.table({"group": [3] * (q + n), "kind": [0] * q + [1] * n, "block": [0] * q + [1] * 2500 + [2] * 2500, "id": range(q + n), "vector": vectors.tolist(),
+                     "k": [4] * q + [0] * n, "bound": [9.0] * q + [0.0] * n, "blocks": pa.array([b"\x60"] * q + [None] * n, pa.binary())})
+    found = {}
+    for batch in neighbours._pass_by(True)(iter(rows.to_batches(max_chunksize=700))):
+        for query, near, distance in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            found.setdefault(query, []).append((distance, near))
+    want = {i: sorted((float(d), q + j) for j, d in enumerate(np.round(np.sqrt(((vectors[i] - vectors[q:]) ** 2).sum(axis=1)), 6)))[:4] for i in range(q)}
+    assert found == want and max(sizes) <= 1 << 20
+
+
+@pytest.mark.parametrize("most", [3, 40, 10 ** 12])
+def test_neighbours_in_order(most):
+    rng = np.random.default_rng(12)
+    query, neighbour = rng.integers(0, 9, 500), rng.integers(0, 99, 500)
+    distance = np.round(rng.integers(0, most, 500) * 0.37, 6)
+    order = neighbours._order(query, distance, neighbour)
+    assert (np.column_stack([x[order] for x in (query, distance, neighbour)]) == sorted(zip(query, distance, neighbour, strict=True))).all()
+    assert len(neighbours._order(query[:0], distance[:0], neighbour[:0])) == 0
