@@ -242,3 +242,22 @@ def test_neighbours_in_order(most):
     order = neighbours._order(query, distance, neighbour)
     assert (np.column_stack([x[order] for x in (query, distance, neighbour)]) == sorted(zip(query, distance, neighbour, strict=True))).all()
     assert len(neighbours._order(query[:0], distance[:0], neighbour[:0])) == 0
+
+
+def test_knn_of_repeated_vectors_holds_few_pairs_at_once(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    points = {i: np.full(4, 0.5) if i % 2 else rng.normal(size=4) for i in range(700)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in points.items()], "id long, vector array<double>")
+    found = {}
+    for r in X.knn_topk(df, df, 5, True, 64).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).append((r.distance, r.neighbor_id))
+    assert found == _brute_knn(points, points, 5, True)
+
+    one, many = np.ones((1, 64)), np.zeros(400_000, dtype=np.int64)
+    tracemalloc.start()
+    assert not neighbours._exact(one, many, one, many).any()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6   # 410 MB if all are fetched
