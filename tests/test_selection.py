@@ -172,7 +172,7 @@ def _spied(monkeypatch):
 
 
 def test_further_blocks_give_a_query_no_more_than_it_asks_for(spark, monkeypatch):
-    """Bounds fall from block to block, so that no block gives its own nearest ones (14,000 rows before)."""
+    """Bounds fall from block to block, so that no block gives its own nearest ones (39,275 rows before)."""
     rng = np.random.default_rng(8)
     points = {i: rng.normal(size=12) for i in range(900)}
     df = spark.createDataFrame([(i, v.tolist(), 1 + i % 4) for i, v in points.items()], "id long, vector array<double>, k int")
